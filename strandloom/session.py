@@ -72,3 +72,13 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores, for work that costs far more than a shuffle.
+
+    A large input already has more splits than cores and is left where it lies;
+    a few big files that cannot be split would leave the other cores idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
