@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.leakage import TOKEN, normal
+from strandloom.session import spread
 
 #: Other spellings of each language's label, in lower case (fixed values).
 LABELS = {
@@ -58,7 +59,7 @@ class Model:
     langs: tuple[str, ...]
     words: dict[str, np.ndarray]
     grams: dict[str, np.ndarray]
-    cap: float = 1.0
+    cap: float = 1.5
 
     def word(self, word: str) -> np.ndarray:
         w = normal(word)
@@ -66,7 +67,30 @@ class Model:
         if own is not None:
             return own
         held = [r for g in grams(w) if (r := self.grams.get(g)) is not None] if w.isalpha() else []
-        return np.clip(np.mean(held, 0), -self.cap, self.cap) if held else np.zeros(len(self.langs))
+        return np.minimum(np.maximum(np.add.reduce(held) / len(held), -self.cap), self.cap) if held else np.zeros(len(self.langs))
+
+
+class Scorer:
+    """Scores of words, each worked out once as long as no more than ``most`` are held."""
+
+    def __init__(self, model: Model, most: int = 200_000):
+        self.model, self.most = model, most
+        self.row: dict[str, int] = {}
+        self.scores = np.zeros((1024, len(model.langs)))
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        if len(self.row) > self.most:
+            self.row.clear()
+        rows = []
+        for w in words:
+            r = self.row.get(w)
+            if r is None:
+                r = self.row[w] = len(self.row)
+                if r >= len(self.scores):
+                    self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
+                self.scores[r] = self.model.word(w)
+            rows.append(r)
+        return self.scores[rows]
 
 
 def _counts(labelled: DataFrame) -> DataFrame:
@@ -107,7 +131,7 @@ def _model(counts: DataFrame, prior: float, least: int, max_features: int) -> Mo
 
 def fit(
     samples: DataFrame, documents: DataFrame | None = None, *, lang: str = "lang", text: str = "text", doc: str = "doc_id",
-    prior: float = 0.7, train_docs: int = 5000, least: int = 8, max_features: int = 300_000,
+    prior: float = 0.7, train_docs: int = 5000, least: int = 3, max_features: int = 300_000,
 ) -> Model:
     """A model from checked samples, a small table, and from a bounded number of labelled documents.
 
@@ -123,7 +147,7 @@ def fit(
     if documents is None:
         return first
     labelled = documents.select(clean_label(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc).alias("h")).where("lang is not null and text is not null")
-    bounded = labelled.orderBy("h", "text").limit(train_docs)
+    bounded = spread(labelled.orderBy("h", "text").limit(train_docs))
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,12 +183,14 @@ def em(scores: np.ndarray, first: np.ndarray, rounds: int = 15) -> tuple[np.ndar
     return share, held
 
 
-def best_run(gain: np.ndarray) -> tuple[float, int, int]:
-    """(sum, start, end) of the contiguous stretch with the largest sum."""
-    total = np.concatenate(([0.0], np.cumsum(gain)))
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    return float(total[end] - low[end]), int(np.argmin(total[: end + 1])), end
+def best_runs(gains: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums, starts, ends): for each column the contiguous stretch with the largest sum."""
+    total = np.zeros((len(gains) + 1, gains.shape[1]))
+    np.cumsum(gains, 0, out=total[1:])
+    rise = total - np.minimum.accumulate(total, 0)
+    ends, columns = rise.argmax(0), range(gains.shape[1])
+    starts = np.array([int(total[: e + 1, k].argmin()) for k, e in zip(columns, ends.tolist(), strict=True)])
+    return rise[ends, columns], starts, ends
 
 
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
@@ -192,21 +218,21 @@ def select(scores: np.ndarray, share: np.ndarray, switch: float, penalty: float,
     likelihood their best stretch gains, as long as that exceeds ``penalty``; equal
     ones by their proportion.
     """
-    n = len(scores)
-    chosen = [int(np.argmax(scores.sum(0) + 1e-6 * share))]
+    n, k = scores.shape
+    chosen = [int((scores.sum(0) + 1e-6 * share).argmax())]
     labels = np.full(n, chosen[0])
-    while len(chosen) < scores.shape[1]:
-        now = scores[np.arange(n), labels]
-        runs = [(*best_run(scores[:, k] - now), k) if k not in chosen else (-1.0, 0, 0, k) for k in range(scores.shape[1])]
-        gained, a, b, k = max(runs, key=lambda r: (r[0], share[r[3]]))
-        if gained <= penalty or b - a < least_words:
+    while len(chosen) < k:
+        gained, starts, ends = best_runs(scores - scores[np.arange(n), labels][:, None])
+        gained[chosen] = -1.0
+        best = int((gained + 1e-6 * share).argmax())
+        if gained[best] <= penalty or ends[best] - starts[best] < least_words:
             break
-        trial = viterbi(scores[:, [*chosen, k]], switch)
-        labels_new = np.array([*chosen, k])[trial]
-        if k not in labels_new:
+        tried = np.array([*chosen, best])
+        trial = tried[viterbi(scores[:, tried], switch)]
+        if best not in trial:
             break
-        chosen.append(k)
-        labels = labels_new
+        chosen.append(best)
+        labels = trial
     return labels
 
 
@@ -217,21 +243,12 @@ OUT = "segments array<struct<start:long,end:long,words:long,lang:string,confiden
 
 def _labeller(broadcast, switch: float, penalty: float, least_words: int, chunk: int):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = broadcast.value
-        known: dict[str, np.ndarray] = {}
-
-        def score(w: str) -> np.ndarray:
-            s = known.get(w)
-            if s is None:
-                if len(known) > 100_000:
-                    known.clear()
-                s = known[w] = model.word(w)
-            return s
-
+        scorer = Scorer(broadcast.value)
+        langs = scorer.model.langs
         for batch in batches:
             docs, texts = batch.column("doc"), batch.column("text").to_pylist()
             found = [list(TOKEN.finditer(t)) for t in texts]
-            per_word = [np.array([score(m.group()) for m in ms]) if ms else None for ms in found]
+            per_word = [scorer([m.group() for m in ms]) if ms else None for ms in found]
             sums, first = [], []
             for t, ms, s in zip(texts, found, per_word, strict=True):
                 if not ms:
@@ -259,9 +276,9 @@ def _labeller(broadcast, switch: float, penalty: float, least_words: int, chunk:
                     ll = s[a:b].sum(0) + np.log(share)
                     p = np.exp(ll - ll.max())
                     start, end = (ms[a].start() if a else 0), (ms[b].start() if b < len(ms) else len(t))
-                    rows.append({"start": start, "end": end, "words": b - a, "lang": model.langs[labels[a]], "confidence": float(p[labels[a]] / p.sum())})
+                    rows.append({"start": start, "end": end, "words": b - a, "lang": langs[labels[a]], "confidence": float(p[labels[a]] / p.sum())})
                 segments.append(rows)
-                mixtures.append([{"lang": k, "share": float(x)} for k, x in zip(model.langs, share, strict=True) if x >= 0.005])
+                mixtures.append([{"lang": k, "share": float(x)} for k, x in zip(langs, share, strict=True) if x >= 0.005])
             yield pa.RecordBatch.from_arrays([docs, pa.array(segments, SEGMENTS), pa.array(mixtures, SHARES)], names=["doc", "segments", "mixture"])
 
     return label
@@ -269,7 +286,7 @@ def _labeller(broadcast, switch: float, penalty: float, least_words: int, chunk:
 
 def languages(
     documents: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "text",
-    switch: float = 6.0, penalty: float = 16.0, least_words: int = 4, chunk: int = 12,
+    switch: float = 6.0, penalty: float = 12.0, least_words: int = 4, chunk: int = 12,
 ) -> DataFrame:
     """``doc, segments, mixture``: the languages of each document, in one pass without a shuffle.
 
@@ -285,7 +302,7 @@ def languages(
     broadcast = documents.sparkSession.sparkContext.broadcast(model)  # bounded by fit's max_grams
     rows = documents.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(_labeller(broadcast, switch, penalty, least_words, chunk), f"doc {kind}, {OUT}")
+    return spread(rows).mapInArrow(_labeller(broadcast, switch, penalty, least_words, chunk), f"doc {kind}, {OUT}")
 
 
 def wrong_labels(documents: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "text", label: str = "lang", **kw) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import spread
+
 #: A run of letters and digits, with the marks that may follow a letter.
 TOKEN = re.compile(r"[^\W_](?:[^\W_]|[̀-ͯ])*")
 #: Letters whose stroke Unicode does not treat as a mark (fixed values).
@@ -201,7 +203,7 @@ def leaked_spans(
     spark = documents.sparkSession
     docs = documents.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     kinds = docs.schema["doc"].dataType, items.schema[item].dataType
-    docs = docs.withColumn("doc", F.col("doc").cast("string"))
+    docs = spread(docs.withColumn("doc", F.col("doc").cast("string")))
     held = items.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     total = held.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-total // block_words))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.llm.tokens import VOCABULARY, n_tokens
-from strandloom.session import partitions, written
+from strandloom.session import partitions, spread, written
 
 #: Rows of a source whose running sum one task may hold.
 BUCKET_ROWS = 50_000
@@ -83,7 +83,8 @@ def mix(
     """
     spark = documents.sparkSession
     sizes = written(
-        documents.select(F.col(doc).alias("doc"), clean_source(source).alias("source"), n_tokens(text, vocabulary).alias("tokens")).where("tokens > 0")
+        spread(documents.select(F.col(doc).alias("doc"), clean_source(source).alias("source"), F.col(text).alias("text")))
+        .select("doc", "source", n_tokens("text", vocabulary).alias("tokens")).where("tokens > 0")
     )
     whole = budget if budget is not None else (sizes.agg(F.sum("tokens")).first()[0] or 0)
     goals = targets.select("source", "target_share", "max_repeat").where("source is not null")
