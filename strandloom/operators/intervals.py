@@ -151,20 +151,29 @@ def _rescanner(into: dict[int, State]):
     return rescan
 
 
-def island_fragments(df: DataFrame, entity: str | Column, start: str | Column, end: str | Column, *, parts: int | None = None) -> DataFrame:
-    """``entity, island, end, n, gap_start``: the islands, cut where partitions end.
+def _reacher(into: dict[int, State]):
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, started = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if not started:
+                state, started = into.get(batch.column("part")[0].as_py()), True
+            names, code, start, so_far, before, fresh, _ = scan(batch, state)
+            known = pa.array(before, pa.int64(), mask=fresh)
+            yield pa.RecordBatch.from_arrays([batch.column("entity"), batch.column("start"), batch.column("end"), known], names=["entity", "start", "end", "reach"])
+            state = State(names[int(code[-1])].as_py(), int(start[-1]), int(so_far[-1]))
 
-    ``island`` is the start of the whole island and its label; ``gap_start`` is set
-    on the fragment that opens an island after another one of the same entity.
-    Rows with a null in one of the three, or that are empty or reversed, count for
-    nothing. Bounds are whole numbers; entities are compared as strings.
-    """
+    return reach
+
+
+def _ordered(df: DataFrame, entity, start, end, parts: int | None) -> tuple[DataFrame, dict[int, State]]:
+    """The usable rows, range-sorted and checkpointed, and the state carried into each partition."""
     parts = parts or partitions(df.sparkSession)
-    usable = df.select(
-        (entity if isinstance(entity, Column) else F.col(entity)).cast("string").alias("entity"),
-        (start if isinstance(start, Column) else F.col(start)).cast("long").alias("start"),
-        (end if isinstance(end, Column) else F.col(end)).cast("long").alias("end"),
-    ).where(F.col("entity").isNotNull() & (F.col("start") < F.col("end")))
+    column = lambda c: c if isinstance(c, Column) else F.col(c)
+    usable = df.select(column(entity).cast("string").alias("entity"), column(start).cast("long").alias("start"), column(end).cast("long").alias("end")).where(
+        F.col("entity").isNotNull() & (F.col("start") < F.col("end"))
+    )
     # the last key splits equal intervals, so no repeated one can fill a partition
     ordered = (
         usable.withColumn("tie", F.monotonically_increasing_id())
@@ -174,7 +183,18 @@ def island_fragments(df: DataFrame, entity: str | Column, start: str | Column, e
     )
     ordered = checkpointed(ordered)  # both passes must see the same partitions
     rows = ordered.mapInArrow(_summarise, "part int, first string, last string, island long, end long, n long").collect()
-    into = combine([(r.part, Summary(r.first, State(r["last"], r.island, r.end))) for r in rows])
+    return ordered, combine([(r.part, Summary(r.first, State(r["last"], r.island, r.end))) for r in rows])
+
+
+def island_fragments(df: DataFrame, entity: str | Column, start: str | Column, end: str | Column, *, parts: int | None = None) -> DataFrame:
+    """``entity, island, end, n, gap_start``: the islands, cut where partitions end.
+
+    ``island`` is the start of the whole island and its label; ``gap_start`` is set
+    on the fragment that opens an island after another one of the same entity.
+    Rows with a null in one of the three, or that are empty or reversed, count for
+    nothing. Bounds are whole numbers; entities are compared as strings.
+    """
+    ordered, into = _ordered(df, entity, start, end, parts)
     return ordered.mapInArrow(_rescanner(into), "entity string, island long, end long, n long, gap_start long")
 
 
@@ -197,3 +217,48 @@ def gaps(df: DataFrame, entity, start, end, **kw) -> DataFrame:
         .where(F.col("gap_start").isNotNull())
         .select("entity", "gap_start", F.col("island").alias("gap_end"))
     )
+
+
+def reach_before(df: DataFrame, entity, start, end, *, parts: int | None = None) -> DataFrame:
+    """``entity, start, longest, reach``: for each start of an entity its largest end, and the largest end of any earlier start (null for the first)."""
+    folded = df.where(F.col(start) < F.col(end)).groupBy(F.col(entity).alias("e"), F.col(start).alias("s")).agg(F.max(end).alias("x"))
+    ordered, into = _ordered(folded, "e", "s", "x", parts)
+    out = ordered.mapInArrow(_reacher(into), "entity string, start long, end long, reach long")
+    return out.withColumnRenamed("end", "longest")
+
+
+def outer_intervals(df: DataFrame, entity: str, start: str, end: str, *, strict: bool = True) -> DataFrame:
+    """The rows of ``df`` that lie in no other interval of their entity.
+
+    ``strict``: only one that begins before and ends behind a row hides it. Else an
+    interval with an equal bound hides it too, and equal ones hide each other but
+    for one: the anti-join of containment, without comparing pairs.
+    """
+    r = reach_before(df, entity, start, end).select(F.col("entity").alias("_e"), F.col("start").alias("_s"), "longest", "reach")
+    joined = df.join(r, (F.col(entity).cast("string") == F.col("_e")) & (F.col(start) == F.col("_s")))
+    if strict:
+        kept = joined.where(F.col("reach").isNull() | (F.col("reach") <= F.col(end)))
+    else:
+        kept = joined.where((F.col("reach").isNull() | (F.col("reach") < F.col(end))) & (F.col(end) == F.col("longest")))
+    kept = kept.select(*[kept[c] for c in df.columns])
+    return kept if strict else kept.dropDuplicates([entity, start, end])
+
+
+def complement(df: DataFrame, entity: str, start: str, end: str, lengths: DataFrame, *, name: str = "name", length: str = "length") -> DataFrame:
+    """``entity, start, end``: what no interval covers of each entity in ``lengths``, which has one row each.
+
+    Intervals of entities without a length count for nothing; so does what lies
+    beyond the length.
+    """
+    p = periods(df, entity, start, end).select("entity", F.col("start").alias("s"), F.col("end").alias("e"))
+    sized = lengths.select(F.col(name).alias("entity"), F.col(length).cast("long").alias("size"))
+    ends = p.groupBy("entity").agg(F.min("s").alias("first"), F.max("e").alias("last"))
+    heads_tails = sized.join(ends, "entity", "left").select(
+        "entity", "size",
+        F.explode(F.array(
+            F.struct(F.lit(0).cast("long").alias("start"), F.coalesce("first", "size").alias("end")),
+            F.struct(F.coalesce("last", "size").alias("start"), F.col("size").alias("end")),
+        )).alias("x"),
+    ).select("entity", "x.start", F.least("x.end", "size").alias("end"))
+    inner = gaps(df, entity, start, end).join(sized, "entity").select("entity", F.col("gap_start").alias("start"), F.least("gap_end", "size").alias("end"))
+    return heads_tails.unionByName(inner).where("start < end")
