@@ -21,7 +21,7 @@ def runs(cigar: Column | str) -> Column:
 
 def span(cigar: Column | str, ops: str = ON_REFERENCE) -> Column:
     """Bases of the reference (or, with ``ON_QUERY``, of the query) that it covers."""
-    return F.aggregate(runs(cigar), F.lit(0).cast("long"), lambda acc, r: acc + F.when(F.locate(r["op"], F.lit(ops)) > 0, r["len"]).otherwise(0))
+    return F.aggregate(runs(cigar), F.lit(0).cast("long"), lambda acc, r: acc + F.when(F.instr(F.lit(ops), r["op"]) > 0, r["len"]).otherwise(0))
 
 
 #: Runs folded at once; longer CIGARs are cut, so that the work stays in proportion to the runs.
@@ -30,7 +30,7 @@ _PLACED = "array<struct<op:string,len:bigint,tpos:bigint,qpos:bigint>>"
 
 
 def _along(run: Column, ops: str) -> Column:
-    return F.when(F.locate(run["op"], F.lit(ops)) > 0, run["len"]).otherwise(0)
+    return F.when(F.instr(F.lit(ops), run["op"]) > 0, run["len"]).otherwise(0)
 
 
 def walk(df: DataFrame, cigar: str = "cigar", *, tstart: str = "tstart", qstart: str = "qstart") -> DataFrame:

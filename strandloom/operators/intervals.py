@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.session import checkpointed, partitions
@@ -262,3 +262,32 @@ def complement(df: DataFrame, entity: str, start: str, end: str, lengths: DataFr
     ).select("entity", "x.start", F.least("x.end", "size").alias("end"))
     inner = gaps(df, entity, start, end).join(sized, "entity").select("entity", F.col("gap_start").alias("start"), F.least("gap_end", "size").alias("end"))
     return heads_tails.unionByName(inner).where("start < end")
+
+
+def overlap_counts(df: DataFrame, key: str, entity: str, start: str, end: str) -> DataFrame:
+    """``key, overlaps``: how many other intervals of its entity each one overlaps, without pairing them.
+
+    Those that begin before its end, less those that end at or before its start, less
+    itself: two running counts over places, read at its bounds.
+    """
+    from strandloom.operators.prefix import running_sum
+
+    x = df.select(F.col(key).alias("_k"), F.col(entity).alias("_t"), F.col(start).alias("_s"), F.col(end).alias("_e")).where("_t is not null and _s < _e")
+    begun = running_sum(x.groupBy("_t", F.col("_s").alias("p")).agg(F.count(F.lit(1)).alias("c")), "_t", "p", "c", out="r")
+    ended = running_sum(x.groupBy("_t", F.col("_e").alias("p")).agg(F.count(F.lit(1)).alias("c")), "_t", "p", "c", out="r")
+    # both counts at every bound: the last known value at or before it, carried over bins of places
+    marks = begun.select("_t", "p", F.col("r").alias("b"), F.lit(None).cast("long").alias("e")).unionByName(ended.select("_t", "p", F.lit(None).cast("long").alias("b"), F.col("r").alias("e")))
+    marks = marks.groupBy("_t", "p").agg(F.max("b").alias("b"), F.max("e").alias("e"))
+    binned = marks.withColumn("_b", F.floor(F.col("p") / F.lit(1 << 16)))
+    tops = binned.groupBy("_t", "_b").agg(F.max("b").alias("tb"), F.max("e").alias("te"))
+    before = Window.partitionBy("_t").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("_t", "_b", F.coalesce(F.max("tb").over(before), F.lit(0)).alias("tb"), F.coalesce(F.max("te").over(before), F.lit(0)).alias("te"))
+    within = Window.partitionBy("_t", "_b").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    strictly = Window.partitionBy("_t", "_b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    known = binned.join(tops, ["_t", "_b"]).select(
+        "_t", "p", F.greatest(F.coalesce(F.max("b").over(strictly), F.lit(0)), "tb").alias("begun_before"), F.greatest(F.coalesce(F.max("e").over(within), F.lit(0)), "te").alias("ended_by")
+    )
+    at_end = known.select("_t", F.col("p").alias("_e"), "begun_before")
+    at_start = known.select("_t", F.col("p").alias("_s"), "ended_by")
+    out = x.join(at_end, ["_t", "_e"]).join(at_start, ["_t", "_s"])
+    return out.select(F.col("_k").alias(key), (F.col("begun_before") - F.col("ended_by") - 1).alias("overlaps"))

@@ -8,13 +8,54 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def by_key(df: DataFrame, key: str, order: list[str], fn, schema: str) -> DataFrame:
+    """``fn`` over each key's rows, which come in ``order`` as arrays by column; it returns arrays by column.
+
+    Keys are hash-partitioned and sorted within partitions; a task streams its
+    partition in batches and holds one key's rows at a time. Much cheaper than a
+    grouped map where most keys are small.
+    """
+    out_schema = None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def groups(table: pa.Table, cuts: list[int]) -> pa.RecordBatch | None:
+            arrays = {c: table.column(c).to_numpy() for c in table.column_names}
+            parts = [r for a, b in zip(cuts, cuts[1:], strict=False) if (r := fn({c: x[a:b] for c, x in arrays.items()})) is not None]
+            if not parts:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[f.name] for p in parts]), f.type) for f in out_schema], schema=out_schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            keys = table.column(key).combine_chunks().dictionary_encode().indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist()]
+            if len(cuts) > 1 and (out := groups(table.slice(0, cuts[-1]), cuts)) is not None:
+                yield out
+            rest = table.slice(cuts[-1]).combine_chunks()
+        if rest is not None and (out := groups(rest, [0, rest.num_rows])) is not None:
+            yield out
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    out_schema = to_arrow_schema(_parse_datatype_string(schema))
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 class _Best:
     """Largest (value, earliest row) over a prefix of ranks."""
 
@@ -83,15 +124,12 @@ def chain_hits(paf: DataFrame, least_match: int = 5000) -> DataFrame:
     """
     columns = ["qname", "paf_id", "qstart", "qend", "strand", "tname", "tstart", "tend", "match"]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["qstart", "qend", "paf_id"], kind="stable").reset_index(drop=True)
-        rows = chain(pdf.strand.to_numpy(), pdf.tstart.to_numpy(), pdf.tend.to_numpy(), pdf.match.to_numpy())
-        out = pdf.loc[rows].copy()
-        out.insert(1, "chain_no", np.arange(len(rows), dtype="int32"))
-        return out[["qname", "chain_no", *columns[1:]]]
+    def one(g: dict) -> dict:
+        rows = chain(g["strand"], g["tstart"], g["tend"], g["match"])
+        return {"chain_no": np.arange(len(rows), dtype="int32"), **{c: g[c][rows] for c in columns}}
 
     usable = paf.select(*columns).where(F.col("match") >= least_match).dropna()
-    return usable.groupBy("qname").applyInPandas(one, CHAINED)
+    return by_key(usable, "qname", ["qstart", "qend", "paf_id"], one, CHAINED)
 
 
 def placements(chained: DataFrame) -> DataFrame:
@@ -149,18 +187,19 @@ def phase_labels(blocks: DataFrame, pairs: DataFrame, *, rounds: int = 100, seed
     """
     grp_type = pairs.schema["grp"].dataType.simpleString()
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(g: dict) -> dict:
         # every pair has a row i = j, so the nodes are known
-        g, n = pdf.grp.iloc[0], int(pdf.i.max()) + 1
-        e = pdf[pdf.i != pdf.j].sort_values(["i", "j"])
-        rng = np.random.default_rng([seed, zlib.crc32(str(g).encode())])
-        labels, _ = local_search(n, e.i.to_numpy(), e.j.to_numpy(), e.sign.to_numpy(), rounds, rng, None if start is None else np.full(n, start))
-        present = np.unique(pdf.i)
-        return pd.DataFrame({"grp": g, "idx": present, "label": labels[present].astype("int32")})
+        i, j, sign = g["i"], g["j"], g["sign"]
+        edge = i != j
+        n = int(i.max()) + 1
+        rng = np.random.default_rng([seed, zlib.crc32(str(g["grp"][0]).encode())])
+        labels, _ = local_search(n, i[edge], j[edge], sign[edge], rounds, rng, None if start is None else np.full(n, start))
+        nodes = i[~edge]
+        return {"grp": g["grp"][: len(nodes)], "idx": nodes, "label": labels[nodes].astype("int32")}
 
     want = blocks.select("grp", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.signum(F.col("same") - F.col("cross")).cast("long").alias("sign")).where("sign != 0")
     nodes = pairs.select("grp", F.col("idx").cast("long").alias("i"), F.col("idx").cast("long").alias("j"), F.lit(0).cast("long").alias("sign"))
-    found = nodes.unionByName(want).groupBy("grp").applyInPandas(one, f"grp {grp_type}, idx long, label int")
+    found = by_key(nodes.unionByName(want), "grp", ["i", "j"], one, f"grp {grp_type}, idx long, label int")
     return pairs.select("grp", "idx", "a", "b").join(found, ["grp", "idx"])
 
 
