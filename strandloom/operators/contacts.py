@@ -161,3 +161,40 @@ def contact_eval(contacts: DataFrame, side: DataFrame, same_group: DataFrame) ->
     known = F.col("h1").isNotNull() & F.col("h2").isNotNull()
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     return x.agg(total(known & (F.col("h1") == F.col("h2"))).alias("correct"), total(known & (F.col("h1") != F.col("h2"))).alias("incorrect"), total(~known).alias("unknown"))
+
+
+def sided_contacts(pairs: DataFrame, switches: DataFrame) -> DataFrame:
+    """``segment, other, head``: contacts of segments that have a switch, and whether the mate lies before it.
+
+    ``pairs``: tid1, pos1, tid2, pos2; ``switches``: segment, pos. The first mate's
+    segment is asked first, else the second one's; pairs within a segment are left out.
+    """
+    s = lambda k: switches.select(F.col("segment").alias(f"tid{k}"), F.col("pos").alias(f"s{k}"))
+    x = pairs.where("tid1 != tid2").join(s(1), "tid1", "left").join(s(2), "tid2", "left").where("s1 is not null or s2 is not null")
+    first = F.col("s1").isNotNull()
+    return x.select(
+        F.when(first, F.col("tid1")).otherwise(F.col("tid2")).alias("segment"), F.when(first, F.col("tid2")).otherwise(F.col("tid1")).alias("other"),
+        F.when(first, F.col("pos1") < F.col("s1")).otherwise(F.col("pos2") < F.col("s2")).alias("head"),
+    )
+
+
+def switch_kinds(sided: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``grp, idx, kind``: ``F`` where the heads of a pair's segments agree with the group's labels and the tails don't, ``S`` the other way round.
+
+    ``labelled``: grp, idx, a, b, label. Each other pair of the group has one vote
+    from heads and one from tails; ties don't vote.
+    """
+    side = labelled.select("grp", "idx", "label", F.explode(F.array(F.struct(F.col("a").alias("s"), F.lit(0).alias("h")), F.struct(F.col("b").alias("s"), F.lit(1).alias("h")))).alias("x")).select("grp", "idx", "label", "x.s", "x.h")
+    one = side.select("grp", F.col("idx").alias("i"), F.col("label").alias("l1"), F.col("s").alias("segment"), F.col("h").alias("h1"))
+    two = side.select("grp", F.col("idx").alias("j"), F.col("label").alias("l2"), F.col("s").alias("other"), F.col("h").alias("h2"))
+    folded = sided.groupBy("segment", "other", "head").agg(F.count(F.lit(1)).alias("n"))
+    x = folded.join(one, "segment").join(two, ["grp", "other"]).where("i != j").withColumn("agrees", (F.col("h1") == F.col("h2")) == (F.col("l1") == F.col("l2")))
+    votes = x.groupBy("grp", "i", "j", "head").agg(F.sum(F.when(F.col("agrees"), F.col("n")).otherwise(-F.col("n"))).alias("m"))
+    sums = votes.groupBy("grp", F.col("i").alias("idx")).agg(*[F.sum(F.when(F.col("head") == h, F.signum("m")).otherwise(0)).alias(c) for h, c in ((True, "heads"), (False, "tails"))])
+    return sums.select("grp", "idx", F.when((F.col("heads") > 0) & (F.col("tails") < 0), "F").when((F.col("heads") < 0) & (F.col("tails") > 0), "S").alias("kind")).where("kind is not null")
+
+
+def both_have(pairs: DataFrame, switches: DataFrame) -> DataFrame:
+    """``segment, pos`` of switches whose partner has one too."""
+    p = pairs.select("a", "b").join(switches.select(F.col("segment").alias("a"), F.col("pos").alias("pa")), "a").join(switches.select(F.col("segment").alias("b"), F.col("pos").alias("pb")), "b")
+    return p.select(F.explode(F.array(F.struct(F.col("a").alias("segment"), F.col("pa").alias("pos")), F.struct(F.col("b").alias("segment"), F.col("pb").alias("pos")))).alias("x")).select("x.segment", "x.pos")

@@ -118,7 +118,8 @@ SQL = {
         SELECT tname, count(*) AS n, CAST(sum(tpos + k) AS BIGINT) AS sum_tpos, CAST(sum({FIRST}) AS BIGINT) AS sum_qpos FROM ch GROUP BY tname""",
     "called_sites": """WITH p AS (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem WHERE l_linestatus = 'O'), a AS (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_quantity < 25),
         m AS (SELECT DISTINCT l_suppkey, l_partkey, l_orderkey, l_linenumber FROM lineitem)
-        SELECT l_suppkey AS tname, l_partkey AS tpos, l_orderkey AS qname, l_linenumber AS qpos, l_returnflag AS allele FROM m JOIN a USING (l_orderkey, l_linenumber) JOIN p USING (l_suppkey, l_partkey, l_returnflag)""",
+        SELECT l_suppkey AS tname, l_partkey AS tpos, l_orderkey AS qname, l_linenumber AS qpos, l_returnflag AS allele FROM m JOIN a USING (l_orderkey, l_linenumber)
+        WHERE (l_suppkey, l_partkey, l_returnflag) IN (SELECT * FROM p)""",
     "first_site_asof": f"""WITH {v.HITS}, {v.POSITIONS}, s AS (SELECT ctg, pos FROM pstn WHERE is_var = 1), f AS (SELECT paf_id, tstart, CASE WHEN pos < tend THEN pos END AS first_site
         FROM hits h ASOF LEFT JOIN s ON h.tname = s.ctg AND h.tstart <= s.pos) SELECT paf_id, first_site, coalesce(first_site > tstart, false) AS spans FROM f""",
     "exact_runs": f"WITH {EXACT} SELECT paf_id, qname, tname, strand, CAST(qpos AS BIGINT) AS qpos, CAST(tpos AS BIGINT) AS tpos, len FROM ex WHERE len >= 50",
