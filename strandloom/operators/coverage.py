@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.prefix import running_sum
+from strandloom.session import written
 
 
 def pair_deltas(pairs: DataFrame, contig: str) -> DataFrame:
@@ -82,6 +83,7 @@ def switch_points(runs: DataFrame, value: str = "clamped", *, least_mean: int =
     mean, the lowest run is a switch if it is below 0.4 of the mean while the highest
     is above 1.6 of it; the first of equally low ones counts.
     """
+    runs = written(runs.select("contig", "start", "end", value))  # read three times
     w = F.col("end") - F.col("start")
     mean = runs.groupBy("contig").agg((F.sum(w * F.col(value)) / (F.sum(w) + 1)).alias("mean")).where(F.floor("mean") >= least_mean)
     x = runs.join(mean, "contig")
