@@ -13,15 +13,29 @@ def running_sum(df: DataFrame, key: str, pos: str, value: str, *, out: str = "ru
     a hot key is as many tasks as it has stretches, and only totals meet per key.
     Rows of one position should be folded before. Nulls in ``value`` add nothing.
     """
-    binned = df.withColumn("_bin", F.floor(F.col(pos) / width))
-    before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    binned = df.withColumn("__bin", F.floor(F.col(pos) / width))
+    before = Window.partitionBy(key).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
-        binned.groupBy(key, "_bin").agg(F.sum(value).alias("_sum"))
-        .select(key, "_bin", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+        binned.groupBy(key, "__bin").agg(F.sum(value).alias("__sum"))
+        .select(key, "__bin", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
     )
-    within = Window.partitionBy(key, "_bin").orderBy(pos)
+    within = Window.partitionBy(key, "__bin").orderBy(pos)
     return (
-        binned.join(totals, [key, "_bin"])
-        .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0)))
-        .drop("_bin", "_before")
+        binned.join(totals, [key, "__bin"])
+        .withColumn(out, F.col("__before") + F.coalesce(F.sum(value).over(within), F.lit(0)))
+        .drop("__bin", "__before")
     )
+
+
+def previous(df: DataFrame, key: str, pos: str, value: str, *, out: str = "previous", width: int = 1 << 16) -> DataFrame:
+    """``df`` with ``out``: the ``value`` of the key's row before this one, null for the first.
+
+    Positions are whole numbers, one row each. Looks within stretches of ``width``
+    positions, and at the last row of the stretch before; no key is one task.
+    """
+    binned = df.withColumn("__bin", F.floor(F.col(pos) / width))
+    last = binned.groupBy(key, "__bin").agg(F.max_by(F.struct(F.col(value).alias("v")), pos).alias("__last"))
+    handed = last.select(key, "__bin", F.lag("__last").over(Window.partitionBy(key).orderBy("__bin")).alias("__handed"))
+    within = Window.partitionBy(key, "__bin").orderBy(pos)
+    found = F.coalesce(F.lag(F.struct(F.col(value).alias("v"))).over(within), F.col("__handed"))
+    return binned.join(handed, [key, "__bin"]).withColumn(out, found["v"]).drop("__bin", "__handed")

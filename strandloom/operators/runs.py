@@ -5,39 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.prefix import previous, running_sum
+
+
+def _numbered(df: DataFrame, key: str, order: str, fresh: Column, out: str) -> DataFrame:
+    """``df`` with ``out``: how many rows of the key up to this one are ``fresh``."""
+    return running_sum(df.withColumn("_fresh", fresh.cast("long")), key, order, "_fresh", out=out).drop("_fresh")
+
 
 def islands(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """``key, start, end, value, n``: stretches of rows with an equal value, by row number differences."""
-    w = Window.partitionBy(key).orderBy(order)
-    v = Window.partitionBy(key, value).orderBy(order)
-    marked = df.withColumn("_g", F.row_number().over(w) - F.row_number().over(v))
-    return marked.groupBy(key, value, "_g").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count(F.lit(1)).alias("n")).drop("_g")
+    """``key, value, start, end, n``: stretches of rows with an equal value; nulls equal each other.
+
+    ``order`` is a whole number, one row each. A row opens an island if its value
+    differs from the one before; islands are numbered by a two-level running count.
+    """
+    x = previous(df.select(key, order, value, F.lit(1).alias("_one")).withColumn("_pair", F.struct(value, "_one")), key, order, "_pair", out="_before")
+    x = _numbered(x, key, order, F.col("_before").isNull() | ~F.col("_before")[value].eqNullSafe(F.col(value)), "_g")
+    return x.groupBy(key, "_g").agg(F.first(value).alias(value), F.min(order).alias("start"), F.max(order).alias("end"), F.count(F.lit(1)).alias("n")).drop("_g")
 
 
 def long_islands(runs: DataFrame, key: str, value: str, least: int) -> DataFrame:
-    """``key, start, end, value, n``: islands of fewer than ``least`` rows join the one before, then equal neighbours merge.
+    """``key, value, start, end, n``: islands of fewer than ``least`` rows join the one before, then equal neighbours merge.
 
     The first island of a key stays. ``runs`` is what :func:`islands` gives.
     """
-    w = Window.partitionBy(key).orderBy("start")
-    kept = runs.withColumn("_v", F.when((F.col("n") >= least) | (F.row_number().over(w) == 1), F.col(value)))
-    filled = kept.withColumn("_v", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    changed = filled.withColumn("_new", F.when(F.col("_v") == F.lag("_v").over(w), 0).otherwise(1))
-    numbered = changed.withColumn("_g", F.sum("_new").over(w))
-    return numbered.groupBy(key, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("_v").alias(value), F.sum("n").alias("n")).drop("_g")
+    x = previous(runs.withColumn("_one", F.lit(1)), key, "start", "_one", out="_before")
+    x = _numbered(x, key, "start", (F.col("n") >= least) | F.col("_before").isNull(), "_g")
+    kept = x.groupBy(key, "_g").agg(F.min_by(value, "start").alias(value), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    y = previous(kept.withColumn("_pair", F.struct(value, F.lit(1).alias("_one"))), key, "start", "_pair", out="_before")
+    y = _numbered(y, key, "start", F.col("_before").isNull() | ~F.col("_before")[value].eqNullSafe(F.col(value)), "_h")
+    return y.groupBy(key, "_h").agg(F.first(value).alias(value), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_h")
 
 
 def moving_average(df: DataFrame, key: str, order: str, value: str, width: int) -> DataFrame:
-    """``key, order, average`` over ``width`` rows up to this one; the first ``width - 1`` rows of a key have none."""
-    w = Window.partitionBy(key).orderBy(order)
-    full = df.withColumn("_n", F.row_number().over(w)).withColumn("average", F.avg(value).over(w.rowsBetween(1 - width, 0)))
-    return full.where(F.col("_n") >= width).select(key, order, "average")
+    """``key, order, average`` over ``width`` rows up to this one; the first ``width - 1`` rows of a key have none.
+
+    The difference of two running sums, ``width`` rows apart; ``order`` is a whole
+    number, one row each, and ``value`` has no nulls.
+    """
+    x = running_sum(df.select(key, order, value, F.lit(1).cast("long").alias("_one")), key, order, "_one", out="_n")
+    x = running_sum(x, key, order, value, out="_sum").select(key, order, "_n", "_sum")
+    ago = x.select(key, (F.col("_n") + width).alias("_n"), F.col("_sum").alias("_ago"))
+    return x.where(F.col("_n") >= width).join(ago, [key, "_n"], "left").select(key, order, ((F.col("_sum") - F.coalesce("_ago", F.lit(0))) / width).alias("average"))
 
 
 def midpoints(df: DataFrame, key: str, pos: str) -> DataFrame:
     """``key, pos, midpoint`` with the position before it, 0 for the first; halves are cut off."""
-    w = Window.partitionBy(key).orderBy(pos)
-    return df.select(key, pos, ((F.lag(pos, 1, 0).over(w) + F.col(pos)) / 2).cast("long").alias("midpoint"))
+    x = previous(df.select(key, pos), key, pos, pos, out="_before")
+    return x.select(key, pos, ((F.coalesce("_before", F.lit(0)) + F.col(pos)) / 2).cast("long").alias("midpoint"))
 
 
 def block_identity(placed_runs: DataFrame, contig: str, block: int) -> DataFrame:
@@ -73,12 +88,10 @@ def short_switches(df: DataFrame, key: str, pos: str, value: str) -> DataFrame:
 
     A change that undoes a short one is part of it and not listed.
     """
-    w = Window.partitionBy(key).orderBy(pos)
-    x = df.select(key, pos, F.col(value).alias("_v"), F.lag(value).over(w).alias("_before"), F.lead(value).over(w).alias("_after"))
+    x = previous(df.select(key, pos, F.col(value).alias("_v")), key, pos, "_v", out="_before")
     x = x.withColumn("_flip", F.coalesce((F.col("_v") != F.col("_before")).cast("int"), F.lit(0)))
     # in a stretch of rows that each differ from the one before, every other change closes a short one
-    x = x.withColumn("_calm", 1 - F.col("_flip"))
-    numbered = x.withColumn("_g", F.sum("_calm").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = _numbered(x, key, pos, F.col("_flip") == 0, "_g")
     g = Window.partitionBy(key, "_g").orderBy(pos)
     place = numbered.where("_flip = 1").withColumn("_k", F.row_number().over(g)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key, "_g")))
     return place.where("_k % 2 = 1").select(key, pos, F.when(F.col("_k") < F.col("_n"), "short").otherwise("long").alias("kind"))
