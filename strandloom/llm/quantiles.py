@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strandloom.session import written
@@ -34,29 +34,31 @@ def combine_states(*states: DataFrame) -> DataFrame:
 def multi_select(states: DataFrame, shares: list[float], *, error: float = 0.0, max_rounds: int = 200) -> DataFrame:
     """``group, share, value, n, rank_error``: for each group the smallest value with at least ``share`` of all at or below it.
 
-    Every round, each part proposes the median of what is left of it for each open
-    (group, share); the median of the proposals weighted by what the parts have
-    left becomes the pivot; all parts count below, at and above it; the ranges it
-    rules out are dropped. At least about a quarter of the entries goes each round.
+    States of all parts are combined first. Every round, each partition proposes the
+    median of the values it has left for each open (group, share); the median of the
+    proposals weighted by how many values stand behind them becomes the pivot; all
+    partitions count below, at and above it; the ranges it rules out are dropped. At
+    least about a quarter of the values goes each round.
     With ``error`` > 0 a group also ends once the ranks left are no more than that
     share of its rows: then ``value`` is a proposal and ``rank_error`` bounds its
     distance; else ``rank_error`` is 0.
 
-    What moves is one proposal and three counts per part and open group; a group
-    with a third of the rows is spread over its parts. The number of groups may be
-    large: the open ones are a table, never on the driver.
+    What moves is one proposal and three counts per partition and open group; values
+    are partitioned by (group, value), so a group with a third of the rows is spread
+    over all partitions. The number of groups may be large: the open ones are a
+    table, never on the driver.
     """
     if not all(0 < s <= 1 for s in shares):
         raise ValueError("shares lie in (0, 1]")
     wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
-    states = written(states)
+    states = written(states.groupBy("group", "value").agg(F.sum("n").alias("n")))
     ask = states.groupBy("group").agg(F.sum("n").alias("total")).select("group", "total", wanted)
     # the rank asked for; a share that is a whole number of rows but for its last bits counts as whole
     ask = written(ask.withColumn("rank", F.greatest(F.lit(1), F.ceil(F.round(F.col("share") * F.col("total"), 6))).cast("long")))
     left = states.join(ask.select("group", "share"), "group")
     found: DataFrame | None = None
     for _ in range(max_rounds):
-        proposals = left.groupBy("group", "share", "part").agg(F.percentile_approx("value", 0.5, 200).alias("value"), F.count(F.lit(1)).alias("w"))
+        proposals = left.withColumn("part", F.spark_partition_id()).groupBy("group", "share", "part").agg(F.percentile_approx("value", 0.5, 200).alias("value"), F.count(F.lit(1)).alias("w"))
         upto = Window.partitionBy("group", "share").orderBy("value", "part").rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy("group", "share")
         pivots = (
@@ -72,11 +74,13 @@ def multi_select(states: DataFrame, shares: list[float], *, error: float = 0.0,
             F.sum(F.when(F.col("value") == F.col("pivot"), F.col("n")).otherwise(0)).alias("at"),
             F.sum(F.when(F.col("value") > F.col("pivot"), F.col("n")).otherwise(0)).alias("above"),
         )
+        seen = Observation()
         open_ = written(
             counts.join(ask, ["group", "share"])
             .withColumn("side", F.when(F.col("rank") <= F.col("below"), -1).when(F.col("rank") <= F.col("below") + F.col("at"), 0).otherwise(1))
             .withColumn("kept", F.when(F.col("side") < 0, F.col("below")).when(F.col("side") > 0, F.col("above")).otherwise(0))
             .withColumn("done", (F.col("side") == 0) | (F.col("kept") + F.col("at") <= F.lit(error) * F.col("total")))
+            .observe(seen, F.count_if(~F.col("done")).alias("going"))
         )
         ended = open_.where("done").select(
             "group", "share", F.col("pivot").alias("value"), F.col("total").alias("n"),
@@ -84,7 +88,7 @@ def multi_select(states: DataFrame, shares: list[float], *, error: float = 0.0,
         )
         found = ended if found is None else found.unionByName(ended)
         going = open_.where("not done")
-        if going.isEmpty():
+        if not seen.get["going"]:
             return found
         ask = going.select("group", "total", "share", (F.col("rank") - F.when(F.col("side") > 0, F.col("below") + F.col("at")).otherwise(0)).alias("rank"))
         left = written(
