@@ -143,9 +143,10 @@ def split_units(units: DataFrame, *, size: int = 4000, overlap: int = 200, min_r
         F.transform(F.split("seq", run, -1), F.length).alias("stretches"),
         F.transform(F.regexp_extract_all("seq", F.lit(run), F.lit(0)), F.length).alias("runs"),
     )
+    # the plain explode would infer a filter on the plan and run it twice
     planned = records.withColumn("longest", F.array_max("stretches")).withColumn("pieces", _planner(size, overlap)("stretches", "runs"))
     kind = F.when(F.col("longest") > size, "hard").otherwise("gap")
-    return planned.select("unit_id", "head", kind.alias("cut_kind"), "longest", "seq", F.explode("pieces").alias("p")).select(
+    return planned.select("unit_id", "head", kind.alias("cut_kind"), "longest", "seq", F.explode_outer("pieces").alias("p")).select(
         "unit_id", "head", "cut_kind", "longest", "p.piece", "p.start", "p.end", "p.cut",
         _cut(F.col("seq"), F.col("p.start"), F.col("p.end") - F.col("p.start")).alias("text"),
     )
