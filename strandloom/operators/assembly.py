@@ -194,3 +194,64 @@ def exact_runs(paf: DataFrame, least: int) -> DataFrame:
     """Runs of equal bases of at least ``least``, but for those as long as the query: ``paf_id, qname, tname, strand, qpos, tpos, len``."""
     runs = cg.walk(paf.select("paf_id", "qname", "qlen", "qstart", "strand", "tname", "tstart", "cigar").where("cigar is not null"))
     return runs.where((F.col("op").isin("=", "M")) & (F.col("len") >= least) & (F.col("len") != F.col("qlen"))).select("paf_id", "qname", "tname", "strand", "qpos", "tpos", "len")
+
+
+def split_at_runs(paf: DataFrame, least: int) -> DataFrame:
+    """``paf_id, piece, qstart, qend, tstart, tend``: each alignment cut at its runs of at least ``least`` equal bases, which are left out.
+
+    Query positions count along the alignment's strand. Pieces empty on both sides
+    are none. Runs are the few of one alignment, so they are taken in order within it.
+    """
+    x = cg.walk(paf.select("paf_id", "qstart", "qend", "tstart", "tend", "cigar").where("cigar is not null")).where((F.col("op").isin("=", "M")) & (F.col("len") >= least))
+    per = x.groupBy("paf_id", "qstart", "qend", "tstart", "tend").agg(F.array_sort(F.collect_list(F.struct("run_no", "qpos", "tpos", "len"))).alias("r"))
+    cuts = """transform(sequence(0, size(r)), i -> named_struct(
+        'qs', if(i = 0, qstart, r[i - 1].qpos + r[i - 1].len), 'qe', if(i = size(r), qend, r[i].qpos),
+        'ts', if(i = 0, tstart, r[i - 1].tpos + r[i - 1].len), 'te', if(i = size(r), tend, r[i].tpos)))"""
+    cuts = cuts.replace("r[i - 1]", "get(r, i - 1)").replace("r[i]", "get(r, i)")
+    out = per.select("paf_id", F.posexplode(F.expr(cuts)).alias("piece", "c")).where("c.qe > c.qs or c.te > c.ts")
+    return out.select("paf_id", "piece", F.col("c.qs").alias("qstart"), F.col("c.qe").alias("qend"), F.col("c.ts").alias("tstart"), F.col("c.te").alias("tend"))
+
+
+def dual_cut(paf: DataFrame, least: int) -> DataFrame:
+    """Pieces of each target and the query that covers most of it, cut at long equal runs: see ``kernels.cut_between_runs``."""
+    from strandloom.operators import kernels
+
+    best = dominant_queries(paf).select("tname", "qname", "strand")
+    runs = cg.walk(paf.join(best, ["tname", "qname", "strand"]).select("tname", "qname", "strand", "qlen", "tlen", "qstart", "tstart", "cigar").where("cigar is not null"))
+    return kernels.cut_between_runs(runs.where((F.col("op").isin("=", "M")) & (F.col("len") != F.col("qlen"))), least)
+
+
+def midpoints_on_query(paf: DataFrame, least: int = 0) -> DataFrame:
+    """``paf_id, tname, tpos, qname, qpos``: the middle of each alignment's target span on both sides: where a switch may be planted.
+
+    ``qpos`` counts along the alignment's strand; within a deletion it is the base after it.
+    """
+    x = paf.where((F.col("tend") - F.col("tstart") >= least) & F.col("cigar").isNotNull()).withColumn("mid", F.col("tstart") + F.expr("(tend - tstart) div 2"))
+    at = cg.walk(x.select("paf_id", "tname", "qname", "mid", "qstart", "tstart", "cigar")).where("op in ('M', '=', 'X', 'D', 'N') and tpos <= mid and mid < tpos + len")
+    return at.select("paf_id", "tname", F.col("mid").alias("tpos"), "qname", (F.col("qpos") + F.when(F.col("op").isin("D", "N"), 0).otherwise(F.col("mid") - F.col("tpos"))).alias("qpos"))
+
+
+def renamed(df: DataFrame, names: DataFrame, column: str = "name") -> DataFrame:
+    """``df`` with names looked up in ``names`` (name, new_name); rows of unknown names drop out."""
+    return df.join(names.select(F.col("name").alias(column), "new_name"), column).drop(column).withColumnRenamed("new_name", column)
+
+
+def scaffold_pairs(names: DataFrame, column: str = "name") -> DataFrame:
+    """``grp, idx, a, b``: neighbours in the order of names that share what stands before ``_``; one left over has no partner."""
+    x = names.select(F.col(column).alias("n"), F.split(column, "_")[0].alias("grp")).where("n is not null").distinct()
+    x = x.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("n")) - 1).withColumn("idx", F.expr("k div 2"))
+    return x.groupBy("grp", "idx").agg(F.min(F.when(F.col("k") % 2 == 0, F.col("n"))).alias("a"), F.min(F.when(F.col("k") % 2 == 1, F.col("n"))).alias("b")).where("b is not null")
+
+
+def synced(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Variant tables side by side: ``on``, then each side's other columns with ``_1`` and ``_2``, nulls where a side has none."""
+    name = lambda df, k: df.select(*on, *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c not in on])
+    return name(left, 1).join(name(right, 2), on, "full")
+
+
+def parse_bubble_names(names: DataFrame) -> DataFrame:
+    """``name, kind, chain, place, side, hap``: parts of ``PR.b.p.x.h`` (phased) and ``UR.b.p.x`` (unphased) names."""
+    p = F.split("name", r"\.")
+    part = lambda k: F.expr(f"try_cast(get(p, {k}) as bigint)")
+    x = names.select("name", p.alias("p")).where("p[0] in ('PR', 'UR')")
+    return x.select("name", F.col("p")[0].alias("kind"), part(1).alias("chain"), part(2).alias("place"), part(3).alias("side"), part(4).alias("hap"))

@@ -46,7 +46,7 @@ def coverage_runs(deltas: DataFrame, lengths: DataFrame | None = None) -> DataFr
     summed = running_sum(events, "contig", "pos", "delta", out="cov")
     upto = Window.partitionBy("contig", F.floor(F.col("pos") / F.lit(1 << 16))).orderBy("pos")
     # the next event: within the stretch, else the first one of the next stretch that has any
-    binned = summed.withColumn("_b", F.floor(F.col("pos") / F.lit(1 << 16)))
+    binned = written(summed.withColumn("_b", F.floor(F.col("pos") / F.lit(1 << 16))))
     heads = binned.groupBy("contig", "_b").agg(F.min("pos").alias("_head"))
     after = heads.select("contig", "_b", F.lead("_head").over(Window.partitionBy("contig").orderBy("_b")).alias("_after"))
     runs = binned.withColumn("_next", F.lead("pos").over(upto)).join(after, ["contig", "_b"]).select("contig", F.col("pos").alias("start"), F.coalesce("_next", "_after").alias("end"), F.col("cov").cast("long"))

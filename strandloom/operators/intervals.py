@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.session import checkpointed, partitions
+from strandloom.session import checkpointed, partitions, written
 
 
 class State(NamedTuple):
@@ -278,7 +278,7 @@ def overlap_counts(df: DataFrame, key: str, entity: str, start: str, end: str) -
     # both counts at every bound: the last known value at or before it, carried over bins of places
     marks = begun.select("_t", "p", F.col("r").alias("b"), F.lit(None).cast("long").alias("e")).unionByName(ended.select("_t", "p", F.lit(None).cast("long").alias("b"), F.col("r").alias("e")))
     marks = marks.groupBy("_t", "p").agg(F.max("b").alias("b"), F.max("e").alias("e"))
-    binned = marks.withColumn("_b", F.floor(F.col("p") / F.lit(1 << 16)))
+    binned = written(marks.withColumn("_b", F.floor(F.col("p") / F.lit(1 << 16))))  # read twice
     tops = binned.groupBy("_t", "_b").agg(F.max("b").alias("tb"), F.max("e").alias("te"))
     before = Window.partitionBy("_t").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select("_t", "_b", F.coalesce(F.max("tb").over(before), F.lit(0)).alias("tb"), F.coalesce(F.max("te").over(before), F.lit(0)).alias("te"))

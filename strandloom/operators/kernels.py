@@ -226,3 +226,58 @@ def reachable(edges: DataFrame, sources: DataFrame, most: int = 30) -> DataFrame
             break
         seen = seen.unionByName(front)
     return seen.where("steps > 0")
+
+
+def merge_runs(q0: np.ndarray, q1: np.ndarray, t0: np.ndarray, t1: np.ndarray, qlen: int, tlen: int, least: int) -> list[int]:
+    """Places of the runs of equal bases that a target and its query are cut at, in order.
+
+    The first is left out if it begins within ``least`` of either start but not at
+    both. One that follows the last kept within ``least`` on either side takes its
+    place if it is at least as long, else it is left out. The last one counts only
+    if it ends ``least`` before both ends, or at both.
+    """
+    n, first = len(q0), 0
+    if n and q0[0] + t0[0] != 0 and (q0[0] < least or t0[0] < least):
+        first = 1
+    if first >= n:
+        return []
+    kept = [first]
+    for k in range(first + 1, n):
+        if k == n - 1 and not ((qlen - q1[k] >= least and tlen - t1[k] >= least) or (q1[k] == qlen and t1[k] == tlen)):
+            continue
+        last = kept[-1]
+        if q0[k] - q1[last] <= least or t0[k] - t1[last] <= least:
+            if q1[k] - q0[k] >= q1[last] - q0[last]:
+                kept[-1] = k
+        else:
+            kept.append(k)
+    return kept
+
+
+CUT = "tname string, qname string, strand string, piece int, qstart long, qend long, tstart long, tend long"
+
+
+def cut_between_runs(runs: DataFrame, least: int) -> DataFrame:
+    """``tname, qname, strand, piece, qstart, qend, tstart, tend``: what lies between the kept runs of a target and its query.
+
+    ``runs``: tname, qname, strand, qlen, tlen, qpos, tpos, len: the runs of one
+    query and strand per target. Runs below ``least`` bases don't count.
+    """
+
+    def one(g: dict) -> dict | None:
+        q0, t0, q1, t1, qlen, tlen = g["qpos"], g["tpos"], g["qpos"] + g["len"], g["tpos"] + g["len"], int(g["qlen"][0]), int(g["tlen"][0])
+        kept = merge_runs(q0, q1, t0, t1, qlen, tlen, least)
+        if not kept:
+            return None
+        edges = [(0, q0[kept[0]], 0, t0[kept[0]])] if q0[kept[0]] and t0[kept[0]] else []
+        edges += [(q1[a], q0[b], t1[a], t0[b]) for a, b in zip(kept, kept[1:], strict=False)]
+        if q1[kept[-1]] != qlen and t1[kept[-1]] != tlen:
+            edges.append((q1[kept[-1]], qlen, t1[kept[-1]], tlen))
+        if not edges:
+            return None
+        n, e = len(edges), np.array(edges, dtype="int64")
+        same = {c: np.repeat(g[c][:1], n) for c in ("tname", "qname", "strand")}
+        return {**same, "piece": np.arange(n, dtype="int32"), "qstart": e[:, 0], "qend": e[:, 1], "tstart": e[:, 2], "tend": e[:, 3]}
+
+    usable = runs.where(F.col("len") >= least).select("tname", "qname", "strand", "qlen", "tlen", "qpos", "tpos", "len").dropna()
+    return by_key(usable, "tname", ["qpos", "tpos"], one, CUT)

@@ -1,10 +1,16 @@
-"""Running sums along a key's positions without a whole key in one task."""
+"""Running sums along a key's positions without a whole key in one task.
+
+Both operators read their input twice, for the stretches and for what lies before
+them; it is written once, or a chain of them would compute it ever more often.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.session import written
+
 
 def running_sum(df: DataFrame, key: str, pos: str, value: str, *, out: str = "running", width: int = 1 << 16) -> DataFrame:
     """``df`` with ``out``: the sum of ``value`` over the key's rows up to this position, ties included.
@@ -13,7 +19,7 @@ def running_sum(df: DataFrame, key: str, pos: str, value: str, *, out: str = "ru
     a hot key is as many tasks as it has stretches, and only totals meet per key.
     Rows of one position should be folded before. Nulls in ``value`` add nothing.
     """
-    binned = df.withColumn("__bin", F.floor(F.col(pos) / width))
+    binned = written(df.withColumn("__bin", F.floor(F.col(pos) / width)))
     before = Window.partitionBy(key).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
         binned.groupBy(key, "__bin").agg(F.sum(value).alias("__sum"))
@@ -33,7 +39,7 @@ def previous(df: DataFrame, key: str, pos: str, value: str, *, out: str = "previ
     Positions are whole numbers, one row each. Looks within stretches of ``width``
     positions, and at the last row of the stretch before; no key is one task.
     """
-    binned = df.withColumn("__bin", F.floor(F.col(pos) / width))
+    binned = written(df.withColumn("__bin", F.floor(F.col(pos) / width)))
     last = binned.groupBy(key, "__bin").agg(F.max_by(F.struct(F.col(value).alias("v")), pos).alias("__last"))
     handed = last.select(key, "__bin", F.lag("__last").over(Window.partitionBy(key).orderBy("__bin")).alias("__handed"))
     within = Window.partitionBy(key, "__bin").orderBy(pos)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.prefix import previous, running_sum
+from strandloom.session import written
 
 
 def _numbered(df: DataFrame, key: str, order: str, fresh: Column, out: str) -> DataFrame:
@@ -13,15 +14,17 @@ def _numbered(df: DataFrame, key: str, order: str, fresh: Column, out: str) -> D
     return running_sum(df.withColumn("_fresh", fresh.cast("long")), key, order, "_fresh", out=out).drop("_fresh")
 
 
-def islands(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+def islands(df: DataFrame, key: str, order: str, value: str, *, reach: str | None = None) -> DataFrame:
     """``key, value, start, end, n``: stretches of rows with an equal value; nulls equal each other.
 
+    With ``reach``, ``end`` is the largest of that column instead of the last ``order``.
+
     ``order`` is a whole number, one row each. A row opens an island if its value
     differs from the one before; islands are numbered by a two-level running count.
     """
-    x = previous(df.select(key, order, value, F.lit(1).alias("_one")).withColumn("_pair", F.struct(value, "_one")), key, order, "_pair", out="_before")
+    x = previous(df.select(key, order, value, F.col(reach or order).alias("_reach"), F.lit(1).alias("_one")).withColumn("_pair", F.struct(value, "_one")), key, order, "_pair", out="_before")
     x = _numbered(x, key, order, F.col("_before").isNull() | ~F.col("_before")[value].eqNullSafe(F.col(value)), "_g")
-    return x.groupBy(key, "_g").agg(F.first(value).alias(value), F.min(order).alias("start"), F.max(order).alias("end"), F.count(F.lit(1)).alias("n")).drop("_g")
+    return x.groupBy(key, "_g").agg(F.first(value).alias(value), F.min(order).alias("start"), F.max("_reach").alias("end"), F.count(F.lit(1)).alias("n")).drop("_g")
 
 
 def long_islands(runs: DataFrame, key: str, value: str, least: int) -> DataFrame:
@@ -44,7 +47,7 @@ def moving_average(df: DataFrame, key: str, order: str, value: str, width: int)
     number, one row each, and ``value`` has no nulls.
     """
     x = running_sum(df.select(key, order, value, F.lit(1).cast("long").alias("_one")), key, order, "_one", out="_n")
-    x = running_sum(x, key, order, value, out="_sum").select(key, order, "_n", "_sum")
+    x = written(running_sum(x, key, order, value, out="_sum").select(key, order, "_n", "_sum"))
     ago = x.select(key, (F.col("_n") + width).alias("_n"), F.col("_sum").alias("_ago"))
     return x.where(F.col("_n") >= width).join(ago, [key, "_n"], "left").select(key, order, ((F.col("_sum") - F.coalesce("_ago", F.lit(0))) / width).alias("average"))
 
@@ -106,3 +109,32 @@ def group_positions(df: DataFrame, key: str, order: str) -> DataFrame:
     """``df`` with ``idx``, 0, 1, ... along ``order`` within each key: names of segments in groups."""
     return df.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
 
+
+
+def switch_error(markers: DataFrame, key: str, start: str, end: str, hap: str, *, short_num: int = 100, short_limit: int = 20_000) -> DataFrame:
+    """``switches, markers, error``: markers on the wrong haplotype in short stretches, of all that lie in blocks.
+
+    Markers of a scaffold (``key``) form stretches of one haplotype out of two. A
+    stretch of ``short_num`` markers or more, or of at least two over more than
+    ``short_limit`` bases, opens a block, as does a scaffold's first one. A shorter
+    stretch on the other haplotype than its block's is a short switch, each of its
+    markers an error; one that ends the scaffold is no switch, but on its own.
+    Blocks of one marker don't count. Null haplotypes are left out; ``start`` is a
+    whole number, one marker each.
+    """
+    x = islands(markers.where(F.col(hap).isNotNull()), key, start, hap, reach=end)
+    x = previous(x.withColumn("_one", F.lit(1)), key, "start", "_one", out="_before")
+    long = (F.col("n") >= max(2, short_num)) | ((F.col("n") >= 2) & (F.col("end") - F.col("start") > short_limit))
+    x = written(_numbered(x, key, "start", long | F.col("_before").isNull(), "_part"))
+    # the stretch that opens a part sets its side; a part on the same side as the one before belongs to its block
+    heads = x.groupBy(key, "_part").agg(F.min("start").alias("start"), F.min_by(hap, "start").alias("_side"))
+    heads = _numbered(previous(heads, key, "start", "_side", out="_other"), key, "start", F.col("_other").isNull() | (F.col("_other") != F.col("_side")), "_block")
+    tails = x.groupBy(key).agg(F.max("start").alias("_tail"))
+    y = x.join(heads.select(key, "_part", "_side", "_block"), [key, "_part"]).join(tails, key)
+    off = F.col(hap) != F.col("_side")
+    trailing = off & (F.col("start") == F.col("_tail"))
+    per = y.groupBy(key, "_block").agg(
+        F.sum(F.when(~trailing, F.col("n")).otherwise(0)).alias("m"), F.sum(F.when(off & ~trailing, F.col("n")).otherwise(0)).alias("s"), F.sum(F.when(trailing, F.col("n")).otherwise(0)).alias("t")
+    )
+    out = per.agg(F.coalesce(F.sum(F.when(F.col("m") > 1, F.col("s"))), F.lit(0)).alias("switches"), F.coalesce(F.sum(F.when(F.col("m") > 1, F.col("m")).otherwise(0) + F.when(F.col("t") > 1, F.col("t")).otherwise(0)), F.lit(0)).alias("markers"))
+    return out.select("switches", "markers", (100 * F.col("switches") / F.nullif("markers", F.lit(0))).alias("error"))

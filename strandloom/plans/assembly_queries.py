@@ -101,7 +101,40 @@ def clean_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("contig", "segment", F.sum(F.col("end") - F.col("start")).over(w).alias("upto"))
 
 
+def split_alignments(spark: SparkSession, d: str) -> DataFrame:
+    return asm.split_at_runs(v.hits(spark, d), 100)
+
+
+def dual_cut(spark: SparkSession, d: str) -> DataFrame:
+    return asm.dual_cut(v.hits(spark, d), 40)
+
+
+def planted_switches(spark: SparkSession, d: str) -> DataFrame:
+    return asm.midpoints_on_query(v.hits(spark, d), 200)
+
+
+def renamed_units(spark: SparkSession, d: str) -> DataFrame:
+    u = v.units(spark, d).where("name is not null").select("name", F.length("seq").cast("long").alias("length"))
+    return asm.renamed(u, asm.unzip_names(v.contigs(spark, d).select("name"), v.hits(spark, d)))
+
+
+def scaffold_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return asm.scaffold_pairs(v.hits(spark, d).select(F.col("qname").alias("name")))
+
+
+def synced_variants(spark: SparkSession, d: str) -> DataFrame:
+    x = v.positions(spark, d)
+    return asm.synced(x.where("cov >= 40").select("ctg", "pos", "base"), x.where("is_var = 1").select("ctg", "pos", "cov"), ["ctg", "pos"])
+
+
+def segment_multiplicity(spark: SparkSession, d: str) -> DataFrame:
+    """How often each target segment of the placements occurs, where more than once."""
+    x = v.hits(spark, d).groupBy("tname", "tstart", "tend").agg(F.count(F.lit(1)).alias("n"))
+    return x.where("n > 1")
+
+
 QUERIES = {f.__name__: f for f in (
+    split_alignments, dual_cut, planted_switches, renamed_units, scaffold_pairs, synced_variants, segment_multiplicity,
     filter_alt, cut_segments, segment_pairs, cut_sequences, ordered_concat, scaffolds, leftover_contigs, haplotype_layout, variant_lift, switch_lift, chosen_sequences, scaffold_index, clean_collapsed,
 )}
 
@@ -111,7 +144,21 @@ SEGS = f"""{v.PLACED}, {OPEN}, sg AS (SELECT 'hap1' AS kind, qname AS contig, qs
     UNION ALL SELECT 'hap2', tname, tstart, tend, '+', qname || ':' || qstart || '-' || qend FROM placed UNION ALL SELECT 'collapsed', contig, s, e, '+', NULL FROM op)"""
 ORD = f"{v.UNITS}, od AS (SELECT unit_id // 20 AS scaffold, unit_id AS place, name, unit_id % 2 AS rc, seq, CASE WHEN unit_id % 3 = 0 THEN 1000 ELSE unit_id % 50 END AS gap FROM unt WHERE name IS NOT NULL AND unit_id % 4 <> 0)"
 REV = "translate(reverse(seq), 'ACGTacgt', 'TGCAtgca')"
+UNZIP = f"""pri AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS n FROM fai)"""
 SQL = {
+    "split_alignments": f"""WITH {v.RUNS}, r AS (SELECT paf_id, qstart, qend, tstart, tend, run_no, qpos, tpos, len, row_number() OVER (PARTITION BY paf_id ORDER BY run_no) AS k, count(*) OVER (PARTITION BY paf_id) AS n
+            FROM runs WHERE op IN ('=', 'M') AND len >= 100),
+        c AS (SELECT paf_id, k - 1 AS piece, lag(qpos + len, 1, qstart) OVER w AS qs, qpos AS qe, lag(tpos + len, 1, tstart) OVER w AS ts, tpos AS te FROM r WINDOW w AS (PARTITION BY paf_id ORDER BY k)
+            UNION ALL SELECT paf_id, n, qpos + len, qend, tpos + len, tend FROM r WHERE k = n)
+        SELECT paf_id, CAST(piece AS INTEGER) AS piece, CAST(qs AS BIGINT) AS qstart, CAST(qe AS BIGINT) AS qend, CAST(ts AS BIGINT) AS tstart, CAST(te AS BIGINT) AS tend FROM c WHERE qe > qs OR te > ts""",
+    "planted_switches": f"""WITH {v.RUNS}, m AS (SELECT *, tstart + (tend - tstart) // 2 AS mid FROM runs WHERE tend - tstart >= 200 AND op IN ('M', '=', 'X', 'D', 'N'))
+        SELECT paf_id, tname, mid AS tpos, qname, CAST(qpos + CASE WHEN op IN ('D', 'N') THEN 0 ELSE mid - tpos END AS BIGINT) AS qpos FROM m WHERE tpos <= mid AND mid < tpos + len""",
+    "renamed_units": f"WITH {v.UNITS}, {UNZIP} SELECT lpad(CAST(n AS VARCHAR), 6, '0') || 'F' AS name, length(seq) AS length FROM unt JOIN pri USING (name)",
+    "scaffold_pairs": f"""WITH {v.HITS}, x AS (SELECT DISTINCT qname AS n, string_split(qname, '_')[1] AS grp FROM hits), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n) - 1 AS k FROM x)
+        SELECT grp, k // 2 AS idx, min(n) FILTER (WHERE k % 2 = 0) AS a, min(n) FILTER (WHERE k % 2 = 1) AS b FROM k GROUP BY grp, k // 2 HAVING count(*) = 2""",
+    "synced_variants": f"""WITH {v.POSITIONS}, l AS (SELECT ctg, pos, base AS base_1 FROM pstn WHERE cov >= 40), r AS (SELECT ctg, pos, cov AS cov_2 FROM pstn WHERE is_var = 1)
+        SELECT * FROM l FULL JOIN r USING (ctg, pos)""",
+    "segment_multiplicity": f"WITH {v.HITS} SELECT tname, tstart, tend, count(*) AS n FROM hits GROUP BY ALL HAVING count(*) > 1",
     "filter_alt": f"""WITH {v.PLACED}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tname, tstart, tend ORDER BY qname DESC) AS k FROM placed) WHERE k = 1)
         SELECT qname, tname, tstart, tend, CAST(0 AS BIGINT) AS qstart, qlen AS qend FROM one a WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.tname = a.tname AND b.tstart < a.tstart AND b.tend > a.tend)""",
     "cut_segments": f"WITH {SEGS} SELECT kind, contig, s AS seg_start, e AS seg_end, strand FROM sg",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.functions import cigar as cg
 from strandloom.operators import contacts as ct
 from strandloom.operators import coverage as cv
 from strandloom.operators import metrics, runs
@@ -114,8 +115,19 @@ def breakpoints(spark: SparkSession, d: str) -> DataFrame:
     return metrics.breakpoints(site_consistency(spark, d), 10, 0.5)
 
 
+def switch_error(spark: SparkSession, d: str) -> DataFrame:
+    x = v.positions(spark, d).select("ctg", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), (F.col("n_a") + F.col("n_c") > F.col("n_g") + F.col("n_t")).cast("int").alias("hap"))
+    return runs.switch_error(x, "ctg", "start", "end", "hap", short_num=4, short_limit=500).withColumn("error", F.round("error", 6))
+
+
+def pileup_depth(spark: SparkSession, d: str) -> DataFrame:
+    """Bases of reads over each place: deletions don't cover."""
+    x = cg.walk(v.hits(spark, d).where("cigar is not null")).where("op in ('M', '=', 'X')").select("tname", "tpos", (F.col("tpos") + F.col("len")).alias("tstop"))
+    return cv.coverage_runs(cv.interval_deltas(x, "tname", "tpos", "tstop")).where("cov > 0").groupBy("contig").agg(F.sum((F.col("end") - F.col("start")) * F.col("cov")).alias("bases"), F.max("cov").alias("deepest"))
+
+
 QUERIES = {f.__name__: f for f in (
-    coverage_runs, coverage_clamped, switch_argmin, switch_argmin_measured, islands, small_run_absorption, short_switch_scan, moving_average, breakpoint_midpoint, pivot_sites,
+    switch_error, pileup_depth, coverage_runs, coverage_clamped, switch_argmin, switch_argmin_measured, islands, small_run_absorption, short_switch_scan, moving_average, breakpoint_midpoint, pivot_sites,
     exact_percentile, n50, n50_by_strand, ng50, hamming, majority_phase_error, site_consistency, breakpoints,
 )}
 
@@ -144,6 +156,9 @@ NXS = f"{ORDERED} SELECT grp, " + ", ".join(f"max(l) FILTER (WHERE upto * 100 >=
 CONSISTENCY = """rd AS (SELECT l_orderkey AS read, l_suppkey % 40 AS site, max(l_partkey) % 2 AS allele FROM lineitem GROUP BY 1, 2),
     lg AS (SELECT site, allele, lag(allele) OVER (PARTITION BY read ORDER BY site) AS b FROM rd), sc AS (SELECT site, count(*) AS n, count(*) FILTER (WHERE allele <> b) AS inconsistent FROM lg WHERE b IS NOT NULL GROUP BY site)"""
 SQL = {
+    "pileup_depth": f"""WITH {v.RUNS}, r AS (SELECT tname AS contig, tpos, len FROM runs WHERE op IN ('M', '=', 'X') AND len > 0), ev AS (SELECT contig, tpos AS p, 1 AS x FROM r UNION ALL SELECT contig, tpos + len, -1 FROM r),
+        c AS (SELECT contig, sum(sum(x)) OVER (PARTITION BY contig ORDER BY p) AS cov FROM ev GROUP BY contig, p) SELECT contig, CAST(any_value(b) AS BIGINT) AS bases, CAST(max(cov) AS BIGINT) AS deepest
+        FROM c JOIN (SELECT contig, sum(len) AS b FROM r GROUP BY contig) USING (contig) GROUP BY contig""",
     "coverage_runs": f"WITH {COV} SELECT * FROM cr",
     "coverage_clamped": f"""WITH RECURSIVE {MEASURED}, n AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY pos) AS r FROM ms),
         w AS (SELECT contig, pos, cov, r, cov AS clamped FROM n WHERE r = 1 UNION ALL SELECT n.contig, n.pos, n.cov, n.r, CASE WHEN (w.clamped > 100 AND n.cov > 5 * w.clamped) OR n.cov > 5000 THEN w.clamped ELSE n.cov END FROM w JOIN n ON n.contig = w.contig AND n.r = w.r + 1)

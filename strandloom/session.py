@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_paths: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,13 +45,15 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder; cuts the lineage.
 
     Smaller than a checkpoint, and later reads prune its columns; order and
-    partition numbers do not survive. The table goes away when Python ends.
+    partition numbers do not survive. The table goes away when Python ends, or with :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    atexit.register(_drop, spark, path)
+    if not _paths:
+        atexit.register(release, spark)
+    _paths.append(path)
     return spark.read.schema(_read_schema(df, partition_by)).parquet(path)
 
 
@@ -61,13 +64,15 @@ def _read_schema(df: DataFrame, partition_by: tuple[str, ...]):
     return StructType(fields + [df.schema[c] for c in partition_by])
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session is gone; the cluster's own cleaning takes over
-        pass
+def release(spark: SparkSession) -> None:
+    """Drops all tables written so far: call it once results that rest on them are stored."""
+    while _paths:
+        path = _paths.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session is gone; the cluster's own cleaning takes over
+            pass
 
 
 def partitions(spark: SparkSession) -> int:

@@ -263,3 +263,56 @@ def test_streams_add_up_as_batches(spark, tmp_path):
     assert rows(spark.table("live")) == rows(contacts.contact_matrix(df.unionByName(df), "a", "b"))
     stream.run_once(stream.windowed_contacts(read(99), "a", "b", "ts"), "windows", "append", str(tmp_path / "c2"))
     assert spark.table("windows").where("t1 = 'A' and t2 = 'A'").first().n == 4
+
+
+def scan_switches(haps, starts, short_num, short_limit):
+    """Marker by marker over one scaffold."""
+    if not haps:
+        return 0, 0
+    side, m, s, run, first, blocks, tail = haps[0], 1, 0, 0, 0, [], 0
+    for h, p in zip(haps[1:], starts[1:]):
+        m += 1
+        if h == side:
+            s, run = s + run, 0
+        else:
+            first = first if run else p
+            run += 1
+            if run > 1 and (run >= short_num or p + 1 - first > short_limit):
+                blocks.append((m - run, s))
+                side, m, s, run = h, run, 0, 0
+    blocks.append((m - run, s))
+    tail = run if run > 1 else 0
+    return sum(e for k, e in blocks if k > 1), sum(k for k, _ in blocks if k > 1) + tail
+
+
+def test_switch_error_like_a_scan(spark):
+    r = random.Random(8)
+    data, want = [], [0, 0]
+    for c in range(25):
+        haps, h = [], 0
+        for _ in range(r.randrange(1, 60)):
+            h = h if r.random() < 0.7 else 1 - h
+            haps.append(h)
+        starts = sorted(r.sample(range(3000), len(haps)))
+        a, b = scan_switches(haps, starts, 4, 150)
+        want = [want[0] + a, want[1] + b]
+        data += [(f"c{c}", p, p + 1, h) for p, h in zip(starts, haps)]
+    df = spark.createDataFrame(data, "c string, s long, e long, h int").repartition(5)
+    got = runs.switch_error(df, "c", "s", "e", "h", short_num=4, short_limit=150).first()
+    assert [got.switches, got.markers] == want
+    assert runs.switch_error(df.limit(0), "c", "s", "e", "h").first().error is None
+
+
+def test_runs_to_cut_at():
+    a = lambda *x: np.array(x)
+    q0, q1 = a(5, 100, 160, 300), a(40, 150, 260, 380)
+    assert kernels.merge_runs(q0, q1, q0, q1, 500, 500, 30) == [2, 3]
+    assert kernels.merge_runs(q0, q1, q0, q1, 400, 400, 30) == [2]
+    assert kernels.merge_runs(q0, q1, q0, q1, 380, 380, 30) == [2, 3]
+    assert kernels.merge_runs(a(5), a(50), a(5), a(50), 500, 500, 30) == []
+    assert kernels.merge_runs(a(), a(), a(), a(), 5, 5, 3) == []
+
+
+def test_bubble_names(spark):
+    df = spark.createDataFrame([("PR.1.2.3.1",), ("UR.4.5.6",), ("other",)], "name string")
+    assert rows(assembly.parse_bubble_names(df)) == [("PR.1.2.3.1", "PR", 1, 2, 3, 1), ("UR.4.5.6", "UR", 4, 5, 6, None)]
