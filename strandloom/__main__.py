@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators import assembly, contacts, coverage, intervals, kernels, metrics
+from strandloom.operators.prefix import number_rows
 from strandloom.plans import pipeline
 from strandloom.sources import readers, writers
 
@@ -28,7 +29,7 @@ def _phase(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _group(spark: SparkSession, a: argparse.Namespace) -> None:
     links = readers.links(spark, a.links).select(F.col("ctg1").alias("tid1"), F.col("ctg2").alias("tid2"))
-    p = readers.pairs(spark, a.pairs).withColumn("idx", F.row_number().over(Window.orderBy("a", "b")) - 1)
+    p = number_rows(readers.pairs(spark, a.pairs), ["a", "b"], out="idx")
     out = pipeline.regroup(links, readers.segment_map(spark, a.bed), p, rounds=a.iter, seed=a.seed)
     writers.phasing(kernels.haplotypes(out), a.out)
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from strandloom.functions import cigar as cg
 from strandloom.functions.sequences import padded_name, parse_region, region, revcomp
 from strandloom.operators import intervals
+from strandloom.operators.prefix import number_rows
+from strandloom.session import written
 
 
 def filter_placements(placed: DataFrame) -> DataFrame:
@@ -55,8 +57,7 @@ def unzip_names(contigs: DataFrame, overlaps: DataFrame) -> DataFrame:
     ``contigs``: name; ``overlaps``: qname, tname, tstart. Of several overlaps of an
     alternate contig the smallest (tname, tstart) counts.
     """
-    # numbers of all contigs need one order over them: the dictionary of names, not their bases
-    pri = contigs.select("name").distinct().withColumn("_n", F.row_number().over(Window.orderBy("name")) - 1)
+    pri = written(number_rows(contigs.select("name").distinct(), ["name"], out="_n"))
     first = overlaps.groupBy("qname").agg(F.min(F.struct("tname", "tstart")).alias("o")).select("qname", "o.tname", "o.tstart")
     placed = first.join(pri.select(F.col("name").alias("tname"), "_n"), "tname").withColumn("_k", F.row_number().over(Window.partitionBy("tname").orderBy("tstart", "qname")))
     return pri.select("name", padded_name("_n").alias("new_name")).unionByName(placed.select(F.col("qname").alias("name"), padded_name("_n", F.col("_k")).alias("new_name")))
@@ -172,14 +173,16 @@ def lift_variants(variants: DataFrame, bed: DataFrame, *, by_length: bool = Fals
 def dominant_queries(paf: DataFrame) -> DataFrame:
     """``tname, qname, strand, covered``: the query and strand that cover most of each target; ties by name, ``+`` first."""
     s = paf.where("tname is not null and qname is not null").groupBy("tname", "qname", "strand").agg(F.sum(F.col("tend") - F.col("tstart")).alias("covered"))
-    w = Window.partitionBy("tname").orderBy(F.desc("covered"), "qname", "strand")
-    return s.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    # the smallest of (most covered, name, strand) is an aggregate: a target of very many queries is no single sort
+    best = s.groupBy("tname").agg(F.min(F.struct((-F.col("covered")).alias("k"), "qname", "strand")).alias("b"))
+    return best.select("tname", "b.qname", "b.strand", (-F.col("b.k")).alias("covered"))
 
 
 def top_targets(paf: DataFrame) -> DataFrame:
     """``qname, tname, match``: the target each query matches most; ties by name."""
     s = paf.where("tname is not null and qname is not null").groupBy("qname", "tname").agg(F.sum("match").alias("match"))
-    return s.withColumn("_r", F.row_number().over(Window.partitionBy("qname").orderBy(F.desc("match"), "tname"))).where("_r = 1").drop("_r")
+    best = s.groupBy("qname").agg(F.min(F.struct((-F.col("match")).alias("k"), "tname")).alias("b"))
+    return best.select("qname", "b.tname", (-F.col("b.k")).alias("match"))
 
 
 def not_overtaken(df: DataFrame, key: str, start: str, end: str) -> DataFrame:

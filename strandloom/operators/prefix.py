@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.session import written
+from strandloom.session import checkpointed, written
 
 
 def running_sum(df: DataFrame, key: str, pos: str, value: str, *, out: str = "running", width: int = 1 << 16) -> DataFrame:
@@ -45,3 +45,16 @@ def previous(df: DataFrame, key: str, pos: str, value: str, *, out: str = "previ
     within = Window.partitionBy(key, "__bin").orderBy(pos)
     found = F.coalesce(F.lag(F.struct(F.col(value).alias("v"))).over(within), F.col("__handed"))
     return binned.join(handed, [key, "__bin"]).withColumn(out, found["v"]).drop("__bin", "__handed")
+
+
+def number_rows(df: DataFrame, order: list[str], *, out: str = "number") -> DataFrame:
+    """``df`` with ``out``: 0, 1, ... along ``order``, by a range sort and the rows of the partitions before.
+
+    No task holds more than its range. Rows that tie in ``order`` are numbered in any order.
+    """
+    placed = checkpointed(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part, row = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit(2**33 - 1))
+    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # a row per partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    return placed.withColumn("__part", part).join(starts, "__part").withColumn(out, F.col("__first") + row).drop("__part", "__first", "__id")

@@ -316,3 +316,10 @@ def test_runs_to_cut_at():
 def test_bubble_names(spark):
     df = spark.createDataFrame([("PR.1.2.3.1",), ("UR.4.5.6",), ("other",)], "name string")
     assert rows(assembly.parse_bubble_names(df)) == [("PR.1.2.3.1", "PR", 1, 2, 3, 1), ("UR.4.5.6", "UR", 4, 5, 6, None)]
+
+
+def test_rows_are_numbered_over_partitions(spark):
+    df = spark.range(500).selectExpr("concat('n', lpad(cast((id * 7919) % 1000 as string), 4, '0')) as name").repartition(9)
+    got = rows(prefix.number_rows(df, ["name"]), "name")
+    assert [n for _, n in got] == list(range(500))
+    assert prefix.number_rows(df.limit(0), ["name"]).count() == 0
