@@ -58,7 +58,9 @@ class Model:
 
     langs: tuple[str, ...]
     words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    #: The row of each n-gram in ``ratios``.
+    grams: dict[str, int]
+    ratios: np.ndarray
     cap: float = 1.5
 
     def word(self, word: str) -> np.ndarray:
@@ -66,8 +68,12 @@ class Model:
         own = self.words.get(w)
         if own is not None:
             return own
-        held = [r for g in grams(w) if (r := self.grams.get(g)) is not None] if w.isalpha() else []
-        return np.minimum(np.maximum(np.add.reduce(held) / len(held), -self.cap), self.cap) if held else np.zeros(len(self.langs))
+        row = self.grams.get
+        held = [r for g in grams(w) if (r := row(g)) is not None] if w.isalpha() else []
+        if not held:
+            return np.zeros(len(self.langs))
+        mean = np.add.reduce(self.ratios[held]) / len(held)
+        return np.minimum(np.maximum(mean, -self.cap), self.cap)
 
 
 class Scorer:
@@ -126,7 +132,8 @@ def _model(counts: DataFrame, prior: float, least: int, max_features: int) -> Mo
         share = (share + 1) / (share + 1).sum()
         for f, c in mine.items():
             ratios[f] = np.log((c + prior * share) / (c.sum() + prior) / share)
-    return Model(langs, parts["w"], parts["g"])
+    kept = parts["g"]
+    return Model(langs, parts["w"], {g: k for k, g in enumerate(kept)}, np.array([*kept.values()]).reshape(-1, len(langs)))
 
 
 def fit(
@@ -255,7 +262,8 @@ def _labeller(broadcast, switch: float, penalty: float, least_words: int, chunk:
                     continue
                 cuts, last = [0], 0
                 for i in range(1, len(ms)):
-                    if i - last >= chunk or STOP.search(t, ms[i - 1].end(), ms[i].start()):
+                    between = t[ms[i - 1].end() : ms[i].start()]
+                    if i - last >= chunk or (between != " " and STOP.search(between)):
                         cuts.append(i)
                         last = i
                 first.append(len(sums))
@@ -305,6 +313,21 @@ def languages(
     return spread(rows).mapInArrow(_labeller(broadcast, switch, penalty, least_words, chunk), f"doc {kind}, {OUT}")
 
 
+def main_language(found: DataFrame) -> DataFrame:
+    """``doc, text_lang, share, confidence`` of what :func:`languages` gives: the language of most words, ties by code.
+
+    ``share`` is its share of the words, ``confidence`` the mean over its segments
+    weighted by their words. Folded within each row; documents without words are left out.
+    """
+    total = "aggregate(segments, 0L, (a, s) -> a + s.words)"
+    per = """transform(array_distinct(transform(segments, s -> s.lang)), l -> named_struct(
+        'words', aggregate(filter(segments, s -> s.lang = l), 0L, (a, s) -> a + s.words), 'lang', l,
+        'sure', aggregate(filter(segments, s -> s.lang = l), 0D, (a, s) -> a + s.words * s.confidence)))"""
+    best = "array_sort(per, (x, y) -> case when x.words > y.words or (x.words = y.words and x.lang < y.lang) then -1 when x.lang = y.lang then 0 else 1 end)[0]"
+    x = found.where("size(segments) > 0").select("doc", F.expr(total).alias("n"), F.expr(per).alias("per")).select("doc", "n", F.expr(best).alias("b"))
+    return x.select("doc", F.col("b.lang").alias("text_lang"), (F.col("b.words") / F.col("n")).alias("share"), (F.col("b.sure") / F.col("b.words")).alias("confidence"))
+
+
 def wrong_labels(documents: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "text", label: str = "lang", **kw) -> DataFrame:
     """``doc, text_lang``: documents whose label is missing or wrong or whose text has several languages; a row for each."""
     keyed = documents.where(F.col(doc).isNotNull()).select(F.struct(F.col(doc).alias("id"), clean_label(label).alias("label")).alias("key"), F.col(text).alias("text"))

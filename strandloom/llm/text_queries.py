@@ -52,10 +52,17 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's main language, the share of its words, and the mean confidence of its segments in it."""
+    documents = table(spark, d, "documents")
+    out = lang.languages(documents, lang.fit(table(spark, d, "lang_samples"), documents))
+    return lang.main_language(out).select(F.col("doc").alias("doc_id"), "text_lang", F.round("share", 6).alias("word_share"), F.round("confidence", 6).alias("confidence"))
+
+
 QUERIES = {
     "p6_found": p6_found, "p6_leaks": p6_leaks, "p6_cleaned": p6_cleaned,
     "p7_found": p7_found, "p7_report": p7_report, "p7_order": p7_order,
-    "p8_found": p8_found, "p8_segments": p8_segments,
+    "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents,
 }
 
 #: Any common tokenizer gives the same cases; here a token is a word or a sign.

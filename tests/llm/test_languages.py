@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from strandloom.llm.languages import TOKEN, best_runs, clean_label, em, fit, languages, viterbi, wrong_labels
+from strandloom.llm.languages import TOKEN, best_runs, clean_label, em, fit, languages, main_language, viterbi, wrong_labels
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -53,6 +53,8 @@ def test_segments_tile_the_text(spark, model):
     assert "".join(text[s.start : s.end] for s in r.segments) == text
     assert all(s.confidence > 0.9 for s in r.segments)
     assert abs(sum(m.share for m in r.mixture) - 1) < 0.05
+    main = main_language(languages(spark.createDataFrame([(1, text, None), (2, "", None)], DOCS), model)).collect()
+    assert [(x["doc"], x.text_lang) for x in main] == [(1, "en")] and 0.5 < main[0].share < 0.8 and main[0].confidence > 0.9
 
 
 def test_odd_texts(spark, model):
