@@ -43,17 +43,17 @@ def clean_label(label: str | Column) -> Column:
 
 
 def grams(word: str) -> list[str]:
-    """Character n-grams (3 and 4) of a word with its ends marked."""
+    """Character trigrams of a word with its ends marked."""
     w = f" {word} "
-    return [w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1)]
+    return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log-likelihood ratio of words and character n-grams in each language against all of them together.
+    """Log-likelihood ratio of words and character trigrams in each language against all of them together.
 
     A word that was seen often enough speaks for itself; another one, such as a
-    name, by the mean of its n-grams and within ``cap``.
+    name, by the mean of its trigrams and within ``cap``.
     """
 
     langs: tuple[str, ...]
