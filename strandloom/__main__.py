@@ -89,8 +89,8 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument(f"--{x}", type=type(default), default=default)
         p.set_defaults(run=f)
 
-    command("phase", _phase, "--sam", "--variants", "--pairs", "--fai", "--out", mapq=10, iter=100, seed=10_000)
-    command("group", _group, "--links", "--bed", "--pairs", "--out", iter=100, seed=1000)
+    command("phase", _phase, "--sam", "--variants", "--pairs", "--fai", "--out", mapq=10, iter=kernels.ROUNDS, seed=10_000)
+    command("group", _group, "--links", "--bed", "--pairs", "--out", iter=kernels.ROUNDS, seed=1000)
     command("place", _place, "--paf", "--out", least=5000)
     command("cut", _cut, "--placed", "--primary", "--alternate", "--out")
     command("n50", _n50, "file")

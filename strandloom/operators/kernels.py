@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import written
+
 
 def by_key(df: DataFrame, key: str, order: list[str], fn, schema: str) -> DataFrame:
     """``fn`` over each key's rows, which come in ``order`` as arrays by column; it returns arrays by column.
@@ -145,45 +147,100 @@ def placements(chained: DataFrame) -> DataFrame:
     )
 
 
+#: Rounds of the search; the reference's default, and the least its pipeline allows.
+ROUNDS = 10_000
+
+
 def local_search(n: int, i: np.ndarray, j: np.ndarray, sign: np.ndarray, rounds: int, rng: np.random.Generator, start: np.ndarray | None = None) -> tuple[np.ndarray, int]:
     """Labels 0/1 of n nodes and their score: consistent ordered pairs.
 
-    ``sign`` is +1 where a pair of nodes wants equal labels, -1 where different. A
+    ``sign`` is +1 where a pair of nodes wants equal labels, -1 where different, 0 where
+    it touches without a vote; edges come in both directions, once each. A
     sweep flips, one after another, each node with more inconsistent than consistent
     votes, until none is left. Then a random node and all it touches flip, and it
     starts again from there; the best labels are kept, the start if none scores.
+
+    Each node's gain (consistent less inconsistent votes) is kept up to date, so a flip
+    costs its edges and a score the nodes. Small graphs come back to the same labels
+    again and again: where a sweep ends from there is remembered.
     """
     label = (rng.integers(0, 2, n) if start is None else start).astype(np.int8)
+    if not len(i):
+        return label, 0
     order = np.argsort(i, kind="stable")
-    to, want, first = j[order], sign[order], np.searchsorted(i[order], np.arange(n + 1))
+    to, want, first = j[order], sign[order].astype(np.int64), np.searchsorted(i[order], np.arange(n + 1))
+    votes, touches = np.count_nonzero(want), [np.unique(np.append(to[a:b], k)) for k, (a, b) in enumerate(zip(first, first[1:], strict=False))]
     spin = 1 - 2 * label.astype(np.int64)
-    best, best_score = label.copy(), 0
+    gain = np.bincount(i[order], want * spin[i[order]] * spin[to], n).astype(np.int64)
+
+    def flip(node: int) -> None:
+        a, b = first[node], first[node + 1]
+        spin[node], gain[node] = -spin[node], -gain[node]
+        gain[to[a:b]] += 2 * want[a:b] * spin[node] * spin[to[a:b]]
+
+    def sweep() -> None:
+        at = 0
+        while True:
+            low = gain[at:] < 0
+            k = int(low.argmax()) if len(low) else 0
+            if len(low) and low[k]:
+                flip(at + k)
+                at += k + 1
+            elif at:
+                at = 0
+            else:
+                return
+
+    best, best_score, ends = label.copy(), 0, {}
+    draws = rng.integers(n, size=max(0, rounds - 1))
     for k in range(max(1, rounds)):
-        moved = True
-        while moved:
-            moved = False
-            for node in range(n):
-                a, b = first[node], first[node + 1]
-                if a < b and spin[node] * (want[a:b] * spin[to[a:b]]).sum() < 0:
-                    spin[node] = -spin[node]
-                    moved = True
-        score = int((want * spin[i[order]] * spin[to] > 0).sum())
+        if n > 64:
+            sweep()
+        elif (end := ends.get(begin := spin.tobytes())) is None:
+            sweep()
+            ends[begin] = spin.copy(), gain.copy()
+        else:
+            spin[:], gain[:] = end
+        score = int(gain.sum() + votes) // 2
         if score > best_score:
             best, best_score = ((1 - spin) // 2).astype(np.int8), score
-        if k + 1 < rounds and n:
-            node = int(rng.integers(n))
-            touched = np.unique(np.append(to[first[node] : first[node + 1]], node))
-            spin[touched] = -spin[touched]
+        if k < len(draws):
+            touched = touches[draws[k]]
+            if 2 * len(touched) > n:  # all nodes at once change no gain: flip all, and the others back
+                spin *= -1
+                touched = np.setdiff1d(np.arange(n), touched, assume_unique=True)
+            for node in touched.tolist():
+                flip(node)
     return best, best_score
 
 
-def phase_labels(blocks: DataFrame, pairs: DataFrame, *, rounds: int = 100, seed: int = 10_000, start: int | None = None) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``grp, idx, part``: the smallest idx that a node is connected with, by joins.
+
+    ``edges``: grp, i, j in both directions; ``nodes``: grp, idx. Each round takes the
+    smallest part around a node, then the part of that part: long paths take few rounds.
+    """
+    edges = written(edges.select("grp", "i", "j"))
+    found = written(nodes.select("grp", "idx", F.col("idx").alias("part")))
+    while True:
+        near = edges.join(found.select("grp", F.col("idx").alias("j"), "part"), ["grp", "j"]).groupBy("grp", F.col("i").alias("idx")).agg(F.min("part").alias("_near"))
+        lower = written(found.join(near, ["grp", "idx"], "left").select("grp", "idx", F.col("part").alias("_was"), F.least("part", "_near").alias("part")))
+        jump = lower.select("grp", F.col("idx").alias("part"), F.col("part").alias("_next"))
+        found = written(lower.join(jump, ["grp", "part"]).select("grp", "idx", F.col("_next").alias("part"), (F.col("_next") != F.col("_was")).alias("_moved")))
+        if found.where("_moved").isEmpty():
+            return found.drop("_moved")
+        found = found.drop("_moved")
+
+
+def phase_labels(blocks: DataFrame, pairs: DataFrame, *, rounds: int = ROUNDS, seed: int = 10_000, start: int | None = None, split: bool = False) -> DataFrame:
     """``grp, idx, a, b, label``: which of a pair's segments goes to which haplotype.
 
-    ``blocks`` as of ``contacts.block_sums``. The generator is seeded by (seed, grp),
+    ``blocks`` as of ``contacts.block_sums``; tied ones don't vote, but the pairs touch.
+    The generator is seeded by (seed, grp),
     so neither partitioning nor order changes a result. Labels start at random, or
     at ``start``; pairs without contacts keep theirs. One task holds one group's
-    contacts, as lists: groups are contigs or, for scaffolds, all their pairs.
+    contacts, as lists: groups are contigs or, for scaffolds, all their pairs. With
+    ``split`` each connected part of a group is searched on its own, in all rounds.
     """
     grp_type = pairs.schema["grp"].dataType.simpleString()
 
@@ -191,15 +248,22 @@ def phase_labels(blocks: DataFrame, pairs: DataFrame, *, rounds: int = 100, seed
         # every pair has a row i = j, so the nodes are known
         i, j, sign = g["i"], g["j"], g["sign"]
         edge = i != j
-        n = int(i.max()) + 1
-        rng = np.random.default_rng([seed, zlib.crc32(str(g["grp"][0]).encode())])
-        labels, _ = local_search(n, i[edge], j[edge], sign[edge], rounds, rng, None if start is None else np.full(n, start))
         nodes = i[~edge]
-        return {"grp": g["grp"][: len(nodes)], "idx": nodes, "label": labels[nodes].astype("int32")}
+        rng = np.random.default_rng([seed, zlib.crc32(str(g["key"][0]).encode())])
+        at = lambda x: np.searchsorted(nodes, x[edge])
+        labels, _ = local_search(len(nodes), at(i), at(j), sign[edge], rounds, rng, None if start is None else np.full(len(nodes), start))
+        return {"grp": g["grp"][: len(nodes)], "idx": nodes, "label": labels.astype("int32")}
 
-    want = blocks.select("grp", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.signum(F.col("same") - F.col("cross")).cast("long").alias("sign")).where("sign != 0")
+    want = blocks.where("same + cross > 0").select("grp", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.signum(F.col("same") - F.col("cross")).cast("long").alias("sign"))
     nodes = pairs.select("grp", F.col("idx").cast("long").alias("i"), F.col("idx").cast("long").alias("j"), F.lit(0).cast("long").alias("sign"))
-    found = by_key(nodes.unionByName(want), "grp", ["i", "j"], one, f"grp {grp_type}, idx long, label int")
+    key = F.col("grp").cast("string")
+    if split:
+        want = written(want)
+        part = components(want, nodes.select("grp", F.col("i").alias("idx")))
+        rows = nodes.unionByName(want).join(part.withColumnRenamed("idx", "i"), ["grp", "i"]).withColumn("key", F.concat_ws(":", key, "part")).drop("part")
+    else:
+        rows = nodes.unionByName(want).withColumn("key", key)
+    found = by_key(rows, "key", ["i", "j"], one, f"grp {grp_type}, idx long, label int")
     return pairs.select("grp", "idx", "a", "b").join(found, ["grp", "idx"])
 
 
@@ -214,8 +278,6 @@ def reachable(edges: DataFrame, sources: DataFrame, most: int = 30) -> DataFrame
 
     ``edges``: src, dst. A node is visited once per source, at its fewest steps.
     """
-    from strandloom.session import written
-
     steps = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     seen = written(sources.select(F.col("src"), F.col("src").alias("dst"), F.lit(0).alias("steps")).distinct())
     front = seen

@@ -114,13 +114,13 @@ def switch_votes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def local_search_labels(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.phase_labels(block_votes(spark, d), v.segment_pairs(spark, d), rounds=50)
+    return kernels.phase_labels(block_votes(spark, d), v.segment_pairs(spark, d))
 
 
 def regroup_labels(spark: SparkSession, d: str) -> DataFrame:
     """All pairs as one group of scaffolds, weak blocks masked, labels starting at 0."""
     p = v.segment_pairs(spark, d).select(F.lit("all").alias("grp"), (F.col("grp") * 5 + F.col("idx")).alias("idx"), "a", "b")
-    return kernels.phase_labels(ct.block_sums(ct.masked_blocks(_matrix(spark, d), p, 5), p), p, rounds=20, seed=1000, start=0)
+    return kernels.phase_labels(ct.block_sums(ct.masked_blocks(_matrix(spark, d), p, 5), p), p, seed=1000, start=0, split=True)
 
 
 def haplotypes(spark: SparkSession, d: str) -> DataFrame:

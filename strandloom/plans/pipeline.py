@@ -22,7 +22,7 @@ class Phased:
     scores: DataFrame
 
 
-def phase(alignments: DataFrame, variants: DataFrame, pairs: DataFrame, lengths: DataFrame, *, mapq: int = 10, rounds: int = 100, seed: int = 10_000) -> Phased:
+def phase(alignments: DataFrame, variants: DataFrame, pairs: DataFrame, lengths: DataFrame, *, mapq: int = 10, rounds: int = kernels.ROUNDS, seed: int = 10_000) -> Phased:
     """Filters read pairs by sites, counts contacts, finds switches and labels the pairs of each group.
 
     ``alignments``: read, seg (1, 2), contig, pos, endpos, mapq, nm; ``variants``:
@@ -44,8 +44,8 @@ def phase(alignments: DataFrame, variants: DataFrame, pairs: DataFrame, lengths:
     return Phased(matrix, labels, kernels.haplotypes(labels), switches, scores)
 
 
-def regroup(contacts: DataFrame, segment_to_scaffold: DataFrame, scaffold_pairs: DataFrame, *, least: int = 5, rounds: int = 100, seed: int = 1000) -> DataFrame:
+def regroup(contacts: DataFrame, segment_to_scaffold: DataFrame, scaffold_pairs: DataFrame, *, least: int = 5, rounds: int = kernels.ROUNDS, seed: int = 1000) -> DataFrame:
     """``grp, idx, a, b, label``: scaffold pairs as one group, from pairs' contacts (tid1, tid2), weak blocks masked."""
     pairs = scaffold_pairs.select(F.lit("all").alias("grp"), "idx", "a", "b")
     matrix = ct.mapped_contacts(contacts, "tid1", "tid2", segment_to_scaffold, "segment", "scaffold")
-    return kernels.phase_labels(ct.block_sums(ct.masked_blocks(matrix, pairs, least), pairs), pairs, rounds=rounds, seed=seed, start=0)
+    return kernels.phase_labels(ct.block_sums(ct.masked_blocks(matrix, pairs, least), pairs), pairs, rounds=rounds, seed=seed, start=0, split=True)

@@ -1,5 +1,6 @@
 """Cases worked out by hand, kernels against brute force, invariants of whole runs."""
 
+import inspect
 import itertools
 import random
 
@@ -191,6 +192,44 @@ def test_local_search_never_loses():
         assert score == int((s * spin[i] * spin[j] > 0).sum()) and best * 0.9 <= score <= best
 
 
+def test_search_takes_all_rounds_and_ties_touch(spark):
+    defaults = [inspect.signature(f).parameters["rounds"].default for f in (kernels.phase_labels, pipeline.phase, pipeline.regroup)]
+    assert defaults == [10_000] * 3
+    r = np.random.default_rng(3)
+    for n in (14, 70):
+        i, j = np.triu_indices(n, 1)
+        kept = r.random(len(i)) < 0.3
+        i, j = i[kept], j[kept]
+        s = r.choice([-1, 0, 1], len(i))
+        i, j, s = np.append(i, j), np.append(j, i), np.append(s, s)
+        label, score = kernels.local_search(n, i, j, s, 60, np.random.default_rng(1), np.zeros(n))
+        # the same by recounting all edges
+        spin, best, want = np.ones(n, int), 0, None
+        draws = np.random.default_rng(1).integers(n, size=59)
+        for k in range(60):
+            while True:
+                before = spin.copy()
+                for x in range(n):
+                    if spin[x] * (s[i == x] * spin[j[i == x]]).sum() < 0:
+                        spin[x] = -spin[x]
+                if (before == spin).all():
+                    break
+            now = int((s * spin[i] * spin[j] > 0).sum())
+            if now > best:
+                best, want = now, (1 - spin) // 2
+            if k < 59:
+                spin[np.union1d(j[i == draws[k]], draws[k])] *= -1
+        assert score == best and label.tolist() in (want.tolist(), (1 - want).tolist())
+        assert kernels.local_search(n, i, j, s, 10_000, np.random.default_rng(1), np.zeros(n))[1] >= score
+    # two parts of one group: the pair 0-2 is tied and so one part with 2-4; 9 is alone
+    pairs = spark.createDataFrame([("g", k, f"a{k}", f"b{k}") for k in (0, 2, 4, 7, 8, 9)], "grp string, idx long, a string, b string")
+    e = [(0, 2, 3, 3), (2, 4, 0, 5), (7, 8, 1, 4)]
+    blocks = spark.createDataFrame([("g", *x) for a, b, p, q in e for x in ((a, b, p, q), (b, a, p, q))], "grp string, i long, j long, same long, cross long")
+    assert rows(kernels.components(blocks, pairs).select("idx", "part")) == [(0, 0), (2, 0), (4, 0), (7, 7), (8, 7), (9, 9)]
+    got = dict(rows(kernels.phase_labels(blocks, pairs, start=0, split=True).select("idx", "label")))
+    assert got[2] != got[4] and got[7] != got[8] and got[9] == 0 and len(got) == 6
+
+
 def test_layout_of_haplotypes(spark):
     segs = spark.createDataFrame([("p", 0, 10), ("p", 10, 30), ("p", 30, 40)], "contig string, start long, end long")
     ph = spark.createDataFrame([("x:0-20", "p:10-30"), ("y:0-8", "p:30-40")], "hap0 string, hap1 string")
