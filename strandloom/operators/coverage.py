@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.prefix import running_sum
-from strandloom.session import written
+from strandloom.session import checkpointed, written
 
 
 def pair_deltas(pairs: DataFrame, contig: str) -> DataFrame:
@@ -57,23 +60,101 @@ def coverage_runs(deltas: DataFrame, lengths: DataFrame | None = None) -> DataFr
 SPIKE_FLOOR, SPIKE_TIMES, SPIKE_MOST = 100, 5, 5000
 
 
+def clamp(prev: int, cov: int) -> int:
+    """The clamped value of a run of ``cov`` after one of ``prev``."""
+    return prev if cov > SPIKE_MOST or (prev > SPIKE_FLOOR and cov > SPIKE_TIMES * prev) else cov
+
+
+class Steps:
+    """What the runs of a stretch make of any value before them.
+
+    A value passes unchanged until a run is no spike for it: the first run of at most
+    5000 if the value is at most 100, else the first such run of at most five times
+    it. ``steps`` are (that run's coverage, value now), the coverages falling. Few:
+    values that differ lie five times apart, and equal neighbours are one.
+    """
+
+    def __init__(self, steps: list[tuple[int, int]] | None = None):
+        self.steps = steps or []
+
+    def add(self, cov: int) -> None:
+        if cov > SPIKE_MOST:
+            return
+        moved = [(c, clamp(x, cov)) for c, x in self.steps]
+        if not moved or cov < moved[-1][0]:
+            moved.append((cov, cov))
+        self.steps = [m for k, m in enumerate(moved) if k + 1 == len(moved) or moved[k + 1][1] != m[1]]
+
+    def __call__(self, prev: int) -> int:
+        if not self.steps:
+            return prev
+        if prev <= SPIKE_FLOOR:
+            return self.steps[0][1]
+        return next((x for c, x in self.steps if c <= SPIKE_TIMES * prev), prev)
+
+
+NO_COVERAGE = -(2**62)  # stands for null, which clamps nothing
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[list, list]:
+    return batch.column("_entity").to_pylist(), batch.column("_cov").to_pylist()
+
+
+def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, first, last, value, steps = None, None, None, None, Steps()
+    for batch in batches:
+        for entity, cov in zip(*_columns(batch), strict=True):
+            if last is None:
+                part, first = batch.column("_part")[0].as_py(), entity
+            value = cov if entity != last else clamp(value, cov)
+            if entity == first:
+                steps.add(cov)
+            last = entity
+    if last is not None:
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "first": [first], "last": [last], "value": [value], "bounds": [[c for c, _ in steps.steps]], "values": [[x for _, x in steps.steps]]}, schema=SUMMARY)
+
+
+SUMMARY = pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("value", pa.int64()), ("bounds", pa.list_(pa.int64())), ("values", pa.list_(pa.int64()))])
+
+
+def _clamper(into: dict[int, tuple[str, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, value, started = None, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if not started:
+                (last, value), started = into.get(batch.column("_part")[0].as_py(), (None, None)), True
+            out = []
+            for entity, cov in zip(*_columns(batch), strict=True):
+                value = cov if entity != last else clamp(value, cov)
+                last = entity
+                out.append(None if value == NO_COVERAGE else value)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("contig", "start", "end", "cov")], pa.array(out, pa.int64())], ["contig", "start", "end", "cov", "clamped"])
+
+    return run
+
+
 def clamp_spikes(runs: DataFrame) -> DataFrame:
     """``contig, start, end, cov, clamped``: a spike takes the value before it, itself clamped.
 
-    A run is a spike if it exceeds 5000, or five times a predecessor above 100. A run
-    of at most 500 can't be one, so the fold starts afresh there: between two such
-    runs lies a small group, and a long contig is not folded in one task.
+    A run is a spike if it exceeds 5000, or five times a predecessor above 100; a
+    contig's first run is none. Range-sorted by (contig, start): each partition is
+    summed up as what it makes of any value before it, the driver chains the
+    summaries, and a second pass starts from the carried values. No contig is one task or row.
     """
-    calm = (F.col("cov") <= SPIKE_FLOOR * SPIKE_TIMES).cast("long")
-    numbered = running_sum(runs.withColumn("_calm", calm), "contig", "start", "_calm", out="_group")
-    fold = f"""aggregate(rows, named_struct('prev', rows[0].cov, 'out', cast(array() as array<struct<start:bigint,end:bigint,cov:bigint,clamped:bigint>>)),
-        (a, r) -> named_struct(
-            'prev', if((a.prev > {SPIKE_FLOOR} and r.cov > {SPIKE_TIMES} * a.prev) or r.cov > {SPIKE_MOST}, a.prev, r.cov),
-            'out', concat(a.out, array(named_struct('start', r.start, 'end', r.end, 'cov', r.cov,
-                'clamped', if((a.prev > {SPIKE_FLOOR} and r.cov > {SPIKE_TIMES} * a.prev) or r.cov > {SPIKE_MOST}, a.prev, r.cov))))),
-        a -> a.out)"""
-    rows = numbered.groupBy("contig", "_group").agg(F.array_sort(F.collect_list(F.struct("start", "end", "cov"))).alias("rows"))
-    return rows.select("contig", F.explode(F.expr(fold)).alias("r")).select("contig", "r.start", "r.end", "r.cov", "r.clamped")
+    contig = runs.schema["contig"].dataType.simpleString()
+    whole = runs.where("contig is not null").select("contig", *[F.col(c).cast("long").alias(c) for c in ("start", "end", "cov")])
+    ordered = whole.withColumn("_entity", F.col("contig").cast("string")).withColumn("_cov", F.coalesce("cov", F.lit(NO_COVERAGE))).orderBy("_entity", "start", "end", "_cov")
+    ordered = checkpointed(ordered.withColumn("_part", F.spark_partition_id()))  # both passes must see the same partitions
+    summaries = ordered.mapInArrow(_summarise, "part int, first string, last string, value long, bounds array<long>, values array<long>").collect()
+    into, state = {}, (None, None)
+    for s in sorted(summaries, key=lambda x: x.part):
+        if state[0] == s.first:
+            into[s.part] = state
+        goes_on = state[0] == s.first == s.last
+        state = s.last, Steps(list(zip(s.bounds, s["values"], strict=True)))(state[1]) if goes_on else s.value
+    return ordered.mapInArrow(_clamper(into), f"contig {contig}, start long, end long, cov long, clamped long")
 
 
 def switch_points(runs: DataFrame, value: str = "clamped", *, least_mean: int = 35) -> DataFrame:

@@ -20,6 +20,7 @@ def _same_segment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Every contig as 2,060 long, as the SQL has it."""
     lengths = table(spark, d, "supplier").select((F.col("s_nationkey") % 5).alias("contig"), F.lit(2060).cast("long").alias("length")).distinct()
     return cv.coverage_runs(cv.pair_deltas(_same_segment(spark, d), "ctg1"), lengths)
 
@@ -38,7 +39,9 @@ def coverage_clamped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def switch_argmin(spark: SparkSession, d: str) -> DataFrame:
-    return cv.switch_points(cv.clamp_spikes(_coverage(spark, d))).select("contig", "pos", F.round("mean", 6).alias("mean"))
+    deltas = cv.pair_deltas(_same_segment(spark, d), "ctg1")
+    lengths = deltas.groupBy("contig").agg(F.max("pos").alias("length"))
+    return cv.switch_points(cv.clamp_spikes(cv.coverage_runs(deltas, lengths))).select("contig", "pos", F.round("mean", 6).alias("mean"))
 
 
 def switch_argmin_measured(spark: SparkSession, d: str) -> DataFrame:

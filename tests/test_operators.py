@@ -104,6 +104,36 @@ def test_coverage_delta_and_spikes(spark):
     assert [x.clamped for x in got if x.contig == "z"] == [9000, 5]
 
 
+def test_spikes_are_clamped_across_partitions(spark):
+    r = random.Random(4)
+    for _ in range(200):
+        cov = [r.choice([0, 3, 90, 101, 300, 505, 506, 1500, 3000, 5000, 5001, 9000]) for _ in range(r.randrange(12))]
+        steps = coverage.Steps()
+        for x in cov:
+            steps.add(x)
+        assert len(steps.steps) <= 5
+        for start in (0, 100, 101, 150, 301, 1000, 1001, 4999, 9000):
+            now = start
+            for x in cov:
+                now = coverage.clamp(now, x)
+            assert steps(start) == now
+    # one unbroken stretch above 500, over many partitions; never an array of it
+    data = [("c", i, i + 1, r.choice([501, 700, 2600, 3600, 4900, 6000])) for i in range(3000)] + [("d", i, i + 1, 600 + i) for i in range(50)]
+    df = spark.createDataFrame(data, "contig string, start long, end long, cov long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = coverage.clamp_spikes(df)
+        got = {(x.contig, x.start): x.clamped for x in out.collect()}
+        assert out.rdd.getNumPartitions() > 1 and "collect_list" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want, last = {}, None
+    for contig, start, _, x in data:
+        prev = coverage.clamp(prev, x) if contig == last else x
+        want[contig, start], last = prev, contig
+    assert got == want
+
+
 def test_switch_point(spark):
     runs_ = [("c", 0, 200, 60), ("c", 200, 210, 3), ("c", 210, 300, 60), ("c", 300, 310, 3), ("c", 310, 350, 150), ("low", 0, 9, 5)]
     df = spark.createDataFrame(runs_, "contig string, start long, end long, clamped long")
