@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import written
+
 
 def pair_up(alignments: DataFrame, read: str, seg: str) -> DataFrame:
     """Mates of a read in one row: columns of segment 1 with suffix ``1``, of segment 2 with ``2``."""
@@ -67,18 +69,29 @@ def contact_matrix(pairs: DataFrame, a: str, b: str, weight: str | Column = "1")
     )
 
 
-def multi_contacts(segments: DataFrame, read: str, target: str) -> DataFrame:
-    """``t1, t2, n`` over all pairs of segments within each read, without making the pairs.
+#: Targets of a read that meet in one block of pairs; a read with more is split over blocks x blocks (fixed value).
+BLOCK_TARGETS = 500
 
-    A read's segments are first counted per target, so the join has a row per pair
-    of distinct targets of a read, weighted by the product of their counts; pairs
-    within one target are its count over two. Reads that touch very many targets
-    are bounded by the number of targets, not by their segments.
+
+def multi_contacts(segments: DataFrame, read: str, target: str) -> DataFrame:
+    """``t1, t2, n`` over all pairs of segments within each read.
+
+    A read's segments are first counted per target; the counts are joined to
+    themselves, a row per pair of distinct targets of a read, weighted by the product
+    of their counts, and folded inside the task before the shuffle. Pairs within one
+    target are its count over two. A read of many targets is split: each block of
+    about 500 targets meets each other block under a key of its own, so no read is one
+    task or row.
     """
-    counts = segments.where(F.col(read).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(read).alias("read"), F.col(target).alias("t")).agg(F.count(F.lit(1)).alias("k"))
-    per_read = counts.groupBy("read").agg(F.collect_list(F.struct("t", "k")).alias("ts"))
-    pairs = F.expr("flatten(transform(ts, x -> transform(filter(ts, y -> y.t != x.t or x.k > 1), y -> struct(x.t as t1, y.t as t2, if(x.t = y.t, x.k * (x.k - 1), x.k * y.k) as w))))")
-    return per_read.select(F.explode(pairs).alias("p")).groupBy("p.t1", "p.t2").agg(F.sum("p.w").cast("long").alias("n"))
+    counts = written(segments.where(F.col(read).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(read).alias("read"), F.col(target).alias("t")).agg(F.count(F.lit(1)).alias("k")))
+    hot = counts.groupBy("read").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_TARGETS)).cast("int").alias("blocks")).where("blocks > 1")
+    placed = counts.join(hot, "read", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = placed.select("read", F.col("block").alias("b1"), each.alias("b2"), F.col("t").alias("t1"), F.col("k").alias("k1"))
+    right = placed.select("read", each.alias("b1"), F.col("block").alias("b2"), F.col("t").alias("t2"), F.col("k").alias("k2"))
+    w = F.when(F.col("t1") == F.col("t2"), F.col("k1") * (F.col("k1") - 1)).otherwise(F.col("k1") * F.col("k2"))
+    pairs = left.join(right, ["read", "b1", "b2"]).where("t1 != t2 or k1 > 1").select("t1", "t2", w.alias("w"))
+    return pairs.groupBy("t1", "t2").agg(F.sum("w").cast("long").alias("n"))
 
 
 def mapped_contacts(pairs: DataFrame, a: str, b: str, mapping: DataFrame, segment: str, scaffold: str, weight: str = "1") -> DataFrame:

@@ -85,6 +85,18 @@ def test_contacts(spark):
     assert rows(contacts.multi_contacts(m, "read", "t")) == [("A", "A", 2), ("A", "B", 2), ("B", "A", 2)]
 
 
+def test_a_read_of_many_targets_is_split(spark, monkeypatch):
+    monkeypatch.setattr(contacts, "BLOCK_TARGETS", 7)
+    r = random.Random(6)
+    data = [(1, r.randrange(60)) for _ in range(150)] + [(k, r.randrange(60)) for k in range(2, 30) for _ in range(r.randrange(5))]
+    out = contacts.multi_contacts(spark.createDataFrame(data, "read int, t int"), "read", "t")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    want = {}
+    for (_, x), (_, y) in ((a, b) for k, a in enumerate(data) for m, b in enumerate(data) if k != m and a[0] == b[0]):
+        want[x, y] = want.get((x, y), 0) + 1
+    assert {(x.t1, x.t2): x.n for x in out.collect()} == want
+
+
 def test_coverage_delta_and_spikes(spark):
     p = spark.createDataFrame([("c", 5, 6, 9, 12)], "ctg string, pos1 long, end1 long, pos2 long, end2 long")
     d = coverage.pair_deltas(p, "ctg")
