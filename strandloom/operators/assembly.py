@@ -156,17 +156,20 @@ def lift_switches(switches: DataFrame, paf: DataFrame, tolerance: float = 0.1) -
     return out.where((F.col("pos") != 0) & (F.col("mate_pos") != 0) & near(F.col("moved"), F.col("pos")) & near(F.col("lifted"), F.col("mate_pos"))).select("segment", F.col("moved").alias("pos"), "kind", "lifted")
 
 
-def lift_variants(variants: DataFrame, bed: DataFrame, *, by_length: bool = False) -> DataFrame:
+def lift_variants(variants: DataFrame, bed: DataFrame, *, by_length: bool = False, width: int = 1 << 16) -> DataFrame:
     """``name, pos, source_pos``: variants of contigs on the scaffold made of their pieces.
 
     ``bed``: contig, start, end, name, place. A scaffold's running offset adds each
     piece's end, or with ``by_length`` its length. Pieces of a contig that overlap
-    each carry a variant.
+    each carry a variant. The two meet in (contig, bin): a piece is in all bins it
+    touches, a variant in one.
     """
     step = F.col("end") - F.col("start") if by_length else F.col("end")
     w = Window.partitionBy("name").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     placed = bed.withColumn("_before", F.coalesce(F.sum(step).over(w), F.lit(0)))
-    x = variants.select(F.col("contig").alias("_c"), "pos").join(placed, (F.col("_c") == F.col("contig")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
+    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width)))
+    binned = placed.where("start < end").withColumn("_bin", bins).withColumnRenamed("contig", "_c")
+    x = variants.select(F.col("contig").alias("_c"), "pos", F.floor(F.col("pos") / width).alias("_bin")).join(binned, ["_c", "_bin"]).where("pos >= start and pos < end")
     return x.select("name", (F.col("_before") + F.col("pos") - F.col("start")).alias("pos"), F.col("pos").alias("source_pos"))
 
 

@@ -27,7 +27,7 @@ def segment_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cut_sequences(spark: SparkSession, d: str) -> DataFrame:
-    out = asm.cut(_segments(spark, d).where("end <= 100000"), v.units(spark, d).select("name", "seq").where("name is not null"))
+    out = asm.cut(_segments(spark, d), v.units(spark, d).select("name", "seq").where("name is not null"))
     return out.select("kind", "segment", F.md5("seq").alias("digest"))
 
 
@@ -61,12 +61,23 @@ def haplotype_layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def variant_lift(spark: SparkSession, d: str) -> DataFrame:
+    """Only the stretch [100, 100000) of each contig, as the SQL has it; :func:`variant_lift_whole` lifts all."""
     bed = v.contigs(spark, d).select(F.col("name").alias("contig"), F.lit(100).cast("long").alias("start"), "length", "tid").select(
         "contig", "start", F.least(F.col("length"), F.lit(100000)).alias("end"), F.concat(F.lit("S"), (F.col("tid") % 50).cast("string")).alias("name"), F.col("tid").alias("place")
     )
     return asm.lift_variants(v.positions(spark, d).where("is_var = 1").select(F.col("ctg").alias("contig"), "pos"), bed)
 
 
+def variant_lift_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Each contig from its start to its end, in pieces of 65,536 bases; a scaffold's offset adds their lengths."""
+    size = 1 << 16
+    each = F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size).cast("int"))).alias("k")
+    tiles = v.contigs(spark, d).where("name is not null and length > 0").select(F.col("name").alias("contig"), "length", "tid", each)
+    start = F.col("k").cast("long") * size
+    bed = tiles.select("contig", start.alias("start"), F.least(F.col("length"), start + size).alias("end"), F.concat(F.lit("S"), (F.col("tid") % 50).cast("string")).alias("name"), F.struct("tid", "k").alias("place"))
+    return asm.lift_variants(v.positions(spark, d).where("is_var = 1").select(F.col("ctg").alias("contig"), "pos"), bed, by_length=True)
+
+
 def switch_lift(spark: SparkSession, d: str) -> DataFrame:
     h = v.hits(spark, d).where("cigar is not null")
     one = h.groupBy("qname").agg(F.min("paf_id").alias("paf_id")).join(h, ["qname", "paf_id"])
@@ -135,7 +146,7 @@ def segment_multiplicity(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     split_alignments, dual_cut, planted_switches, renamed_units, scaffold_pairs, synced_variants, segment_multiplicity,
-    filter_alt, cut_segments, segment_pairs, cut_sequences, ordered_concat, scaffolds, leftover_contigs, haplotype_layout, variant_lift, switch_lift, chosen_sequences, scaffold_index, clean_collapsed,
+    filter_alt, cut_segments, segment_pairs, cut_sequences, ordered_concat, scaffolds, leftover_contigs, haplotype_layout, variant_lift, variant_lift_whole, switch_lift, chosen_sequences, scaffold_index, clean_collapsed,
 )}
 
 OPEN = """op AS (SELECT contig, s, least(e, length) AS e FROM (SELECT tname AS contig, coalesce(max(tend) OVER (PARTITION BY tname ORDER BY tstart, tend ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, tstart AS e

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import cigar as cg
 from strandloom.functions import sequences as sq
 from strandloom.operators import assembly, contacts, coverage, intervals, kernels, metrics, prefix, runs, sites
-from strandloom.plans import pipeline
+from strandloom.plans import assembly_queries, pipeline
 from strandloom.streaming import contacts as stream
 
 
@@ -285,6 +285,20 @@ def test_layout_of_haplotypes(spark):
     assert one.seq == "A" * 10 + "C" * 5 + "G" * 14 + "T" * 4 + "N" * 5
 
 
+def test_contigs_are_cut_and_lifted_whole(spark, monkeypatch):
+    n = 150_000
+    views, q = assembly_queries.v, assembly_queries
+    segs = spark.createDataFrame([("collapsed", "c", 0, 10, "+", None), ("collapsed", "c", 120_000, n, "+", None)], "kind string, contig string, start long, end long, strand string, mate string")
+    monkeypatch.setattr(q, "_segments", lambda *_: segs)
+    monkeypatch.setattr(views, "units", lambda *_: spark.createDataFrame([("c", "ACGTT" * (n // 5))], "name string, seq string"))
+    assert [x[1] for x in rows(q.cut_sequences(spark, ""))] == ["c:0-10", "c:120000-150000"]
+    monkeypatch.setattr(views, "contigs", lambda *_: spark.createDataFrame([("c", n, 1), ("d", 70_000, 51), ("e", 9, 2)], "name string, length long, tid long"))
+    at = [("c", x) for x in (0, 99, 65_535, 65_536, 100_000, n - 1, n)] + [("d", 5), ("d", 69_999), ("e", 3), ("f", 1)]
+    monkeypatch.setattr(views, "positions", lambda *_: spark.createDataFrame([(*x, 1) for x in at], "ctg string, pos long, is_var int"))
+    want = sorted([("S1", x, x) for c, x in at if c == "c" and x < n] + [("S1", n + x, x) for c, x in at if c == "d"] + [("S2", 3, 3)])
+    assert rows(q.variant_lift_whole(spark, "")) == want
+
+
 def test_switches_are_lifted(spark):
     paf = spark.createDataFrame([(1, "q", 0, "+", 100, 10, 40, "10=5D10=5I5="), (2, "q", 0, "+", 100, 0, 9, "30=")], "paf_id long, qname string, qstart long, strand string, tlen long, tstart long, tend long, cigar string")
     cols = "qname string, segment string, pos long, kind string, mate_pos long, offset long"
