@@ -75,11 +75,19 @@ def breakpoint_midpoint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pivot_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Only days 1 to 5, as the SQL has it; :func:`pivot_sites_whole` has all days."""
     x = table(spark, d, "events").select("user_id", F.dayofmonth("ts").alias("day"), F.col("event_type"))
     out = runs.pivoted_sites(x, "user_id", "day", "event_type", [1, 2, 3, 4, 5])
     return out.select("user_id", *[F.col(str(k)).alias(f"day{k}") for k in range(1, 6)])
 
 
+def pivot_sites_whole(spark: SparkSession, d: str) -> DataFrame:
+    """A column for each day a month can have."""
+    x = table(spark, d, "events").select("user_id", F.dayofmonth("ts").alias("day"), F.col("event_type"))
+    days = list(range(1, 32))
+    return runs.pivoted_sites(x, "user_id", "day", "event_type", days).select("user_id", *[F.col(str(k)).alias(f"day{k}") for k in days])
+
+
 def exact_percentile(spark: SparkSession, d: str) -> DataFrame:
     return runs.position_of_rank(v.positions(spark, d).where("cov >= 0"), "ctg", "cov", 0.9)
 
@@ -130,7 +138,7 @@ def pileup_depth(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    switch_error, pileup_depth, coverage_runs, coverage_clamped, switch_argmin, switch_argmin_measured, islands, small_run_absorption, short_switch_scan, moving_average, breakpoint_midpoint, pivot_sites,
+    switch_error, pileup_depth, coverage_runs, coverage_clamped, switch_argmin, switch_argmin_measured, islands, small_run_absorption, short_switch_scan, moving_average, breakpoint_midpoint, pivot_sites, pivot_sites_whole,
     exact_percentile, n50, n50_by_strand, ng50, hamming, majority_phase_error, site_consistency, breakpoints,
 )}
 

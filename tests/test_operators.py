@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import cigar as cg
 from strandloom.functions import sequences as sq
 from strandloom.operators import assembly, contacts, coverage, intervals, kernels, metrics, prefix, runs, sites
-from strandloom.plans import assembly_queries, pipeline
+from strandloom.plans import assembly_queries, coverage_queries, pipeline
 from strandloom.streaming import contacts as stream
 
 
@@ -299,6 +299,15 @@ def test_contigs_are_cut_and_lifted_whole(spark, monkeypatch):
     assert rows(q.variant_lift_whole(spark, "")) == want
 
 
+def test_pivot_has_all_days(spark, small):
+    got = coverage_queries.pivot_sites_whole(spark, small)
+    want = {}
+    for x in spark.read.parquet(f"{small}/events.parquet").select("user_id", F.dayofmonth("ts").alias("day"), "event_type").collect():
+        want.setdefault(x.user_id, {}).setdefault(f"day{x.day}", []).append(x.event_type)
+    assert got.columns == ["user_id", *[f"day{k}" for k in range(1, 32)]]
+    assert {x.user_id: {c: x[c] for c in got.columns[1:] if x[c] is not None} for x in got.collect()} == {u: {c: min(e) for c, e in w.items()} for u, w in want.items()}
+
+
 def test_switches_are_lifted(spark):
     paf = spark.createDataFrame([(1, "q", 0, "+", 100, 10, 40, "10=5D10=5I5="), (2, "q", 0, "+", 100, 0, 9, "30=")], "paf_id long, qname string, qstart long, strand string, tlen long, tstart long, tend long, cigar string")
     cols = "qname string, segment string, pos long, kind string, mate_pos long, offset long"
