@@ -9,6 +9,7 @@ from strandloom.operators import contacts as ct
 from strandloom.operators import kernels, sites
 from strandloom.plans import views as v
 from strandloom.records import table
+from strandloom.session import written
 
 
 def _mates(spark: SparkSession, d: str) -> DataFrame:
@@ -128,13 +129,20 @@ def haplotypes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reachable(spark: SparkSession, d: str) -> DataFrame:
+    """Only from segments below 10 and in three steps, as the SQL has it; :func:`reachable_whole` starts from all."""
     edges = _matrix(spark, d).where("n >= 3 and t1 != t2").select(F.col("t1").alias("src"), F.col("t2").alias("dst"))
     return kernels.reachable(edges, table(spark, d, "supplier").where("s_suppkey < 10").select(F.col("s_suppkey").alias("src")), most=3)
 
 
+def reachable_whole(spark: SparkSession, d: str) -> DataFrame:
+    """From every segment that has a strong contact, in the operator's 30 steps."""
+    edges = written(_matrix(spark, d).where("n >= 3 and t1 != t2").select(F.col("t1").alias("src"), F.col("t2").alias("dst")))
+    return kernels.reachable(edges, edges.select("src").distinct())
+
+
 QUERIES = {f.__name__: f for f in (
     pair_selfjoin, contact_matrix, classified_pairs, contacts_filtered_quality, contacts_by_choice, porec_contacts, multiway_pairs, link_contacts, scaffold_contacts, total_contacts,
-    block_votes, pair_score, objective, low_count_mask, block_normalise, link_eval, both_side_semi, switch_votes, local_search_labels, regroup_labels, haplotypes, reachable,
+    block_votes, pair_score, objective, low_count_mask, block_normalise, link_eval, both_side_semi, switch_votes, local_search_labels, regroup_labels, haplotypes, reachable, reachable_whole,
 )}
 
 CLASS = f"""{v.SITED}, cls AS (SELECT read, seg, tid, CASE WHEN coalesce(first_site > pos, false) THEN 2 WHEN mapq > 10 AND nm < 5 THEN 1 ELSE 0 END AS c FROM sited),

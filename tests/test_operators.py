@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import cigar as cg
 from strandloom.functions import sequences as sq
 from strandloom.operators import assembly, contacts, coverage, intervals, kernels, metrics, prefix, runs, sites
-from strandloom.plans import assembly_queries, coverage_queries, pipeline
+from strandloom.plans import assembly_queries, contact_queries, coverage_queries, pipeline
 from strandloom.streaming import contacts as stream
 
 
@@ -308,6 +308,14 @@ def test_pivot_has_all_days(spark, small):
     assert {x.user_id: {c: x[c] for c in got.columns[1:] if x[c] is not None} for x in got.collect()} == {u: {c: min(e) for c, e in w.items()} for u, w in want.items()}
 
 
+def test_all_segments_reach_in_thirty_steps(spark, monkeypatch):
+    both = [(a, a + 1) for a in range(100, 106)] + [(7, 20)]
+    cells = [(*x, 3) for a, b in both for x in ((a, b), (b, a))] + [(7, 100, 2), (7, 7, 9)]
+    monkeypatch.setattr(contact_queries, "_matrix", lambda *_: spark.createDataFrame(cells, "t1 long, t2 long, n long"))
+    want = sorted([(a, b, abs(a - b)) for a in range(100, 107) for b in range(100, 107) if a != b] + [(7, 20, 1), (20, 7, 1)])
+    assert rows(contact_queries.reachable_whole(spark, "")) == want
+
+
 def test_switches_are_lifted(spark):
     paf = spark.createDataFrame([(1, "q", 0, "+", 100, 10, 40, "10=5D10=5I5="), (2, "q", 0, "+", 100, 0, 9, "30=")], "paf_id long, qname string, qstart long, strand string, tlen long, tstart long, tend long, cigar string")
     cols = "qname string, segment string, pos long, kind string, mate_pos long, offset long"
