@@ -130,7 +130,8 @@ def split_units(units: DataFrame, *, size: int = 4000, overlap: int = 200, min_r
 
     ``unit_id, head, cut_kind, longest, piece, start, end, cut, text``. Consecutive
     pieces share ``overlap`` bases. ``longest`` is the longest stretch without a run
-    of ``min_run`` N; ``cut_kind`` is ``hard`` if it exceeds ``size``, else ``gap``.
+    of ``min_run`` N; ``cut_kind`` is ``hard`` if a piece ends so (then it exceeds
+    ``size``), else ``gap``; null without pieces.
 
     Only the lengths of stretches and runs go to Python, which plans the cuts; the
     bases stay in the JVM, so that a batch of long records stays small.
@@ -145,7 +146,7 @@ def split_units(units: DataFrame, *, size: int = 4000, overlap: int = 200, min_r
     )
     # the plain explode would infer a filter on the plan and run it twice
     planned = records.withColumn("longest", F.array_max("stretches")).withColumn("pieces", _planner(size, overlap)("stretches", "runs"))
-    kind = F.when(F.col("longest") > size, "hard").otherwise("gap")
+    kind = F.when(F.size("pieces") > 0, F.when(F.exists("pieces", lambda p: p["cut"] == "hard"), "hard").otherwise("gap"))
     return planned.select("unit_id", "head", kind.alias("cut_kind"), "longest", "seq", F.explode_outer("pieces").alias("p")).select(
         "unit_id", "head", "cut_kind", "longest", "p.piece", "p.start", "p.end", "p.cut",
         _cut(F.col("seq"), F.col("p.start"), F.col("p.end") - F.col("p.start")).alias("text"),

@@ -6,7 +6,9 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from strandloom.llm import splitting
 from strandloom.llm.splitting import pieces_of, split_units
 
 UNITS = "unit_id long, head string, sub_head string, seq string, quality string"
@@ -76,3 +78,11 @@ def test_very_long_empty_and_extra_columns(spark):
     assert split_units(spark.createDataFrame([], UNITS)).count() == 0
     with pytest.raises(ValueError):
         split_units(df, size=100, overlap=50)
+
+
+def test_kind_comes_from_the_pieces(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a", "ACGT" * 30), (2, "b", ("A" * 40 + "N" * 12) * 3)], "unit_id long, head string, seq string")
+    kinds = lambda: {x.unit_id: x.cut_kind for x in splitting.split_units(df, size=100, overlap=5).collect()}
+    assert kinds() == {1: "hard", 2: "gap"}
+    monkeypatch.setattr(splitting, "_planner", lambda *_: lambda *_: F.array().cast(splitting.PIECES))
+    assert kinds() == {1: None, 2: None}
