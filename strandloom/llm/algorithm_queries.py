@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from strandloom.llm.quantiles import day_states, multi_select
 from strandloom.llm.splitting import split_units
 from strandloom.llm.topn import top_n
-from strandloom.records import match_of, paf_records, table, variant_records
+from strandloom.records import paf_records, table, variant_records
 
 
 def p2_top(spark: SparkSession, d: str) -> DataFrame:
     paf = table(spark, d, "paf")
-    best = top_n(paf_records(paf), "qname", "paf_id", "match", 3, bounds_from=paf.select(match_of().alias("match")))
+    best = top_n(paf_records(paf), "qname", "paf_id", "match", 3, bounds_from=paf.select(F.col("nmatch").alias("match")))
     return best.select(F.col("group").alias("qname"), F.col("item").alias("paf_id"), F.col("score").alias("match"), "place")
 
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from strandloom.llm import topn
 from strandloom.llm.topn import top_n
 
 SCHEMA = "g string, i long, s long"
@@ -37,3 +38,39 @@ def test_empty_clashing_columns_and_text_items(spark):
     assert got(spark.createDataFrame([], SCHEMA), 3) == []
     odd = spark.createDataFrame([("x", "b", 1.5, 1, 2), ("x", "a", 1.5, 3, 4)], "g string, i string, s double, band int, place int")
     assert got(odd, 1) == [("x", "a", 1.5, 1)]
+
+
+@pytest.mark.parametrize("broadcast_groups", [0, 1000])
+def test_same_rows_whether_filled_groups_are_broadcast(spark, broadcast_groups):
+    rows = [(f"g{i % 40}", i, (i * 7919) % 500) for i in range(2000)]
+    assert got(spark.createDataFrame(rows, SCHEMA), 3, broadcast_groups=broadcast_groups) == brute(rows, 3)
+
+
+def test_filled_groups_are_gone_before_a_band_is_ranked(spark, monkeypatch):
+    """Every group is filled by the top band: of the bands below no row may reach a ranking, and without them nothing changes."""
+    rows = [(f"g{i % 20}", i, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    read, plain = [], topn.written
+
+    def spy(out, *by):
+        made = plain(out, *by)
+        if not by:
+            read.append(made.count())
+        return made
+
+    monkeypatch.setattr(topn, "written", spy)
+    assert got(df, 3, bands=(0.9, 0.5)) == brute(rows, 3)
+    assert read == [60, 0], "the second band gives nothing"
+
+
+def test_bands_decide_what_is_ranked(spark, monkeypatch):
+    """With the bands the wrong way round, lower scores fill the groups first: the rows come through the bands."""
+    rows = [(f"g{i % 20}", i, i) for i in range(2000)]
+    plain = topn.banded
+
+    def swapped(*a):
+        out, count = plain(*a)
+        return out.withColumn("band", count - 1 - out.band), count
+
+    monkeypatch.setattr(topn, "banded", swapped)
+    assert got(spark.createDataFrame(rows, SCHEMA), 3, bands=(0.9, 0.5)) != brute(rows, 3)
