@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom.llm.tokens import VOCABULARY, n_tokens
-from strandloom.session import partitions, spread, written
+from strandloom.session import checkpointed, partitions, spread, written
 
 #: Rows of a source whose running sum one task may hold.
 BUCKET_ROWS = 50_000
-#: Sources whose plan the driver may hold.
-MAX_SOURCES = 100_000
+#: What sums of doubles may differ by where a source ends exactly at its demand.
+EVEN = 1e-12
 
 
 def clean_source(col: str | Column) -> Column:
@@ -74,40 +74,39 @@ def mix(
     one and a half of it.
 
     ``order``: ``doc, source, copy, tokens, position``. ``report``: ``source,
-    target_share, max_repeat, have, demand, supply, placed, copies, share, short``;
-    ``share`` is the one reached among what was placed; ``short`` sources run out.
+    target_share, max_repeat, have, demand, supply, placed, copies, share, until, short``;
+    ``share`` is the one reached among what was placed, ``until`` the time at which the
+    source's last copy ends; ``short`` sources end before their demand is met.
 
     Documents without tokens (null or empty text) are not placed. Null sources,
     ids, or sources without a target only count towards the budget. Repeated rows
-    are documents of their own. A source listed twice in ``targets`` is an error.
+    are documents of their own. A source listed twice in ``targets`` is an error; one
+    without documents is short unless it demands nothing.
     """
     spark = documents.sparkSession
     sizes = written(
         spread(documents.select(F.col(doc).alias("doc"), clean_source(source).alias("source"), F.col(text).alias("text")))
         .select("doc", "source", n_tokens("text", vocabulary).alias("tokens")).where("tokens > 0")
-    )
+    )
     whole = budget if budget is not None else (sizes.agg(F.sum("tokens")).first()[0] or 0)
     goals = targets.select("source", "target_share", "max_repeat").where("source is not null")
-    have = sizes.where("source is not null and doc is not null").groupBy("source").agg(F.sum("tokens").alias("have"), F.count(F.lit(1)).alias("n"))
-    rows = goals.join(have, "source", "left").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError("too many sources")
-    if len({r["source"] for r in rows}) < len(rows):
+    if goals.groupBy("source").count().where("count > 1").limit(1).count():
         raise ValueError("a source has two targets")
-    plan_rows, piece_rows, most = [], [], 1
-    for r in rows:
-        n, repeat, share = r["have"] or 0, r["max_repeat"] or 0, r["target_share"] or 0.0
-        plan_rows.append((r["source"], share, repeat, n, share * whole, n * repeat, n * repeat < share * whole))
-        default = Schedule((0.5, 1.5)) if repeat > 1 else Schedule()
-        piece_rows += [(r["source"], *x) for x in (schedules or {}).get(r["source"], default).segments()]
-        most = max(most, r["n"] or 0)
-    plan = spark.createDataFrame(plan_rows, "source string, target_share double, max_repeat int, have long, demand double, supply long, short boolean")
-    pieces = spark.createDataFrame(piece_rows, "source string, u_low double, u_high double, t_low double, w_low double, slope double")
+    mine = sizes.where("source is not null and doc is not null")
+    have = mine.groupBy("source").agg(F.sum("tokens").alias("have"), F.count(F.lit(1)).alias("n"))
+    share, repeat = F.coalesce("target_share", F.lit(0.0)), F.coalesce("max_repeat", F.lit(0))
+    plan = written(
+        goals.join(have, "source", "left").select(
+            "source", share.alias("target_share"), repeat.alias("max_repeat"), F.coalesce("have", F.lit(0)).alias("have"),
+            (share * F.lit(whole)).alias("demand"), (F.coalesce("have", F.lit(0)) * repeat).alias("supply"), F.coalesce("n", F.lit(0)).alias("n"),
+        )
+    )
+    pieces = _pieces(plan, schedules or {})
 
     # running sums without a source in one task: within hash buckets, then over the buckets' totals
-    buckets = max(1, -(-most // BUCKET_ROWS))
+    buckets = max(1, -(-(plan.agg(F.max("n")).first()[0] or 0) // BUCKET_ROWS))
     key = F.pmod(F.xxhash64(F.lit(seed), "doc"), F.lit(2**40))
-    keyed = sizes.where("source is not null and doc is not null").join(plan.select("source"), "source").withColumn("key", key)
+    keyed = mine.join(plan.select("source"), "source").withColumn("key", key)
     keyed = keyed.withColumn("bucket", F.floor(F.col("key") / F.lit(2**40 / buckets)))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     start = (
@@ -116,30 +115,49 @@ def mix(
         .drop("sum")
     )
     within = before.partitionBy("source", "bucket").orderBy("key", "doc")
-    placed = (
-        keyed.withColumn("within", F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-        .join(start, ["source", "bucket"])
-        .join(plan, "source")
-        .withColumn("offset", F.col("start") + F.col("within"))
+    offset = keyed.withColumn("within", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(start, ["source", "bucket"]).withColumn("offset", F.col("start") + F.col("within"))
+    copies = (
+        offset.join(plan.drop("n"), "source")
         .withColumn("copies", F.least(F.col("max_repeat"), F.ceil((F.col("demand") - F.col("offset")) / F.col("have"))).cast("int"))
         .where("copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         .withColumn("u", (F.col("copy") * F.col("have") + F.col("offset")) / F.col("demand"))
-        .join(pieces, "source")
-        .where("u >= u_low and u < u_high")
-        # the time at which the integral reaches u: the root of w x + slope x^2 / 2 = u - u_low
-        .withColumn("rest", F.col("u") - F.col("u_low"))
-        .withColumn("root", F.sqrt(F.greatest(F.lit(0.0), F.col("w_low") * F.col("w_low") + 2 * F.col("slope") * F.col("rest"))))
-        .withColumn("position", F.col("t_low") + F.when(F.col("rest") <= 0, 0.0).otherwise(2 * F.col("rest") / (F.col("w_low") + F.col("root"))))
-        .select("doc", "source", "copy", "tokens", "position")
-    )
-    placed = written(placed)
-    order = placed.repartitionByRange(partitions(spark), "position", "source", "doc", "copy").sortWithinPartitions("position", "source", "doc", "copy")
-    reached = placed.groupBy("source").agg(F.sum("tokens").alias("placed"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("reach", F.col("u") + F.col("tokens") / F.col("demand"))
+    )
+    by = ["position", "source", "doc", "copy"]
+    placed = checkpointed(
+        _at(copies, "u", pieces, "position").select("doc", "source", "copy", "tokens", "position", "reach")
+        .repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by)
+    )
+    reached = placed.groupBy("source").agg(F.sum("tokens").alias("placed"), F.count(F.lit(1)).alias("copies"), F.max("reach").alias("reach"))
     all_placed = placed.agg(F.sum("tokens")).first()[0] or 0
-    report = plan.join(reached, "source", "left").select(
+    ended = _at(reached.withColumn("end", F.least("reach", F.lit(1.0))), "end", pieces, "until").drop("end")
+    none = F.lit(0)
+    report = plan.join(ended, "source", "left").select(
         "source", "target_share", "max_repeat", "have", "demand", "supply",
-        F.coalesce("placed", F.lit(0)).alias("placed"), F.coalesce("copies", F.lit(0)).alias("copies"),
-        (F.coalesce("placed", F.lit(0)) / F.lit(max(1, all_placed))).alias("share"), "short",
-    )
-    return Mix(plan, order, report)
+        F.coalesce("placed", none).alias("placed"), F.coalesce("copies", none).alias("copies"),
+        (F.coalesce("placed", none) / F.lit(max(1, all_placed))).alias("share"), F.coalesce("until", F.lit(0.0)).alias("until"),
+        ((F.col("demand") > 0) & (F.coalesce("reach", F.lit(0.0)) < 1 - EVEN)).alias("short"),
+    )
+    return Mix(plan.drop("n"), placed.drop("reach"), report)
+
+
+def _pieces(plan: DataFrame, schedules: dict[str, Schedule]) -> DataFrame:
+    """``source, u_low, u_high, t_low, w_low, slope``: a row for each linear piece of each source's schedule."""
+    names = ["u_low", "u_high", "t_low", "w_low", "slope"]
+    kind = "array<struct<" + ",".join(f"{c}:double" for c in names) + ">>"
+    plain = lambda s: F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(p, names, strict=True)]) for p in s.segments()])
+    given = plan.sparkSession.createDataFrame([(k, s.segments()) for k, s in schedules.items()], f"source string, given {kind}")
+    default = F.when(F.col("max_repeat") > 1, plain(Schedule((0.5, 1.5)))).otherwise(plain(Schedule()))
+    return plan.join(given, "source", "left").select("source", F.inline(F.coalesce("given", default)))
+
+
+def _at(rows: DataFrame, u: str, pieces: DataFrame, out: str) -> DataFrame:
+    """``rows`` with ``out``: the time at which the integral of the source's schedule reaches ``u``."""
+    rest = F.col(u) - F.col("u_low")  # the root of w x + slope x^2 / 2 = rest
+    root = F.sqrt(F.greatest(F.lit(0.0), F.col("w_low") * F.col("w_low") + 2 * F.col("slope") * rest))
+    return (
+        rows.join(pieces, "source").where((F.col(u) >= F.col("u_low")) & (F.col(u) < F.col("u_high")))
+        .withColumn(out, F.col("t_low") + F.when(rest <= 0, 0.0).otherwise(2 * rest / (F.col("w_low") + root)))
+        .drop("u_low", "u_high", "t_low", "w_low", "slope")
+    )

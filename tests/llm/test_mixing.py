@@ -92,3 +92,29 @@ def test_repeated_rows_ties_clashing_columns_and_long_text(spark):
 def test_sources_in_other_spellings(spark):
     df = spark.createDataFrame([(" Web-Crawl ",), ("web crawl",), ("",), (None,)], "s string")
     assert [r[0] for r in df.select(clean_source("s")).collect()] == ["web_crawl", "web_crawl", None, None]
+
+
+def test_short_comes_from_what_is_placed(spark, monkeypatch):
+    """A curriculum that places only first copies leaves sources short that repeats would fill."""
+    targets = spark.createDataFrame(TARGET_ROWS, TARGETS)
+    plain = mixing._at
+    monkeypatch.setattr(mixing, "_at", lambda rows, u, *a: plain(rows.where("copy = 0") if u == "u" else rows, u, *a))
+    assert {r.source for r in mix(corpus(spark), targets).report.where("short").collect()} == {"small_set", "tiny", "absent"}
+
+
+def test_until_is_where_a_source_runs_out(spark):
+    df = spark.createDataFrame([(i, "a b c d", "s") for i in range(10)], DOCS)
+    n = len(encoding(VOCABULARY, None).encode_ordinary("a b c d")) * 10
+    flat = mix(df, spark.createDataFrame([("s", 1.0, 1)], TARGETS), budget=2 * n, schedules={"s": Schedule()}).report.first()
+    assert flat.short and math.isclose(flat.until, 0.5)
+    late = mix(df, spark.createDataFrame([("s", 1.0, 1)], TARGETS), budget=2 * n, schedules={"s": Schedule((0.0, 2.0))}).report.first()
+    assert late.short and math.isclose(late.until, 0.5**0.5)
+    full = mix(df, spark.createDataFrame([("s", 1.0, 1)], TARGETS), budget=n).report.first()
+    assert not full.short and math.isclose(full.until, 1.0)
+
+
+def test_many_sources(spark):
+    df = spark.range(3000).selectExpr("id doc_id", "'word and word' text", "concat('s', id % 1500) source")
+    targets = df.select("source").distinct().selectExpr("source", "1D / 1500 target_share", "1 max_repeat")
+    report = mix(df, targets).report
+    assert report.count() == 1500 and report.where("short").count() == 0
