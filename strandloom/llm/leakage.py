@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.session import spread
+from strandloom.session import spread, written
 
 #: A run of letters and digits, with the marks that may follow a letter.
 TOKEN = re.compile(r"[^\W_](?:[^\W_]|[̀-ͯ])*")
@@ -31,8 +32,10 @@ class Automaton:
     """Generalised suffix automaton over the words of the items.
 
     After each word of a text it gives the length of the longest run of words that
-    ends there and occurs in some item. ``seed`` is the shortest run of which the
-    places in the items are kept.
+    ends there and occurs in some item. ``seed`` is the shortest run whose places
+    in the items are looked up. All that is kept is linear in the words: the places
+    of a state are a range of one array, in which those of longer runs that end in
+    its run stand beside its own.
     """
 
     def __init__(self, items: list[tuple[object, str]], seed: int):
@@ -42,23 +45,46 @@ class Automaton:
         self.items = [np.array([self.vocabulary.setdefault(normal(w), len(self.vocabulary)) for w in TOKEN.findall(t)], np.int32) for _, t in items]
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: list[list[tuple[int, int]]] = [[]]
+        state = np.zeros(sum(map(len, self.items)), np.int64)  # of the whole item up to each word
+        item, at = np.zeros_like(state), np.zeros_like(state)
+        n = 0
         for k, words in enumerate(self.items):
             last = 0
             for j, w in enumerate(words.tolist()):
                 last = self._extend(last, w)
-                while len(ends) < len(self.next):
-                    ends.append([])
-                ends[last].append((k, j))
-        order = sorted(range(len(self.next)), key=self.length.__getitem__, reverse=True)
-        for v in order:  # a run occurs wherever a longer one that ends in it does
-            if self.link[v] > 0 and self.length[self.link[v]] >= seed:
-                ends[self.link[v]] += ends[v]
-        self.anchor = [0] * len(self.next)
-        for v in reversed(order):
-            if self.length[v] >= seed:
-                self.anchor[v] = v if self.length[self.link[v]] < seed else self.anchor[self.link[v]]
-        self.places = {v: sorted(set(ends[v])) for v in set(self.anchor) if v}
+                state[n], item[n], at[n] = last, k, j
+                n += 1
+        self._place(state, item, at)
+        width = max(1, len(self.vocabulary))
+        self.steps = {v * width + w: to for v, following in enumerate(self.next) for w, to in following.items()}
+        del self.next
+
+    def _place(self, state: np.ndarray, item: np.ndarray, at: np.ndarray) -> None:
+        own = np.bincount(state, minlength=len(self.link)).tolist()
+        whole, link = own.copy(), self.link
+        shortest_first = sorted(range(1, len(link)), key=self.length.__getitem__)
+        for v in reversed(shortest_first):  # a run occurs wherever a longer one that ends in it does
+            whole[link[v]] += whole[v]
+        begin, free = [0] * len(link), [0] * len(link)
+        for v in shortest_first:
+            begin[v] = free[link[v]]
+            free[link[v]] += whole[v]
+            free[v] = begin[v] + own[v]
+        order = np.argsort(state, kind="stable")
+        start = np.repeat(np.array(begin), own)
+        within = np.arange(len(order)) - np.repeat(np.cumsum(own) - own, own)
+        self.end_item, self.end_at = np.zeros_like(item), np.zeros_like(at)
+        self.end_item[start + within], self.end_at[start + within] = item[order], at[order]
+        self.begin, self.whole = begin, whole
+        self.anchor = [0] * len(link)  # the state of the run's last ``seed`` words
+        for v in shortest_first:
+            if self.length[v] >= self.seed:
+                self.anchor[v] = v if self.length[link[v]] < self.seed else self.anchor[link[v]]
+
+    def places(self, v: int) -> list[tuple[int, int]]:
+        """(item, place of its last word) of each time the state's run occurs."""
+        here = slice(self.begin[v], self.begin[v] + self.whole[v])
+        return list(zip(self.end_item[here].tolist(), self.end_at[here].tolist(), strict=True))
 
     def _extend(self, last: int, w: int) -> int:
         if w in self.next[last]:
@@ -97,20 +123,26 @@ class Automaton:
         no item has is -1.
         """
         out: set[tuple[int, int]] = set()
-        following, link, length, anchor, places, seed = self.next, self.link, self.length, self.anchor, self.places, self.seed
+        step, link, length, anchor, seed, width = self.steps.get, self.link, self.length, self.anchor, self.seed, max(1, len(self.vocabulary))
+        held: dict[int, list[tuple[int, int]]] = {}
         v = n = 0
         for i, w in enumerate(words):
             if w < 0:
                 v = n = 0
                 continue
-            while v and w not in following[v]:
+            to = step(v * width + w)
+            while v and to is None:
                 v = link[v]
                 n = length[v]
-            v = following[v].get(w, 0)
+                to = step(v * width + w)
+            v = to or 0
             n = n + 1 if v else 0
             if n >= seed:
                 # the state holds runs of several lengths; the seed is in its chain of shorter ones
-                out.update((k, i - j) for k, j in places[anchor[v]])
+                a = anchor[v]
+                if a not in held:
+                    held[a] = self.places(a)
+                out.update((k, i - j) for k, j in held[a])
         return out
 
 
@@ -156,28 +188,39 @@ def seed_length(exact: int, window: int, replaced: int) -> int:
     return max(1, min(exact, -(-(window - replaced) // (replaced + 1))))
 
 
-def _finder(automaton, exact: int, window: int, replaced: int):
+def _builder(seed: int):
+    def build(table: pa.Table) -> pa.Table:
+        items = list(zip(table.column("item").to_pylist(), table.column("text").to_pylist(), strict=True))
+        made = pickle.dumps(Automaton(items, seed), protocol=5)
+        return pa.table({"block": table.column("block").slice(0, 1), "automaton": pa.array([made], pa.binary())})
+
+    return build
+
+
+def _finder(automata, exact: int, window: int, replaced: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        au: Automaton = automaton.value
-        known: dict[str, int] = {}
+        blocks: list[Automaton] = [pickle.loads(b) for b in automata.value]
+        known: list[dict[str, int]] = [{} for _ in blocks]
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = []
-                for w in TOKEN.findall(text):
-                    code = known.get(w)
-                    if code is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        code = known[w] = au.vocabulary.get(normal(w), -1)
-                    words.append(code)
-                seeds = au.seeds(words)
-                if not seeds:
-                    continue
-                coded, places = np.array(words, np.int32), [m.span() for m in TOKEN.finditer(text)]
-                for k, shift in sorted(seeds):
-                    for s, e, longest in spans_on(coded, au.items[k], shift, exact, window, replaced):
-                        rows.append((doc, au.ids[k], len(words), s, e, places[s][0], places[e - 1][1], longest))
+                words, places = TOKEN.findall(text), None
+                for au, codes in zip(blocks, known, strict=True):
+                    coded = []
+                    for w in words:
+                        code = codes.get(w)
+                        if code is None:
+                            if len(codes) > 200_000:
+                                codes.clear()
+                            code = codes[w] = au.vocabulary.get(normal(w), -1)
+                        coded.append(code)
+                    seeds = au.seeds(coded)
+                    if not seeds:
+                        continue
+                    array, places = np.array(coded, np.int32), places or [m.span() for m in TOKEN.finditer(text)]
+                    for k, shift in sorted(seeds):
+                        for s, e, longest in spans_on(array, au.items[k], shift, exact, window, replaced):
+                            rows.append((doc, au.ids[k], len(words), s, e, places[s][0], places[e - 1][1], longest))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), HITS, strict=True)], schema=HITS)
 
@@ -186,7 +229,7 @@ def _finder(automaton, exact: int, window: int, replaced: int):
 
 def leaked_spans(
     documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    exact: int = 12, window: int = 30, replaced: int = 2, block_words: int = 200_000,
+    exact: int = 12, window: int = 30, replaced: int = 2, block_words: int = 100_000, scan_blocks: int = 4,
 ) -> DataFrame:
     """``doc, item, n_words, start_word, end_word, start, end, longest``: every leaked span of every document.
 
@@ -195,10 +238,15 @@ def leaked_spans(
     each is checked along its shift. A span shared by items has a row for each.
     ``start`` and ``end`` are characters of the text.
 
-    Documents are scanned where they lie, without a shuffle. The automaton holds at
-    most about ``block_words`` words of items; more items are taken in blocks, one
-    scan for each. Null or empty texts and items hold nothing; rows without an id
-    are left out. Repeated rows give repeated spans.
+    Items are dealt into blocks of about ``block_words`` words, and each block's
+    automaton is built in a task. Documents are scanned where they lie, without a
+    shuffle, against ``scan_blocks`` automata at a time: these alone are on the driver
+    and broadcast, and are dropped when their scan has been written. Few items are
+    one scan, which is not written. An item is never cut, so a longer one makes its
+    block as large as it is.
+
+    Null or empty texts and items hold nothing; rows without an id are left out.
+    Repeated rows give repeated spans.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
@@ -207,11 +255,19 @@ def leaked_spans(
     held = items.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     total = held.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-total // block_words))
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
+    built = dealt.groupBy("block").applyInArrow(_builder(seed_length(exact, window, replaced)), "block int, automaton binary")
+    scans = -(-blocks // scan_blocks)
+    if scans > 1:
+        built = written(built)
     out = None
-    for b in range(blocks):
-        mine = held.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
-        automaton = spark.sparkContext.broadcast(Automaton([(r["item"], r["text"]) for r in mine], seed_length(exact, window, replaced)))
-        hits = docs.mapInArrow(_finder(automaton, exact, window, replaced), "doc string, item string, n_words long, start_word long, end_word long, start long, end long, longest long")
+    for s in range(scans):
+        mine = built.where((F.col("block") >= s * scan_blocks) & (F.col("block") < (s + 1) * scan_blocks)).select("automaton").collect()
+        automata = spark.sparkContext.broadcast([bytes(r["automaton"]) for r in mine])
+        hits = docs.mapInArrow(_finder(automata, exact, window, replaced), "doc string, item string, n_words long, start_word long, end_word long, start long, end long, longest long")
+        if scans > 1:
+            hits = written(hits)
+            automata.destroy()
         out = hits if out is None else out.unionByName(hits)
     return out.withColumn("doc", F.col("doc").cast(kinds[0])).withColumn("item", F.col("item").cast(kinds[1]))
 

@@ -47,7 +47,7 @@ def test_random_against_brute_force(spark):
     want = brute(docs, items)
     assert 10 < len(want) < 60 * 8
     assert got(spark, docs, items) == want
-    assert got(spark, docs, items, block_words=60) == want, "items in blocks"
+    assert got(spark, docs, items, block_words=100, scan_blocks=2) == want, "five blocks, three scans"
 
 
 def test_case_accents_punctuation_and_spacing(spark):
@@ -94,3 +94,30 @@ def test_automaton_finds_every_seed():
     want = {(k, i - j) for k, it in enumerate(au.items) for i in range(len(doc) - 4) for j in range(len(it) - 4) if doc[i : i + 5] == it[j : j + 5].tolist()}
     assert au.seeds(doc) == want and want
     assert seed_length(12, 30, 2) == 10
+
+
+def test_one_block_is_live_at_a_time(spark, monkeypatch):
+    """Each scan broadcasts its own automata only, and they are gone once it is written."""
+    live, most = set(), []
+    context = type(spark.sparkContext)
+    plain = context.broadcast
+
+    def broadcast(self, value):
+        made = plain(self, value)
+        live.add(id(made))
+        most.append((len(live), len(value)))
+        drop = made.destroy
+        made.destroy = lambda *a: (live.discard(id(made)), drop(*a))
+        return made
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(40))) for k in range(30)]
+    docs = [(d, f"before {items[d][1]} behind") for d in range(30)]
+    assert got(spark, docs, items, block_words=100, scan_blocks=2) == {(d, d) for d in range(30)}
+    assert len(most) == 6 and {n for n, _ in most} == {1} and max(b for _, b in most) <= 2
+
+
+def test_repetitive_items_stay_linear():
+    au = Automaton([(0, "ha " * 5000), (1, "ha ho " * 3000)], 10)
+    assert len(au.end_at) == 11_000 and len(au.steps) < 40_000
+    assert au.seeds([au.vocabulary["ha"]] * 10) == {(0, 9 - j) for j in range(9, 5000)}
