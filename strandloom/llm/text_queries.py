@@ -65,8 +65,21 @@ QUERIES = {
     "p8_found": p8_found, "p8_segments": p8_segments, "p8_documents": p8_documents,
 }
 
-#: Any common tokenizer gives the same cases; here a token is a word or a sign.
+#: The words of a text without case and accents; the strokes and the sharp s are no accents.
+WORDS = r"regexp_extract_all(replace(replace(replace(translate(strip_accents(lower(text)), 'łøđħŧ', 'lodht'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '[\p{L}\p{N}]+')"
+#: Any common tokenizer gives the same cases for p7; here a token is a word or a sign.
 SQL = {
+    "p6_found": f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        t AS (SELECT item_id, {WORDS} AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+        dw AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), tw AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS j FROM t),
+        ds AS (SELECT doc_id, i, array_to_string(w[i : i + 9], ' ') AS run FROM dw WHERE i + 9 <= len(w)),
+        ts AS (SELECT item_id, j, array_to_string(w[j : j + 9], ' ') AS run FROM tw WHERE j + 9 <= len(w)),
+        shifts AS (SELECT DISTINCT doc_id, item_id, i - j AS shift FROM ds JOIN ts USING (run)),
+        same AS (SELECT s.doc_id, s.item_id, s.shift, dw.i, CAST(dw.w[dw.i] = tw.w[tw.j] AS INTEGER) AS e
+            FROM shifts s JOIN dw ON dw.doc_id = s.doc_id JOIN tw ON tw.item_id = s.item_id AND tw.j = dw.i - s.shift),
+        runs AS (SELECT doc_id, item_id, sum(e) OVER (o ROWS 11 PRECEDING) AS e12, sum(e) OVER (o ROWS 29 PRECEDING) AS e30
+            FROM same WINDOW o AS (PARTITION BY doc_id, item_id, shift ORDER BY i))
+        SELECT DISTINCT doc_id, item_id FROM runs WHERE e12 = 12 OR e30 >= 28""",
     "p7_found": r"""WITH sizes AS (SELECT nullif(regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g'), '') AS source,
         len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) AS tokens FROM documents),
         have AS (SELECT source, sum(tokens) AS tokens FROM sizes GROUP BY source)
