@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,12 @@ LABELS = {
 }
 #: Labels that say that the language is not known (fixed values).
 UNKNOWN = ["", "und", "unknown", "unk", "xx", "xxx", "zxx", "mis", "mul", "n/a", "na", "none", "null", "?", "-"]
-#: A sentence ends between two words where one of these stands.
+#: A sentence ends where one of these stands.
 STOP = re.compile(r"[.!?…。\n]")
+#: The words of a text and the ends of its sentences.
+WORD_OR_STOP = re.compile(f"{TOKEN.pattern}|{STOP.pattern}")
+#: What text in none of the model's languages is called.
+OTHER = "und"
 
 
 def clean_label(label: str | Column) -> Column:
@@ -43,60 +49,81 @@ def clean_label(label: str | Column) -> Column:
 
 
 def grams(word: str) -> list[str]:
-    """Character trigrams of a word with its ends marked."""
+    """Character n-grams of three and of four of a word with its ends marked."""
     w = f" {word} "
-    return [w[i : i + 3] for i in range(len(w) - 2)]
+    return [w[i : i + 3] for i in range(len(w) - 2)] + [w[i : i + 4] for i in range(len(w) - 3)]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log-likelihood ratio of words and character trigrams in each language against all of them together.
+    """Log-likelihood ratios of words and character n-grams in each language against all of them together.
 
-    A word that was seen often enough speaks for itself; another one, such as a
-    name, by the mean of its trigrams and within ``cap``.
+    A word speaks by the mean of its n-grams of three and four, within ``cap``, and,
+    if it was seen often enough, as a whole. The last column is text in none of the
+    languages: there, words are unknown ones at the rate ``strange``, while in a
+    language they are at the rate ``rare`` that was counted.
     """
 
     langs: tuple[str, ...]
-    words: dict[str, np.ndarray]
-    #: The row of each n-gram in ``ratios``.
+    #: The row of each word and of each n-gram in ``word_ratios`` and ``gram_ratios``.
+    words: dict[str, int]
+    word_ratios: np.ndarray
     grams: dict[str, int]
-    ratios: np.ndarray
+    gram_ratios: np.ndarray
+    rare: float
+    strange: float = 0.9
     cap: float = 1.5
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word, a column for each language and one for none of them."""
+        out = np.zeros((len(words), len(self.langs) + 1))
+        mine, rows, sizes, row, k = [], [], [], self.grams.get, len(self.langs)
+        for x in words:
+            w = normal(x)
+            mine.append(self.words.get(w, -1))
+            held = [r for g in grams(w) if (r := row(g)) is not None] if w.isalpha() else []
+            rows += held
+            sizes.append(len(held))
+        sizes = np.array(sizes)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            sums = np.add.reduceat(self.gram_ratios[rows], np.cumsum(sizes[some]) - sizes[some], 0)
+            out[some, :k] = np.clip(sums / sizes[some, None], -self.cap, self.cap)
+        mine = np.array(mine, np.int64)
+        known = mine >= 0
+        out[known, :k] += self.word_ratios[mine[known]]
+        alpha = np.array([x[0].isalpha() for x in words], bool)
+        out[:, k] = np.where(known, np.log((1 - self.strange) / (1 - self.rare)), np.log(self.strange / self.rare)) * alpha
+        return out
+
     def word(self, word: str) -> np.ndarray:
-        w = normal(word)
-        own = self.words.get(w)
-        if own is not None:
-            return own
-        row = self.grams.get
-        held = [r for g in grams(w) if (r := row(g)) is not None] if w.isalpha() else []
-        if not held:
-            return np.zeros(len(self.langs))
-        mean = np.add.reduce(self.ratios[held]) / len(held)
-        return np.minimum(np.maximum(mean, -self.cap), self.cap)
+        return self.scores([word])[0, :-1]
 
 
 class Scorer:
-    """Scores of words, each worked out once as long as no more than ``most`` are held."""
+    """Rows of scores of words, each worked out once as long as no more than ``most`` are held. Row 0 is no word."""
 
     def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most = model, most
-        self.row: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(model.langs)))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.row: dict[str, int] = dict.fromkeys(".!?…。\n", 0)
+        self.scores, self.used = np.zeros((1024, len(self.model.langs) + 1)), 1
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.row) > self.most:
-            self.row.clear()
-        rows = []
-        for w in words:
-            r = self.row.get(w)
-            if r is None:
-                r = self.row[w] = len(self.row)
-                if r >= len(self.scores):
-                    self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-                self.scores[r] = self.model.word(w)
-            rows.append(r)
-        return self.scores[rows]
+        """The row of each word in ``self.scores``, which holds until the next call."""
+        if self.used > self.most:
+            self._clear()
+        new = list(set(words).difference(self.row))
+        if new:
+            end = self.used + len(new)
+            if end > len(self.scores):
+                self.scores = np.concatenate((self.scores, np.zeros((max(end, len(self.scores)), self.scores.shape[1]))))
+            self.scores[self.used : end] = self.model.scores(new)
+            self.row.update(zip(new, range(self.used, end), strict=True))
+            self.used = end
+        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
 
 def _counts(labelled: DataFrame) -> DataFrame:
@@ -118,129 +145,177 @@ def _counts(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(explode, "feature string, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n"))
 
 
-def _model(counts: DataFrame, prior: float, least: int, max_features: int) -> Model:
+def _model(counts: DataFrame, prior: float, least: int, langs: tuple[str, ...] | None = None) -> Model:
     per = counts.groupBy("feature").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    rows = per.where(F.col("all") >= least).orderBy(F.desc("all"), "feature").limit(max_features).collect()
-    langs = tuple(sorted({k for r in rows for k in r["by"]}))
+    every = per.collect()  # as many as the bounded labelled texts have
+    langs = langs or tuple(sorted({k for r in every for k in r["by"]}))
     if not langs:
         raise ValueError("no labelled texts")
-    count = {r["feature"]: np.array([r["by"].get(k, 0) for k in langs], float) for r in rows}
-    parts: dict[str, dict[str, np.ndarray]] = {"w": {}, "g": {}}
-    for kind, ratios in parts.items():
-        mine = {f[1:]: c for f, c in count.items() if f[0] == kind}
-        share = np.sum([*mine.values()], 0)
+    parts = []
+    for kind in "wg":
+        mine = [r for r in every if r["feature"][0] == kind and r["all"] >= least]
+        count = np.array([[r["by"].get(k, 0) for k in langs] for r in mine], float).reshape(-1, len(langs))
+        share = count.sum(0)
         share = (share + 1) / (share + 1).sum()
-        for f, c in mine.items():
-            ratios[f] = np.log((c + prior * share) / (c.sum() + prior) / share)
-    kept = parts["g"]
-    return Model(langs, parts["w"], {g: k for k, g in enumerate(kept)}, np.array([*kept.values()]).reshape(-1, len(langs)))
+        ratios = np.log((count + prior * share) / (count.sum(1, keepdims=True) + prior) / share)
+        parts += [{r["feature"][1:]: k for k, r in enumerate(mine)}, ratios]
+    words = [r["all"] for r in every if r["feature"][0] == "w"]
+    rare = sum(n for n in words if n < max(2, least)) / sum(words)  # words as rare as these will be met unknown
+    return Model(langs, *parts, rare=min(0.5, max(0.05, rare)))
 
 
 def fit(
     samples: DataFrame, documents: DataFrame | None = None, *, lang: str = "lang", text: str = "text", doc: str = "doc_id",
-    prior: float = 0.7, train_docs: int = 5000, least: int = 3, max_features: int = 300_000,
+    prior: float = 0.7, train_docs: int = 5000, least: int = 3,
 ) -> Model:
     """A model from checked samples, a small table, and from a bounded number of labelled documents.
 
     A first model is fitted on ``samples``. With it, the sentences of ``train_docs``
     documents (those of smallest hash) whose label it confirms are counted as well.
-    Of both together, words and n-grams seen ``least`` times or more are kept, at
-    most ``max_features`` of them: that bounds what is broadcast. Documents only add
+    Of both together, all words and n-grams seen ``least`` times or more are kept: the
+    texts of ``train_docs`` documents bound what is broadcast. Documents only add
     vocabulary; which ones are labelled afterwards does not depend on them.
     """
     checked = samples.select(clean_label(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and lang != 'other' and text is not null")
     base = _counts(checked)
-    first = _model(base, prior, 1, max_features)
+    first = _model(base, prior, 1)
     if documents is None:
         return first
     labelled = documents.select(clean_label(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc).alias("h")).where("lang is not null and text is not null")
     bounded = spread(labelled.orderBy("h", "text").limit(train_docs))
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(first)
         for batch in batches:
             codes, out = [], []
             for code, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for sentence in STOP.split(t):
                     words = TOKEN.findall(sentence)
-                    if len(words) >= 4 and first.langs[int(sum(first.word(w) for w in words).argmax())] == code:
+                    if len(words) < 4:
+                        continue
+                    rows = scorer(words)
+                    if first.langs[int(scorer.scores[rows].sum(0)[:-1].argmax())] == code:
                         codes.append(code)
                         out.append(sentence)
             yield pa.RecordBatch.from_pydict({"lang": pa.array(codes, pa.string()), "text": pa.array(out, pa.string())})
 
     more = _counts(bounded.select("lang", "text").mapInArrow(confirmed, "lang string, text string"))
-    both = base.unionByName(more).groupBy("feature", "lang").agg(F.sum("n").alias("n"))
-    out = _model(both, prior, least, max_features)
-    return out if out.langs == first.langs else first
+    return _model(base.unionByName(more).groupBy("feature", "lang").agg(F.sum("n").alias("n")), prior, least, first.langs)
 
 
-def em(scores: np.ndarray, first: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of the languages in each document, and responsibilities of each chunk.
+def em(scores: np.ndarray, first: np.ndarray, allowed: np.ndarray | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions of the languages in each document, responsibilities of each chunk, and the documents' log-likelihoods.
 
     ``scores`` has the log-likelihoods of chunks, documents' chunks together;
-    ``first`` is where each document's begin. All documents of a batch at once.
+    ``first`` is where each document's begin, ``allowed`` the languages each may
+    hold. All documents of a batch at once.
     """
     sizes = np.diff(np.append(first, len(scores)))
-    weight = np.exp(scores - scores.max(1, keepdims=True))
-    share = np.full((len(first), scores.shape[1]), 1 / scores.shape[1])
+    allowed = np.ones((len(first), scores.shape[1]), bool) if allowed is None else allowed
+    mine = np.repeat(allowed, sizes, 0)
+    top = np.where(mine, scores, -np.inf).max(1, keepdims=True)
+    weight = np.exp(np.where(mine, scores, -np.inf) - top)
+    share = allowed / allowed.sum(1, keepdims=True)
     for _ in range(rounds):
         held = weight * np.repeat(share, sizes, 0)
         held /= held.sum(1, keepdims=True)
-        share = np.add.reduceat(held, first, 0) / sizes[:, None]
-        share = np.maximum(share, 1e-9)
-    return share, held
-
-
-def best_runs(gains: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sums, starts, ends): for each column the contiguous stretch with the largest sum."""
-    total = np.zeros((len(gains) + 1, gains.shape[1]))
-    np.cumsum(gains, 0, out=total[1:])
-    rise = total - np.minimum.accumulate(total, 0)
-    ends, columns = rise.argmax(0), range(gains.shape[1])
-    starts = np.array([int(total[: e + 1, k].argmin()) for k, e in zip(columns, ends.tolist(), strict=True)])
-    return rise[ends, columns], starts, ends
-
-
-def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
-    """The best labels of words if each change of language costs ``switch``."""
-    n, k = scores.shape
-    back = np.zeros((n, k), np.int64)
-    at = scores[0].copy()
-    for i in range(1, n):
-        top = int(at.argmax())
-        leave = at[top] - switch
-        stay = at >= leave
-        back[i] = np.where(stay, np.arange(k), top)
-        at = np.where(stay, at, leave) + scores[i]
-    out = np.zeros(n, np.int64)
-    out[-1] = int(at.argmax())
-    for i in range(n - 1, 0, -1):
-        out[i - 1] = back[i, out[i]]
-    return out
+        before, share = share, np.add.reduceat(held, first, 0) / sizes[:, None]
+        if np.abs(share - before).max() < 1e-5:
+            break
+    total = (weight * np.repeat(share, sizes, 0)).sum(1, keepdims=True)
+    held = weight * np.repeat(share, sizes, 0) / total
+    return share, held, np.add.reduceat(np.log(total[:, 0]) + top[:, 0], first)
 
 
-def select(scores: np.ndarray, share: np.ndarray, switch: float, penalty: float, least_words: int) -> np.ndarray:
-    """Labels of a document's words under the language set of highest penalised likelihood.
+def chunks_of(rows: np.ndarray, sizes: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document of each chunk, where its words begin) over words and, as row 0, ends of sentences.
 
-    Starting from the language that explains most, languages are added by the
-    likelihood their best stretch gains, as long as that exceeds ``penalty``; equal
-    ones by their proportion.
+    Begins count words only. A sentence of more than ``chunk`` words is cut into
+    equal chunks of no more than that.
     """
-    n, k = scores.shape
-    chosen = [int((scores.sum(0) + 1e-6 * share).argmax())]
-    labels = np.full(n, chosen[0])
-    while len(chosen) < k:
-        gained, starts, ends = best_runs(scores - scores[np.arange(n), labels][:, None])
-        gained[chosen] = -1.0
-        best = int((gained + 1e-6 * share).argmax())
-        if gained[best] <= penalty or ends[best] - starts[best] < least_words:
-            break
-        tried = np.array([*chosen, best])
-        trial = tried[viterbi(scores[:, tried], switch)]
-        if best not in trial:
-            break
-        chosen.append(best)
-        labels = trial
-    return labels
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    word = rows > 0
+    sentence = np.cumsum(~word)[word]
+    doc = doc[word]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (sentence[1:] != sentence[:-1])
+    begin = np.flatnonzero(new)
+    length = np.diff(np.append(begin, len(doc)))
+    at = np.arange(len(doc)) - np.repeat(begin, length)
+    parts = np.repeat(-(-length // chunk), length)
+    piece = at * parts // np.repeat(length, length)
+    new[1:] |= piece[1:] != piece[:-1]
+    starts = np.flatnonzero(new)
+    return doc[starts], starts
+
+
+def choose(scores: np.ndarray, first: np.ndarray, words: np.ndarray, penalty: float, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(languages, proportions, responsibilities): each document's set of highest penalised likelihood.
+
+    ``scores`` and ``words`` are of chunks; the last column is text in none of the
+    languages. A set's likelihood is that of the mixture of its languages in the
+    proportions that expectation-maximisation finds. The one language that explains
+    most comes first. Then the language is added that raises the likelihood most, as
+    long as that exceeds ``penalty`` and at least ``least_words`` words fall to it;
+    last, languages go that the others make up for but for less than ``penalty``.
+
+    A mixture explains no chunk better than its best language does. Where that
+    already rules out every second language, nothing is left to estimate.
+    """
+    n, k = len(first), scores.shape[1]
+    sizes = np.diff(np.append(first, len(scores)))
+    single = np.add.reduceat(scores, first, 0)
+    best = single[:, :-1].argmax(1)
+    chosen = np.arange(k) == best[:, None]
+    reached = single[np.arange(n), best]
+    share, held = chosen.astype(float), np.repeat(chosen, sizes, 0).astype(float)
+
+    def chunks(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.cumsum(sizes[docs]) - sizes[docs]
+        return np.arange(sizes[docs].sum()) + np.repeat(first[docs] - starts, sizes[docs]), starts
+
+    def attempt(docs: np.ndarray, lang: np.ndarray, change: float) -> np.ndarray:
+        """Each document with one language more or less; keeps the best change of a document if it changes the likelihood by more than that."""
+        tried = chosen[docs].copy()
+        tried[np.arange(len(docs)), lang] ^= True
+        rows, starts = chunks(docs)
+        shares, resp, likely = em(scores[rows], starts, tried)
+        gain = likely - reached[docs]
+        if change > 0:
+            fallen = np.add.reduceat(words[rows] * (resp[np.arange(len(rows)), np.repeat(lang, sizes[docs])] > 0.5), starts)
+            gain = np.where(fallen >= least_words, gain, -np.inf)
+        order = np.lexsort((lang, -gain, docs))
+        order = order[np.append(True, docs[order][1:] != docs[order][:-1])]
+        order = order[gain[order] > change]
+        for i in order.tolist():
+            d = docs[i]
+            chosen[d], share[d], reached[d] = tried[i], shares[i], likely[i]
+            held[first[d] : first[d] + sizes[d]] = resp[starts[i] : starts[i] + sizes[d]]
+        return docs[order]
+
+    going = np.arange(n)
+    while len(going):
+        rows, starts = chunks(going)
+        top = np.where(np.repeat(chosen[going], sizes[going], 0), scores[rows], -np.inf).max(1, keepdims=True)
+        most = np.add.reduceat(np.maximum(scores[rows], top), starts, 0) - reached[going][:, None]
+        who, lang = np.nonzero((most > penalty) & ~chosen[going])
+        going = attempt(going[who], lang, penalty) if len(who) else who
+    going = np.flatnonzero(chosen.sum(1) > 1)
+    while len(going):
+        who, lang = np.nonzero(chosen[going])
+        going = attempt(going[who], lang, -penalty)
+        going = going[chosen[going].sum(1) > 1]
+    return chosen, share, held
+
+
+def runs_of(held: np.ndarray, sure: float = 0.9) -> tuple[np.ndarray, np.ndarray]:
+    """(first chunk, language) of each stretch of a document's chunks; an undecided chunk goes with the one before."""
+    label = held.argmax(1)
+    decided = np.flatnonzero(held.max(1) >= sure)
+    if len(decided):
+        label = label[decided[np.maximum(np.searchsorted(decided, np.arange(len(held)), "right") - 1, 0)]]
+    at = np.append(0, np.flatnonzero(np.diff(label)) + 1)
+    return at, label[at]
 
 
 SEGMENTS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64())]))
@@ -248,69 +323,74 @@ SHARES = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 OUT = "segments array<struct<start:long,end:long,words:long,lang:string,confidence:double>>, mixture array<struct<lang:string,share:double>>"
 
 
-def _labeller(broadcast, switch: float, penalty: float, least_words: int, chunk: int):
+def _labeller(model, penalty: float, least_words: int, chunk: int):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(broadcast.value)
-        langs = scorer.model.langs
+        scorer = Scorer(pickle.loads(model.value))
+        langs = [*scorer.model.langs, OTHER]
         for batch in batches:
             docs, texts = batch.column("doc"), batch.column("text").to_pylist()
-            found = [list(TOKEN.finditer(t)) for t in texts]
-            per_word = [scorer([m.group() for m in ms]) if ms else None for ms in found]
-            sums, first = [], []
-            for t, ms, s in zip(texts, found, per_word, strict=True):
-                if not ms:
-                    continue
-                cuts, last = [0], 0
-                for i in range(1, len(ms)):
-                    between = t[ms[i - 1].end() : ms[i].start()]
-                    if i - last >= chunk or (between != " " and STOP.search(between)):
-                        cuts.append(i)
-                        last = i
-                first.append(len(sums))
-                sums += list(np.add.reduceat(s, cuts, 0))
-            shares = em(np.array(sums), np.array(first))[0] if sums else None
-            segments, mixtures, d = [], [], 0
-            for t, ms, s in zip(texts, found, per_word, strict=True):
-                if not ms:
-                    segments.append([])
-                    mixtures.append([])
-                    continue
-                share = shares[d]
-                d += 1
-                labels = select(s, share, switch, penalty, least_words)
-                at = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist()]
-                rows = []
-                for a, b in zip(at, [*at[1:], len(ms)], strict=True):
-                    ll = s[a:b].sum(0) + np.log(share)
-                    p = np.exp(ll - ll.max())
-                    start, end = (ms[a].start() if a else 0), (ms[b].start() if b < len(ms) else len(t))
-                    rows.append({"start": start, "end": end, "words": b - a, "lang": langs[labels[a]], "confidence": float(p[labels[a]] / p.sum())})
-                segments.append(rows)
-                mixtures.append([{"lang": k, "share": float(x)} for k, x in zip(langs, share, strict=True) if x >= 0.005])
+            found = [WORD_OR_STOP.findall(t) for t in texts]
+            rows = scorer([*chain.from_iterable(found)])
+            doc, starts = chunks_of(rows, np.array([len(x) for x in found], np.int64), chunk)
+            segments, mixtures = [[] for _ in texts], [[] for _ in texts]
+            if len(doc):
+                per_word = scorer.scores[rows[rows > 0]]
+                scores, words = np.add.reduceat(per_word, starts, 0), np.diff(np.append(starts, len(per_word)))
+                first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                chosen, share, held = choose(scores, first, words, penalty, least_words)
+                single = np.add.reduceat(scores, first, 0)
+                sure = np.exp(single - single.max(1, keepdims=True))
+                sure /= sure.sum(1, keepdims=True)
+                n_words, count = np.add.reduceat(words, first), chosen.sum(1)
+                ends = np.append(first[1:], len(doc))
+                for i, d in enumerate(doc[first].tolist()):
+                    if count[i] == 1:
+                        one = int(chosen[i].argmax())
+                        segments[d] = [{"start": 0, "end": len(texts[d]), "words": int(n_words[i]), "lang": langs[one], "confidence": float(sure[i, one])}]
+                        mixtures[d] = [{"lang": langs[one], "share": 1.0}]
+                    else:
+                        mine = slice(first[i], ends[i])
+                        segments[d] = _segments(texts[d], scores[mine], words[mine], held[mine], share[i], langs)
+                        mixtures[d] = [{"lang": langs[j], "share": float(share[i, j])} for j in np.flatnonzero(chosen[i]).tolist()]
             yield pa.RecordBatch.from_arrays([docs, pa.array(segments, SEGMENTS), pa.array(mixtures, SHARES)], names=["doc", "segments", "mixture"])
 
     return label
 
 
+def _segments(text: str, scores: np.ndarray, words: np.ndarray, held: np.ndarray, share: np.ndarray, langs: list[str]) -> list[dict]:
+    places = [m.start() for m in TOKEN.finditer(text)]
+    at, label = runs_of(held)
+    before = np.append(0, np.cumsum(words))
+    prior = np.log(0.99 * share + 0.01 / len(share))  # a language outside the set is not ruled out
+    out = []
+    for a, b, k in zip(at.tolist(), [*at[1:].tolist(), len(words)], label.tolist(), strict=True):
+        p = scores[a:b].sum(0) + prior
+        p = np.exp(p - p.max())
+        start, end = (places[before[a]] if a else 0), (places[before[b]] if b < len(words) else len(text))
+        out.append({"start": start, "end": end, "words": int(before[b] - before[a]), "lang": langs[k], "confidence": float(p[k] / p.sum())})
+    return out
+
+
 def languages(
-    documents: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "text",
-    switch: float = 6.0, penalty: float = 12.0, least_words: int = 4, chunk: int = 12,
-) -> DataFrame:
+    documents: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "text", penalty: float = 8.0, least_words: int = 4, chunk: int = 6,
+) -> DataFrame:
     """``doc, segments, mixture``: the languages of each document, in one pass without a shuffle.
 
-    ``mixture`` has the proportions by expectation-maximisation over chunks of at
-    most ``chunk`` words; ``segments`` (start, end, words, lang, confidence) tile the
-    text. A language joins a document's set if its best stretch, of ``least_words``
-    or more, raises the log-likelihood by more than ``penalty``; ``switch`` is what
-    each change of language costs when words are labelled. ``confidence`` is the
-    posterior of the segment's language under the mixture.
+    A text is a mixture of languages that give off its chunks: sentences, or parts of
+    at most ``chunk`` words. ``mixture`` has the proportions that expectation-maximisation
+    finds for the set of highest penalised likelihood: a language joins if that raises
+    the log-likelihood by more than ``penalty`` (it must be e^penalty times as likely),
+    and ``least_words`` words or more fall to it. ``segments`` (start, end, words, lang,
+    confidence) tile the text by the chunks' responsibilities; ``confidence`` is the
+    posterior of the segment's language under the mixture. Text in none of the model's
+    languages is ``und``.
 
     A null text or id gives no row; a text without words has no segments.
     """
-    broadcast = documents.sparkSession.sparkContext.broadcast(model)  # bounded by fit's max_grams
+    broadcast = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model, protocol=5))  # bounded by fit's train_docs
     rows = documents.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     kind = rows.schema["doc"].dataType.simpleString()
-    return spread(rows).mapInArrow(_labeller(broadcast, switch, penalty, least_words, chunk), f"doc {kind}, {OUT}")
+    return spread(rows).mapInArrow(_labeller(broadcast, penalty, least_words, chunk), f"doc {kind}, {OUT}")
 
 
 def main_language(found: DataFrame) -> DataFrame:
@@ -329,9 +409,12 @@ def main_language(found: DataFrame) -> DataFrame:
 
 
 def wrong_labels(documents: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "text", label: str = "lang", **kw) -> DataFrame:
-    """``doc, text_lang``: documents whose label is missing or wrong or whose text has several languages; a row for each."""
+    """``doc, text_lang``: documents whose label is missing or wrong or whose text has several languages; a row for each.
+
+    Text in none of the model's languages has no code and gives no row of its own.
+    """
     keyed = documents.where(F.col(doc).isNotNull()).select(F.struct(F.col(doc).alias("id"), clean_label(label).alias("label")).alias("key"), F.col(text).alias("text"))
     langs = F.array_distinct(F.transform("segments", lambda s: s["lang"]))
     found = languages(keyed, model, doc="key", text="text", **kw).select("doc.id", "doc.label", langs.alias("langs"))
     wrong = F.col("label").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("label"))
-    return found.where(wrong).select(F.col("id").alias("doc"), F.explode("langs").alias("text_lang")).distinct()
+    return found.where(wrong).select(F.col("id").alias("doc"), F.explode("langs").alias("text_lang")).where(F.col("text_lang") != OTHER).distinct()

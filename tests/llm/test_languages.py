@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from strandloom.llm.languages import TOKEN, best_runs, clean_label, em, fit, languages, main_language, viterbi, wrong_labels
+from strandloom.llm.languages import TOKEN, choose, chunks_of, clean_label, em, fit, grams, languages, main_language, runs_of, wrong_labels
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -77,10 +77,61 @@ def test_no_samples(spark, samples):
         fit(samples.limit(0))
 
 
-def test_em_viterbi_and_best_run():
-    share, held = em(np.log(np.array([[0.9, 0.1], [0.9, 0.1], [0.1, 0.9], [0.2, 0.8]])), np.array([0, 3]))
+def test_em_stays_within_the_allowed_languages():
+    scores, first = np.log(np.array([[0.9, 0.1], [0.9, 0.1], [0.1, 0.9], [0.2, 0.8]])), np.array([0, 3])
+    share, held, likely = em(scores, first)
     assert share[0, 0] > 0.6 and share[1, 1] > 0.9 and np.allclose(held.sum(1), 1)
-    scores = np.array([[3, 0], [3, 0], [0, 1], [3, 0], [0, 5], [0, 5]], float)
-    assert viterbi(scores, 2.0).tolist() == [0, 0, 0, 0, 1, 1]
-    sums, starts, ends = best_runs(np.array([[-1.0, 2, -1, 3, -9, 1], [-1, -2, -1, -1, -1, -1]]).T)
-    assert (sums[0], starts[0], ends[0]) == (4.0, 1, 4) and sums[1] == 0.0
+    share, held, less = em(scores, first, np.array([[True, False], [True, True]]))
+    assert share[0].tolist() == [1, 0] and less[0] < likely[0] and np.isclose(less[0], scores[:3, 0].sum())
+
+
+def test_chunks_are_sentences_or_equal_parts_of_them():
+    rows = np.array([5, 5, 0, 5] + [5] * 13 + [0, 0, 5])
+    doc, starts = chunks_of(rows, np.array([4, 0, 16]), 6)
+    assert doc.tolist() == [0, 0, 2, 2, 2, 2] and starts.tolist() == [0, 2, 3, 8, 12, 16]
+
+
+def test_undecided_chunks_go_with_the_one_before():
+    at, label = runs_of(np.array([[0.6, 0.4], [0.05, 0.95], [0.6, 0.4], [1, 0]]))
+    assert at.tolist() == [0, 3] and label.tolist() == [1, 0]
+
+
+def test_words_have_n_grams_of_three_and_four():
+    assert set(grams("haus")) == {" ha", "hau", "aus", "us ", " hau", "haus", "aus "}
+
+
+def mixed_documents():
+    """One sentence in fifteen is of the second language: by far the best set is both, in these proportions."""
+    scores = np.tile([8.0, 0.0, -4.0], (15, 1))
+    scores[7] = [0.0, 17.0, -4.0]
+    return scores, np.array([0]), np.full(15, 9)
+
+
+def test_proportions_decide_the_set(monkeypatch):
+    from strandloom.llm import languages as lang
+
+    scores, first, words = mixed_documents()
+    chosen, share, _ = choose(scores, first, words, 12.0, 4)
+    assert chosen.tolist() == [[True, True, False]] and abs(share[0, 1] - 1 / 15) < 0.01
+    plain = lang.em
+    monkeypatch.setattr(lang, "em", lambda s, f, allowed=None: plain(s, f, allowed, 0))  # uniform proportions
+    assert choose(scores, first, words, 12.0, 4)[0].tolist() == [[True, False, False]]
+
+
+def test_no_estimate_changes_what_the_bound_rules_out():
+    r = np.random.default_rng(1)
+    scores, first = r.normal(0, 3, (400, 5)), np.arange(0, 400, 8)
+    chosen, _, _ = choose(scores, first, np.full(400, 9), 6.0, 4)
+    for d, f in enumerate(first):
+        mine, zero = scores[f : f + 8], np.array([0])
+        sets = {d: em(mine, zero, s[None])[2][0] - 6.0 * (s.sum() - 1) - 6.0 * s[-1] for d, s in enumerate([np.isin(np.arange(5), [a, b]) for a in range(5) for b in range(a, 5)])}
+        assert chosen[d].sum() > 1 or max(sets.values()) <= mine[:, chosen[d]].sum() - 6.0 * chosen[d, -1] + 1e-6 or mine.sum(0)[:-1].argmax() not in np.flatnonzero(chosen[d])
+
+
+def test_a_language_of_none_of_the_samples(spark, model):
+    greek = "Ο παλιός χάρτης είναι πίσω από το δημαρχείο. Το σπίτι κοντά στο ποτάμι δεν έχει ιδιοκτήτη. Δύο φορές το χρόνο ήρθε πολύ αργά."
+    hungarian = "A régi térkép a városháza mögött van. A folyó melletti háznak nincs gazdája. Évente kétszer túl későn érkezett meg hozzánk."
+    english = "The old map is behind the town hall. The house by the river has no owner. Twice a year it came too late."
+    df = spark.createDataFrame([(1, greek, "en"), (2, hungarian, None), (3, english, "en"), (4, f"{english} {greek}", "en")], DOCS)
+    got = {r["doc"]: [s.lang for s in r.segments] for r in languages(df, model).collect()}
+    assert got == {1: ["und"], 2: ["und"], 3: ["en"], 4: ["en", "und"]}
