@@ -61,7 +61,8 @@ class Model:
     A word speaks by the mean of its n-grams of three and four, within ``cap``, and,
     if it was seen often enough, as a whole. The last column is text in none of the
     languages: there, words are unknown ones at the rate ``strange``, while in a
-    language they are at the rate ``rare`` that was counted.
+    language they are at the rate ``rare`` that was counted. An unknown word counts as
+    one by the share of its n-grams that are unknown too.
     """
 
     langs: tuple[str, ...]
@@ -77,13 +78,15 @@ class Model:
     def scores(self, words: list[str]) -> np.ndarray:
         """A row for each word, a column for each language and one for none of them."""
         out = np.zeros((len(words), len(self.langs) + 1))
-        mine, rows, sizes, row, k = [], [], [], self.grams.get, len(self.langs)
+        mine, rows, sizes, lacking, row, k = [], [], [], [], self.grams.get, len(self.langs)
         for x in words:
             w = normal(x)
             mine.append(self.words.get(w, -1))
-            held = [r for g in grams(w) if (r := row(g)) is not None] if w.isalpha() else []
+            every = grams(w) if w.isalpha() else []
+            held = [r for g in every if (r := row(g)) is not None]
             rows += held
             sizes.append(len(held))
+            lacking.append(1 - len(held) / len(every) if every else 0.0)
         sizes = np.array(sizes)
         some = np.flatnonzero(sizes)
         if len(some):
@@ -93,7 +96,8 @@ class Model:
         known = mine >= 0
         out[known, :k] += self.word_ratios[mine[known]]
         alpha = np.array([x[0].isalpha() for x in words], bool)
-        out[:, k] = np.where(known, np.log((1 - self.strange) / (1 - self.rare)), np.log(self.strange / self.rare)) * alpha
+        unseen = np.where(known, 0.0, lacking)  # how little of the word was seen
+        out[:, k] = (unseen * np.log(self.strange / self.rare) + (1 - unseen) * np.log((1 - self.strange) / (1 - self.rare))) * alpha
         return out
 
     def word(self, word: str) -> np.ndarray:
@@ -383,7 +387,7 @@ def languages(
     and ``least_words`` words or more fall to it. ``segments`` (start, end, words, lang,
     confidence) tile the text by the chunks' responsibilities; ``confidence`` is the
     posterior of the segment's language under the mixture. Text in none of the model's
-    languages is ``und``.
+    languages is ``und``, unless it shares too many words and n-grams with one of them.
 
     A null text or id gives no row; a text without words has no segments.
     """

@@ -130,8 +130,8 @@ def test_no_estimate_changes_what_the_bound_rules_out():
 
 def test_a_language_of_none_of_the_samples(spark, model):
     greek = "Ο παλιός χάρτης είναι πίσω από το δημαρχείο. Το σπίτι κοντά στο ποτάμι δεν έχει ιδιοκτήτη. Δύο φορές το χρόνο ήρθε πολύ αργά."
-    hungarian = "A régi térkép a városháza mögött van. A folyó melletti háznak nincs gazdája. Évente kétszer túl későn érkezett meg hozzánk."
+    hebrew = "המפה הישנה נמצאת מאחורי בית העירייה. לבית ליד הנהר אין בעלים. פעמיים בשנה הוא הגיע מאוחר מדי."
     english = "The old map is behind the town hall. The house by the river has no owner. Twice a year it came too late."
-    df = spark.createDataFrame([(1, greek, "en"), (2, hungarian, None), (3, english, "en"), (4, f"{english} {greek}", "en")], DOCS)
+    df = spark.createDataFrame([(1, greek, "en"), (2, hebrew, None), (3, english, "en"), (4, f"{english} {greek}", "en")], DOCS)
     got = {r["doc"]: [s.lang for s in r.segments] for r in languages(df, model).collect()}
     assert got == {1: ["und"], 2: ["und"], 3: ["en"], 4: ["en", "und"]}
