@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import region, revcomp
 from strandloom.operators import assembly as asm
+from strandloom.operators.prefix import number_rows
 from strandloom.plans import views as v
+from strandloom.session import written
 
 
 def filter_alt(spark: SparkSession, d: str) -> DataFrame:
@@ -37,8 +39,10 @@ def ordered_concat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ordering(spark: SparkSession, d: str) -> DataFrame:
+    """Units that a query is placed on are in a scaffold, the others in none."""
     gap = F.when(F.col("unit_id") % 3 == 0, ".").otherwise((F.col("unit_id") % 50).cast("string"))
-    return v.units(spark, d).where("name is not null and unit_id % 4 != 0").select(F.floor(F.col("unit_id") / 20).alias("scaffold"), F.col("unit_id").alias("place"), "name", (F.col("unit_id") % 2).alias("rc"), gap.alias("gap"))
+    u = v.units(spark, d).join(v.placed(spark, d).select(F.col("tname").alias("name")).distinct(), "name", "left_semi")
+    return u.select(F.floor(F.col("unit_id") / 20).alias("scaffold"), F.col("unit_id").alias("place"), "name", (F.col("unit_id") % 2).alias("rc"), gap.alias("gap"))
 
 
 def scaffolds(spark: SparkSession, d: str) -> DataFrame:
@@ -48,22 +52,35 @@ def scaffolds(spark: SparkSession, d: str) -> DataFrame:
 
 def leftover_contigs(spark: SparkSession, d: str) -> DataFrame:
     u = v.units(spark, d).where("name is not null")
-    return asm.leftover(u, _ordering(spark, d), u.where("unit_id % 8 = 0"))
+    return asm.leftover(u, _ordering(spark, d), v.hits(spark, d).select(F.col("tname").alias("name")))
+
+
+def _phasing(pairs: DataFrame) -> DataFrame:
+    """A haplotype for each segment of a pair, by the parity of its name's digest."""
+    even = F.md5("b") < "8"
+    return pairs.select(F.when(even, F.col("a")).otherwise(F.col("b")).alias("hap0"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("hap1"))
+
+
+def _segment_switches(spark: SparkSession, d: str) -> DataFrame:
+    """A switch in the middle of both segments of each pair whose names' digests agree on its kind."""
+    kind = lambda c: F.when(F.md5(c) < "6", "F").when(F.md5(c) < "b", "S").otherwise("C")
+    h = v.placed(spark, d).select(region("tname", "tstart", "tend").alias("a"), F.expr("(tend - tstart) div 2").alias("pa"), region("qname", "qstart", "qend").alias("b"), F.expr("(qend - qstart) div 2").alias("pb"))
+    both = h.withColumn("kind", kind("a")).where(F.col("kind") == kind("b"))
+    one = F.struct(F.col("a").alias("segment"), F.col("pa").alias("pos"), "kind")
+    two = F.struct(F.col("b").alias("segment"), F.col("pb").alias("pos"), F.when(F.col("kind") == "C", "C").otherwise(F.translate("kind", "FS", "SF")).alias("kind"))
+    return both.select(F.inline(F.array(one, two)))
 
 
 def haplotype_layout(spark: SparkSession, d: str) -> DataFrame:
     segs = _segments(spark, d)
-    pairs = asm.homologous_pairs(segs)
-    even = F.crc32(F.col("b").cast("binary")) % 2 == 0
-    phasing = pairs.select(F.when(even, F.col("a")).otherwise(F.col("b")).alias("hap0"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("hap1"))
-    out = asm.haplotype_layout(segs.where("kind != 'hap1'"), phasing)
+    out = asm.haplotype_layout(segs.where("kind != 'hap1'"), _phasing(asm.homologous_pairs(segs)), _segment_switches(spark, d))
     return out.select("hap", "contig", "place", "segment", F.col("start").alias("from_base"), F.col("end").alias("to_base"))
 
 
 def variant_lift(spark: SparkSession, d: str) -> DataFrame:
-    """Only the stretch [100, 100000) of each contig, as the SQL has it; :func:`variant_lift_whole` lifts all."""
-    bed = v.contigs(spark, d).select(F.col("name").alias("contig"), F.lit(100).cast("long").alias("start"), "length", "tid").select(
-        "contig", "start", F.least(F.col("length"), F.lit(100000)).alias("end"), F.concat(F.lit("S"), (F.col("tid") % 50).cast("string")).alias("name"), F.col("tid").alias("place")
+    """Each contig whole on a scaffold, whose offset adds the pieces' ends."""
+    bed = v.contigs(spark, d).where("length > 0").select(
+        F.col("name").alias("contig"), F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), F.concat(F.lit("S"), (F.col("tid") % 50).cast("string")).alias("name"), F.col("tid").alias("place")
     )
     return asm.lift_variants(v.positions(spark, d).where("is_var = 1").select(F.col("ctg").alias("contig"), "pos"), bed)
 
@@ -89,19 +106,20 @@ def switch_lift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chosen_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """Of each name the bases of the first haplotype that has it, else of the second."""
+    """Of each name the bases of the first haplotype that has it, here the records without an unknown base, else of the second."""
     u = v.units(spark, d).where("name is not null")
     names = v.contigs(spark, d).select("name")
-    first, second = u.where("unit_id % 3 = 0").select("name", F.col("seq").alias("s1")), u.where("unit_id % 3 != 1").select("name", revcomp("seq").alias("s2"))
+    first, second = u.where("not contains(upper(seq), 'N')").select("name", F.col("seq").alias("s1")), u.select("name", revcomp("seq").alias("s2"))
     x = names.join(first, "name", "left").join(second, "name", "left").withColumn("seq", F.coalesce("s1", "s2")).where("seq is not null")
     return x.select("name", F.md5("seq").alias("digest"))
 
 
 def scaffold_index(spark: SparkSession, d: str) -> DataFrame:
-    """Contigs of each cluster with their numbers, longest first: an index for phasing tools."""
-    ranked = v.contigs(spark, d).withColumn("cluster", F.col("tid") % 20)
-    rows = ranked.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("k"), "name", "tid"))).alias("x"))
-    return rows.select("cluster", F.array_join(F.transform("x", lambda r: F.concat_ws(":", r["name"], r["tid"].cast("string"))), ",").alias("members"))
+    """Contigs of each cluster (fifty neighbours) with their numbers, longest first: an index for phasing tools."""
+    x = v.contigs(spark, d).select(F.floor(F.col("tid") / 50).alias("cluster"), (-F.col("length")).alias("shorter"), "name", "tid")
+    numbered = written(number_rows(x, ["cluster", "shorter", "name"], out="at"))
+    first = numbered.groupBy("cluster").agg(F.min("at").alias("first"))
+    return numbered.join(first, "cluster").select("cluster", (F.col("at") - F.col("first")).alias("place"), "name", "tid")
 
 
 def clean_collapsed(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +171,7 @@ OPEN = """op AS (SELECT contig, s, least(e, length) AS e FROM (SELECT tname AS c
     FROM (SELECT tname, tstart, tend FROM placed JOIN fai ON name = tname UNION ALL SELECT name, length, length FROM fai)) JOIN fai ON name = contig WHERE s < least(e, length))"""
 SEGS = f"""{v.PLACED}, {OPEN}, sg AS (SELECT 'hap1' AS kind, qname AS contig, qstart AS s, qend AS e, strand, tname || ':' || tstart || '-' || tend AS mate FROM placed
     UNION ALL SELECT 'hap2', tname, tstart, tend, '+', qname || ':' || qstart || '-' || qend FROM placed UNION ALL SELECT 'collapsed', contig, s, e, '+', NULL FROM op)"""
-ORD = f"{v.UNITS}, od AS (SELECT unit_id // 20 AS scaffold, unit_id AS place, name, unit_id % 2 AS rc, seq, CASE WHEN unit_id % 3 = 0 THEN 1000 ELSE unit_id % 50 END AS gap FROM unt WHERE name IS NOT NULL AND unit_id % 4 <> 0)"
+ORD = f"{v.PLACED}, {v.UNITS}, od AS (SELECT unit_id // 20 AS scaffold, unit_id AS place, name, unit_id % 2 AS rc, seq, CASE WHEN unit_id % 3 = 0 THEN 1000 ELSE unit_id % 50 END AS gap FROM unt WHERE name IN (SELECT tname FROM placed))"
 REV = "translate(reverse(seq), 'ACGTacgt', 'TGCAtgca')"
 UNZIP = f"""pri AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS n FROM fai)"""
 SQL = {
@@ -174,16 +192,41 @@ SQL = {
         SELECT qname, tname, tstart, tend, CAST(0 AS BIGINT) AS qstart, qlen AS qend FROM one a WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.tname = a.tname AND b.tstart < a.tstart AND b.tend > a.tend)""",
     "cut_segments": f"WITH {SEGS} SELECT kind, contig, s AS seg_start, e AS seg_end, strand FROM sg",
     "segment_pairs": f"WITH {SEGS} SELECT contig || ':' || s || '-' || e AS a, mate AS b FROM sg WHERE kind = 'hap2'",
-    "cut_sequences": f"""WITH {SEGS}, {v.UNITS} SELECT kind, contig || ':' || s || '-' || e AS segment, md5(substring(seq, s + 1, e - s)) AS digest FROM sg JOIN unt ON unt.name = contig WHERE e <= 100000 AND strand = '+'""",
+    "cut_sequences": f"""WITH {SEGS}, {v.UNITS} SELECT kind, contig || ':' || s || '-' || e AS segment, md5(CASE WHEN strand = '-' THEN {REV.replace("seq", "substring(seq, s + 1, e - s)")} ELSE substring(seq, s + 1, e - s) END) AS digest
+        FROM sg JOIN unt ON unt.name = contig""",
     "ordered_concat": f"WITH {v.UNITS} SELECT unit_id // 10 AS scaffold, md5(string_agg(seq, '' ORDER BY unit_id)) AS digest, CAST(count(*) AS INTEGER) AS n FROM unt GROUP BY 1",
     "scaffolds": f"""WITH {ORD}, x AS (SELECT scaffold, place, CASE WHEN rc = 1 THEN {REV} ELSE seq END || CASE WHEN place = max(place) OVER (PARTITION BY scaffold) THEN '' ELSE repeat('N', gap) END AS s FROM od)
         SELECT scaffold, md5(string_agg(s, '' ORDER BY place)) AS digest, CAST(sum(length(s)) AS BIGINT) AS length, CAST(count(*) AS INTEGER) AS n FROM x GROUP BY scaffold""",
-    "leftover_contigs": f"WITH {ORD} SELECT name, CASE WHEN unit_id % 8 = 0 THEN 'unordered' ELSE 'unclustered' END AS label FROM unt WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM od)",
-    "variant_lift": f"""WITH {v.POSITIONS}, bed AS (SELECT name AS contig, 100 AS s, least(length, 100000) AS e, 'S' || tid % 50 AS scf, tid FROM fai), b AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY scf ORDER BY tid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bed)
+    "leftover_contigs": f"WITH {ORD} SELECT name, CASE WHEN name IN (SELECT tname FROM hits) THEN 'unordered' ELSE 'unclustered' END AS label FROM unt WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM od)",
+    "variant_lift": f"""WITH {v.POSITIONS}, bed AS (SELECT name AS contig, 0 AS s, length AS e, 'S' || tid % 50 AS scf, tid FROM fai WHERE length > 0), b AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY scf ORDER BY tid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bed)
         SELECT scf AS name, CAST(before + pos - s AS BIGINT) AS pos, pos AS source_pos FROM pstn JOIN b ON contig = ctg AND pos >= s AND pos < e WHERE is_var = 1""",
-    "chosen_sequences": f"""WITH {v.UNITS}, a AS (SELECT name, seq FROM unt WHERE unit_id % 3 = 0), b AS (SELECT name, {REV} AS seq FROM unt WHERE unit_id % 3 <> 1)
+    "variant_lift_whole": f"""WITH {v.POSITIONS}, b AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY tid % 50 ORDER BY tid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM fai WHERE length > 0)
+        SELECT 'S' || tid % 50 AS name, CAST(before + pos AS BIGINT) AS pos, pos AS source_pos FROM pstn JOIN b ON name = ctg AND pos >= 0 AND pos < length WHERE is_var = 1""",
+    "haplotype_layout": f"""WITH {SEGS}, ph AS (SELECT tname || ':' || tstart || '-' || tend AS a, qname || ':' || qstart || '-' || qend AS b, (tend - tstart) // 2 AS pa, (qend - qstart) // 2 AS pb, tend - tstart AS la, qend - qstart AS lb FROM placed),
+        kd AS (SELECT *, CASE WHEN md5(a) < '6' THEN 'F' WHEN md5(a) < 'b' THEN 'S' ELSE 'C' END AS k1, CASE WHEN md5(b) < '6' THEN 'F' WHEN md5(b) < 'b' THEN 'S' ELSE 'C' END AS k2 FROM ph),
+        sw AS (SELECT *, CASE WHEN k1 = k2 THEN k1 END AS kind FROM kd),
+        hp AS (SELECT *, (md5(b) < '8') <> (coalesce(kind, '') = 'C') AS a_first FROM sw),
+        own AS (SELECT contig, s, contig || ':' || s || '-' || e AS seg, e - s AS len FROM sg WHERE kind <> 'hap1'),
+        lk AS (SELECT a AS own, * FROM hp UNION ALL SELECT b, * FROM hp),
+        ea AS (SELECT h.hap, contig, s, seg, len, lk.*, (a_first = (h.hap = 0)) AS is_a FROM own LEFT JOIN lk ON lk.own = seg, (VALUES (0), (1)) h(hap)),
+        tw AS (SELECT hap, contig, s, coalesce(CASE WHEN is_a THEN a ELSE b END, seg) AS x, CASE WHEN is_a THEN b ELSE a END AS y, coalesce(CASE WHEN is_a THEN la ELSE lb END, len) AS lx, CASE WHEN is_a THEN lb ELSE la END AS ly,
+            CASE WHEN is_a THEN pa ELSE pb END AS px, CASE WHEN is_a THEN pb ELSE pa END AS py, CASE WHEN is_a THEN kind ELSE translate(kind, 'FS', 'SF') END AS kind FROM ea),
+        sl AS (SELECT hap, contig, s * 2 AS place, CASE WHEN kind = 'S' THEN y ELSE x END AS segment, 0 AS from_base, CASE kind WHEN 'F' THEN px WHEN 'S' THEN py ELSE lx END AS to_base FROM tw
+            UNION ALL SELECT hap, contig, s * 2 + 1, CASE WHEN kind = 'S' THEN x ELSE y END, CASE WHEN kind = 'F' THEN py ELSE px END, CASE WHEN kind = 'F' THEN ly ELSE lx END FROM tw WHERE kind IN ('F', 'S'))
+        SELECT hap, contig, place, segment, CAST(from_base AS BIGINT) AS from_base, CAST(to_base AS BIGINT) AS to_base FROM sl""",
+    "switch_lift": f"""WITH {v.HITS}, fh AS (SELECT * FROM hits WHERE cigar IS NOT NULL), one AS (SELECT * FROM fh WHERE paf_id IN (SELECT min(paf_id) FROM fh GROUP BY qname)),
+        sw AS (SELECT *, CASE WHEN strand = '-' THEN tlen - tend ELSE tstart END AS pri, (qend - qstart) // 2 AS half FROM one),
+        un AS (SELECT * EXCLUDE rs, unnest(rs) AS run, generate_subscripts(rs, 1) - 1 AS run_no FROM (SELECT *, regexp_extract_all(cigar, '\\d+[MIDNSHP=X]') AS rs FROM sw)),
+        rn AS (SELECT *, CAST(run[:-2] AS BIGINT) AS len, run[-1] AS op FROM un),
+        wk AS (SELECT *, pri + coalesce(sum(CASE WHEN op IN ('M','=','X','D','N') THEN len END) OVER w, 0) AS tpos, qstart + coalesce(sum(CASE WHEN op IN ('M','=','X','I','S') THEN len END) OVER w, 0) AS qpos, qstart + half AS pos
+            FROM rn WINDOW w AS (PARTITION BY paf_id ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        ht AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qname ORDER BY run_no) AS k FROM wk WHERE qpos < pos AND qpos + len > pos AND op IN ('M','X','=','I','S')) WHERE k = 1),
+        mv AS (SELECT qname, pos, half + 50 AS mate, CASE WHEN op IN ('I','S') THEN qpos + len ELSE pos END AS moved, CASE WHEN op IN ('I','S') THEN tpos ELSE tpos + pos - qpos END - (pri - 50) AS lifted FROM ht)
+        SELECT qname AS segment, CAST(moved AS BIGINT) AS pos, 'F' AS kind, CAST(lifted AS BIGINT) AS lifted FROM mv
+        WHERE pos <> 0 AND mate <> 0 AND moved / pos BETWEEN 0.9 AND 1.1 AND lifted / mate BETWEEN 0.9 AND 1.1""",
+    "chosen_sequences": f"""WITH {v.UNITS}, a AS (SELECT name, seq FROM unt WHERE NOT contains(upper(seq), 'N')), b AS (SELECT name, {REV} AS seq FROM unt)
         SELECT f.name, md5(coalesce(a.seq, b.seq)) AS digest FROM fai f LEFT JOIN a ON a.name = f.name LEFT JOIN b ON b.name = f.name WHERE coalesce(a.seq, b.seq) IS NOT NULL""",
-    "scaffold_index": "SELECT tid % 20 AS cluster, string_agg(name || ':' || tid, ',' ORDER BY length DESC, name) AS members FROM fai GROUP BY 1",
+    "scaffold_index": "SELECT tid // 50 AS cluster, row_number() OVER (PARTITION BY tid // 50 ORDER BY length DESC, name) - 1 AS place, name, tid FROM fai",
     "clean_collapsed": f"""WITH {SEGS}, k AS (SELECT DISTINCT contig, s, e FROM sg WHERE kind = 'hap2') SELECT contig, contig || ':' || s || '-' || e AS segment,
         CAST(sum(e - s) OVER (PARTITION BY contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM k""",
 }

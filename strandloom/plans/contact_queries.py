@@ -63,7 +63,8 @@ def link_contacts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scaffold_contacts(spark: SparkSession, d: str) -> DataFrame:
-    mapping = table(spark, d, "supplier").where("s_suppkey % 7 != 0").select("s_suppkey", F.col("s_nationkey").alias("scaffold"))
+    """Suppliers in debt stand for segments without a scaffold."""
+    mapping = table(spark, d, "supplier").where("s_acctbal >= 0").select("s_suppkey", F.col("s_nationkey").alias("scaffold"))
     return ct.mapped_contacts(_mates(spark, d), "tid1", "tid2", mapping, "s_suppkey", "scaffold")
 
 
@@ -96,14 +97,16 @@ def block_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def link_eval(spark: SparkSession, d: str) -> DataFrame:
-    side = table(spark, d, "supplier").where("s_nationkey % 5 != 0").select(F.col("s_suppkey").alias("segment"), (F.col("s_nationkey") % 2).alias("hap"))
+    side = table(spark, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("segment"), (F.col("s_nationkey") % 2).alias("hap"))
     p = v.segment_pairs(spark, d)
     members = p.select(F.explode(F.array("a", "b")).alias("segment"), "grp", F.col("idx").alias("pair"))
     return ct.contact_eval(_matrix(spark, d), side, members)
 
 
 def _switches(spark: SparkSession, d: str) -> DataFrame:
-    return v.alignments(spark, d).groupBy(F.col("tid").alias("segment")).agg(F.floor(F.avg("pos")).alias("pos")).where("segment % 3 != 0")
+    """In the middle of what aligns to each segment, for those with no fewer alignments than the mean."""
+    per = v.alignments(spark, d).groupBy(F.col("tid").alias("segment")).agg(F.floor(F.avg("pos")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    return per.where(F.col("n") >= per.agg(F.avg("n")).scalar()).drop("n")
 
 
 def both_side_semi(spark: SparkSession, d: str) -> DataFrame:
@@ -129,17 +132,16 @@ def haplotypes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reachable(spark: SparkSession, d: str) -> DataFrame:
-    """Only from segments below 10 and in three steps, as the SQL has it; :func:`reachable_whole` starts from all."""
-    edges = _matrix(spark, d).where("n >= 3 and t1 != t2").select(F.col("t1").alias("src"), F.col("t2").alias("dst"))
-    return kernels.reachable(edges, table(spark, d, "supplier").where("s_suppkey < 10").select(F.col("s_suppkey").alias("src")), most=3)
-
-
-def reachable_whole(spark: SparkSession, d: str) -> DataFrame:
     """From every segment that has a strong contact, in the operator's 30 steps."""
     edges = written(_matrix(spark, d).where("n >= 3 and t1 != t2").select(F.col("t1").alias("src"), F.col("t2").alias("dst")))
     return kernels.reachable(edges, edges.select("src").distinct())
 
 
+def reachable_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Alias of :func:`reachable`."""
+    return reachable(spark, d)
+
+
 QUERIES = {f.__name__: f for f in (
     pair_selfjoin, contact_matrix, classified_pairs, contacts_filtered_quality, contacts_by_choice, porec_contacts, multiway_pairs, link_contacts, scaffold_contacts, total_contacts,
     block_votes, pair_score, objective, low_count_mask, block_normalise, link_eval, both_side_semi, switch_votes, local_search_labels, regroup_labels, haplotypes, reachable, reachable_whole,
@@ -156,8 +158,12 @@ SCORES = f"""{BLOCKS}, lb AS (SELECT grp, idx, (grp + idx) % 2 AS label FROM prs
     sc AS (SELECT grp, i AS idx, CAST(sum(pro) AS BIGINT) AS consistent, CAST(sum(con) AS BIGINT) AS inconsistent, count(*) FILTER (WHERE pro > con) AS votes_for, count(*) FILTER (WHERE pro < con) AS votes_against,
         count(*) FILTER (WHERE pro = con AND pro > 0) AS ties FROM pc GROUP BY grp, i)"""
 CELLS = f"{v.MATRIX}, {v.PAIRS}, side AS (SELECT grp, idx, a AS s FROM prs UNION ALL SELECT grp, idx, b FROM prs), cells AS (SELECT t1, t2, n, x.grp AS g1, x.idx AS i, y.grp AS g2, y.idx AS j FROM mat JOIN side x ON x.s = t1 JOIN side y ON y.s = t2)"
-SWITCHES = "sw AS (SELECT tid AS segment, CAST(floor(avg(pos)) AS BIGINT) AS pos FROM aln WHERE tid % 3 <> 0 GROUP BY tid)"
+SWITCHES = "sw AS (SELECT tid AS segment, CAST(floor(avg(pos)) AS BIGINT) AS pos FROM aln GROUP BY tid HAVING count(*) >= (SELECT count(*) / count(DISTINCT tid) FROM aln))"
 WAYS = "SELECT t1, t2, count(*) AS n FROM (SELECT x.tid AS t1, y.tid AS t2 FROM k x JOIN k y ON x.read = y.read AND x.seg <> y.seg) GROUP BY t1, t2"
+REACH = f"""WITH RECURSIVE {v.MATRIX}, e AS (SELECT t1 AS src, t2 AS dst FROM mat WHERE n >= 3 AND t1 <> t2),
+    w AS (SELECT DISTINCT src, src AS dst, 0 AS steps FROM e UNION SELECT w.src, e.dst, w.steps + 1 FROM w JOIN e ON e.src = w.dst WHERE w.steps < 30)
+    SELECT src, dst, min(steps) AS steps FROM w GROUP BY src, dst HAVING min(steps) > 0"""
+MORE = """SELECT l_orderkey AS read, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seg, l_tax < 0.04 AS prim, CAST(floor(l_extendedprice / 100) AS BIGINT) AS score FROM lineitem"""
 SQL = {
     "pair_selfjoin": f"WITH {v.ALN} SELECT a.read, a.tid AS tid1, b.tid AS tid2, b.pos - a.pos AS apart FROM aln a JOIN aln b ON a.read = b.read AND a.seg = 1 AND b.seg = 2",
     "contact_matrix": f"WITH {v.MATRIX} SELECT * FROM mat",
@@ -167,7 +173,7 @@ SQL = {
     "multiway_pairs": f"WITH {v.ALN}, k AS (SELECT * FROM aln) {WAYS}",
     "link_contacts": """WITH x AS (SELECT l_suppkey % 100 AS s1, l_partkey % 100 AS s2, CAST(l_quantity AS BIGINT) AS w FROM lineitem WHERE l_quantity >= 10)
         SELECT t1, t2, CAST(sum(w) AS BIGINT) AS n FROM (SELECT s1 AS t1, s2 AS t2, w FROM x UNION ALL SELECT s2, s1, w FROM x) GROUP BY t1, t2""",
-    "scaffold_contacts": f"""WITH {v.ALN}, {v.MATES}, m AS (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 7 <> 0), x AS (SELECT p.s_nationkey AS s1, q.s_nationkey AS s2 FROM mates JOIN m p ON p.s_suppkey = tid1 JOIN m q ON q.s_suppkey = tid2)
+    "scaffold_contacts": f"""WITH {v.ALN}, {v.MATES}, m AS (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_acctbal >= 0), x AS (SELECT p.s_nationkey AS s1, q.s_nationkey AS s2 FROM mates JOIN m p ON p.s_suppkey = tid1 JOIN m q ON q.s_suppkey = tid2)
         SELECT t1, t2, count(*) AS n FROM (SELECT s1 AS t1, s2 AS t2 FROM x UNION ALL SELECT s2, s1 FROM x) GROUP BY t1, t2""",
     "total_contacts": f"""WITH {v.MATRIX} SELECT CAST(coalesce(sum(m.n) FILTER (WHERE m.t1 <> m.t2), 0) AS BIGINT) AS off_diagonal, CAST(coalesce(sum(m.n) FILTER (WHERE m.t1 = m.t2), 0) AS BIGINT) AS diagonal,
         count(*) FILTER (WHERE coalesce(r.n, 0) <> m.n) AS asymmetric FROM mat m LEFT JOIN mat r ON r.t1 = m.t2 AND r.t2 = m.t1""",
@@ -176,7 +182,7 @@ SQL = {
     "objective": f"WITH {SCORES} SELECT grp, CAST(sum(votes_for) AS BIGINT) AS score FROM sc GROUP BY grp",
     "low_count_mask": f"WITH {CELLS} SELECT t1, t2, n FROM (SELECT *, max(n) OVER (PARTITION BY g1, i, g2, j) AS top FROM cells) WHERE top >= 5",
     "block_normalise": f"""WITH {CELLS} SELECT t1, t2, n, round(n / (block + 1e-6), 6) AS share FROM (SELECT *, sum(n) OVER (PARTITION BY g1, i, g2, j) AS block FROM cells WHERE NOT (g1 = g2 AND i = j))""",
-    "link_eval": f"""WITH {CELLS}, hp AS (SELECT s_suppkey, s_nationkey % 2 AS hap FROM supplier WHERE s_nationkey % 5 <> 0),
+    "link_eval": f"""WITH {CELLS}, hp AS (SELECT s_suppkey, s_nationkey % 2 AS hap FROM supplier WHERE s_acctbal >= 0),
         x AS (SELECT n, p.hap AS h1, q.hap AS h2 FROM cells LEFT JOIN hp p ON p.s_suppkey = t1 LEFT JOIN hp q ON q.s_suppkey = t2 WHERE g1 = g2 AND i <> j)
         SELECT CAST(coalesce(sum(n) FILTER (WHERE h1 = h2), 0) AS BIGINT) AS correct, CAST(coalesce(sum(n) FILTER (WHERE h1 <> h2), 0) AS BIGINT) AS incorrect,
         CAST(coalesce(sum(n) FILTER (WHERE h1 IS NULL OR h2 IS NULL), 0) AS BIGINT) AS unknown FROM x""",
@@ -188,7 +194,13 @@ SQL = {
         vt AS (SELECT o.grp, o.idx AS i, t.idx AS j, head, sign(sum(CASE WHEN (o.h = t.h) = (o.label = t.label) THEN 1 ELSE -1 END)) AS m FROM sided JOIN side o ON o.s = segment JOIN side t ON t.s = other AND t.grp = o.grp WHERE o.idx <> t.idx GROUP BY ALL),
         sm AS (SELECT grp, i AS idx, coalesce(sum(m) FILTER (WHERE head), 0) AS hs, coalesce(sum(m) FILTER (WHERE NOT head), 0) AS ts FROM vt GROUP BY grp, i)
         SELECT grp, idx, CASE WHEN hs > 0 THEN 'F' ELSE 'S' END AS kind FROM sm WHERE (hs > 0 AND ts < 0) OR (hs < 0 AND ts > 0)""",
-    "reachable": f"""WITH RECURSIVE {v.MATRIX}, e AS (SELECT t1 AS src, t2 AS dst FROM mat WHERE n >= 3 AND t1 <> t2),
-        w AS (SELECT s_suppkey AS src, s_suppkey AS dst, 0 AS steps FROM supplier WHERE s_suppkey < 10 UNION SELECT w.src, e.dst, w.steps + 1 FROM w JOIN e ON e.src = w.dst WHERE w.steps < 3)
-        SELECT src, dst, min(steps) AS steps FROM w GROUP BY src, dst HAVING min(steps) > 0""",
+    "reachable": REACH, "reachable_whole": REACH,
+    "contacts_by_choice": f"""WITH {v.SITED}, x AS (SELECT read, seg, tid, seg % 2 + 1 AS mate, coalesce(first_site > pos, false) AS site, (mapq > 10 AND nm < 5) AS good, prim, score FROM sited JOIN more USING (read, seg)),
+        f AS (SELECT *, min(CASE WHEN prim AND (site OR good) THEN seg END) OVER (PARTITION BY read, mate) AS final FROM x),
+        t AS (SELECT read, mate, final, list({{'o': seg, 'site': site, 'good': good, 'score': score}} ORDER BY seg) AS rows FROM f WHERE final IS NULL GROUP BY ALL),
+        c AS (SELECT DISTINCT read, mate, final AS seg FROM f WHERE final IS NOT NULL UNION ALL
+            SELECT read, mate, coalesce(list_filter(rows, lambda r: r.site AND r.score = list_max(list_transform(list_filter(rows, lambda q: q.site), lambda q: q.score)))[1].o, list_filter(rows, lambda r: r.good)[1].o) FROM t),
+        p AS (SELECT c.read, c.mate, x.tid FROM c JOIN x ON x.read = c.read AND x.mate = c.mate AND x.seg = c.seg),
+        m AS (SELECT a.tid AS s1, b.tid AS s2 FROM p a JOIN p b ON a.read = b.read AND a.mate = 1 AND b.mate = 2)
+        SELECT t1, t2, count(*) AS n FROM (SELECT s1 AS t1, s2 AS t2 FROM m UNION ALL SELECT s2, s1 FROM m) GROUP BY t1, t2""".replace("x AS (SELECT read, seg, tid,", f"more AS ({MORE}), x AS (SELECT read, seg, tid,"),
 }

@@ -75,19 +75,17 @@ def breakpoint_midpoint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pivot_sites(spark: SparkSession, d: str) -> DataFrame:
-    """Only days 1 to 5, as the SQL has it; :func:`pivot_sites_whole` has all days."""
-    x = table(spark, d, "events").select("user_id", F.dayofmonth("ts").alias("day"), F.col("event_type"))
-    out = runs.pivoted_sites(x, "user_id", "day", "event_type", [1, 2, 3, 4, 5])
-    return out.select("user_id", *[F.col(str(k)).alias(f"day{k}") for k in range(1, 6)])
-
-
-def pivot_sites_whole(spark: SparkSession, d: str) -> DataFrame:
     """A column for each day a month can have."""
     x = table(spark, d, "events").select("user_id", F.dayofmonth("ts").alias("day"), F.col("event_type"))
     days = list(range(1, 32))
     return runs.pivoted_sites(x, "user_id", "day", "event_type", days).select("user_id", *[F.col(str(k)).alias(f"day{k}") for k in days])
 
 
+def pivot_sites_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Alias of :func:`pivot_sites`."""
+    return pivot_sites(spark, d)
+
+
 def exact_percentile(spark: SparkSession, d: str) -> DataFrame:
     return runs.position_of_rank(v.positions(spark, d).where("cov >= 0"), "ctg", "cov", 0.9)
 
@@ -186,7 +184,7 @@ SQL = {
         SELECT user_id, event_id, CASE WHEN k < n THEN 'short' ELSE 'long' END AS kind FROM k WHERE k % 2 = 1""",
     "moving_average": f"""WITH {MEASURED}, a AS (SELECT contig AS ctg, pos, avg(cov) OVER w AS average, count(*) OVER w AS n FROM ms WINDOW w AS (PARTITION BY contig ORDER BY pos ROWS 4 PRECEDING)) SELECT ctg, pos, round(average, 6) AS average FROM a WHERE n = 5""",
     "breakpoint_midpoint": f"WITH {v.POSITIONS} SELECT ctg, pos, (lag(pos, 1, 0) OVER (PARTITION BY ctg ORDER BY pos) + pos) // 2 AS midpoint FROM pstn WHERE is_var = 1",
-    "pivot_sites": "SELECT user_id, " + ", ".join(f"min(event_type) FILTER (WHERE day(ts) = {k}) AS day{k}" for k in range(1, 6)) + " FROM events GROUP BY user_id",
+    **dict.fromkeys(("pivot_sites", "pivot_sites_whole"), "SELECT user_id, " + ", ".join(f"min(event_type) FILTER (WHERE day(ts) = {k}) AS day{k}" for k in range(1, 32)) + " FROM events GROUP BY user_id"),
     "exact_percentile": f"""WITH {MEASURED}, r AS (SELECT contig AS ctg, cov, row_number() OVER (PARTITION BY contig ORDER BY cov) - 1 AS i, count(*) OVER (PARTITION BY contig) AS n FROM ms)
         SELECT ctg, cov, n FROM r WHERE i = greatest(0, CAST(floor(n * 0.9) AS BIGINT) - 1)""",
     "n50": f"WITH src AS (SELECT 'all' AS grp, length AS l FROM fai), {NXS}",

@@ -2,12 +2,12 @@
 
 import pytest
 
-from strandloom.plans import catalog
+from strandloom.plans import catalog, core_problems
 
 EMPTY = {"switch_argmin"}  # no contig of the small tables collapses
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n in catalog.SQL and not n.startswith("p")])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n in catalog.SQL and n not in core_problems.QUERIES])
 def test_same_as_sql(spark, small, same_as_sql, name):
     same_as_sql(spark, small, catalog.QUERIES[name], catalog.SQL[name])
 
