@@ -105,8 +105,19 @@ QUERIES = {f.__name__: f for f in (
 
 FIRST = "CASE WHEN strand <> '-' THEN qstart + (qpos - qstart) + k ELSE qend - 1 - (qpos - qstart) - k END"
 EXACT = f"{v.RUNS}, ex AS (SELECT paf_id, qname, tname, strand, qpos, tpos, len FROM runs WHERE op IN ('=', 'M') AND len <> qlen)"
+#: Each query's hits in order; then the best score of a chain that ends at each hit, and the hit before it; then the best chain, from its end.
+CHAIN = f"""{v.HITS}, hl AS (SELECT qname, list({{'id': paf_id, 'qs': qstart, 'qe': qend, 'st': strand, 't': tname, 'a': CASE WHEN strand = '+' THEN tstart ELSE tend END, 'b': CASE WHEN strand = '+' THEN tend ELSE tstart END,
+        'ts': tstart, 'te': tend, 'm': match}} ORDER BY qstart, qend, paf_id) AS h FROM hits WHERE match >= 100 AND strand IS NOT NULL AND tstart IS NOT NULL GROUP BY qname),
+    dp AS (SELECT qname, 1 AS k, [h[1].m] AS sc, [0] AS pv FROM hl UNION ALL SELECT qname, k + 1, list_append(sc, h[k + 1].m + CASE WHEN g > 0 THEN g ELSE 0 END), list_append(pv, CASE WHEN g > 0 THEN list_position(c, g) ELSE 0 END) FROM (
+        SELECT *, list_max(c) AS g FROM (SELECT dp.*, h, list_transform(range(1, k + 1), lambda j: CASE WHEN h[j].st = h[k + 1].st THEN sc[j] - abs(h[k + 1].a - h[j].b) END) AS c FROM dp JOIN hl USING (qname) WHERE k < len(h)))),
+    dn AS (SELECT qname, sc, pv, h FROM dp JOIN hl USING (qname) WHERE k = len(h)),
+    bt AS (SELECT qname, list_position(sc, list_max(sc)) AS loc, 0 AS back FROM dn UNION ALL SELECT qname, pv[loc], back + 1 FROM bt JOIN dn USING (qname) WHERE pv[loc] > 0),
+    ch AS (SELECT qname, CAST(max(back) OVER (PARTITION BY qname) - back AS INTEGER) AS chain_no, h[loc] AS x FROM bt JOIN dn USING (qname))"""
 DEPTH = f"""{v.HITS}, ev AS (SELECT tname AS contig, tstart AS pos, 1 AS delta FROM hits UNION ALL SELECT tname, tend, -1 FROM hits)"""
 SQL = {
+    "chain_dp": f"WITH RECURSIVE {CHAIN} SELECT qname, chain_no, x.id AS paf_id FROM ch",
+    "chain_placements": f"""WITH RECURSIVE {CHAIN}, en AS (SELECT qname, arg_min(x, chain_no) AS f, arg_max(x, chain_no) AS l FROM ch GROUP BY qname)
+        SELECT qname, f.qs AS qstart, l.qe AS qend, f.t AS tname, CASE WHEN f.st = '-' THEN l.ts ELSE f.ts END AS tstart, CASE WHEN f.st = '-' THEN f.te ELSE l.te END AS tend, f.st AS strand FROM en""",
     "cigar_walk": f"WITH {v.RUNS} SELECT paf_id, CAST(run_no AS INTEGER) AS run_no, op, len, CAST(tpos AS BIGINT) AS tpos, CAST(qpos AS BIGINT) AS qpos FROM runs",
     "cigar_spans": f"""WITH {v.RUNS} SELECT paf_id, CAST(coalesce(sum(CASE WHEN op IN ('M','=','X','D','N') THEN len END), 0) AS BIGINT) AS on_target,
         CAST(coalesce(sum(CASE WHEN op IN ('M','=','X','I','S') THEN len END), 0) AS BIGINT) AS on_query FROM runs GROUP BY paf_id""",

@@ -157,8 +157,10 @@ def synced_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segment_multiplicity(spark: SparkSession, d: str) -> DataFrame:
-    """How often each target segment of the placements occurs, where more than once."""
-    x = v.hits(spark, d).groupBy("tname", "tstart", "tend").agg(F.count(F.lit(1)).alias("n"))
+    """How often each segment, in its kilobases, occurs among the primary segments and among all hits together, where more than once."""
+    kilo = lambda c: F.floor(F.col(c) / 1000).alias(c)
+    pick = lambda df: df.select("tname", kilo("tstart"), kilo("tend"))
+    x = pick(v.placed(spark, d)).unionByName(pick(v.hits(spark, d))).groupBy("tname", "tstart", "tend").agg(F.count(F.lit(1)).alias("n"))
     return x.where("n > 1")
 
 
@@ -175,6 +177,19 @@ ORD = f"{v.PLACED}, {v.UNITS}, od AS (SELECT unit_id // 20 AS scaffold, unit_id
 REV = "translate(reverse(seq), 'ACGTacgt', 'TGCAtgca')"
 UNZIP = f"""pri AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS n FROM fai)"""
 SQL = {
+    "dual_cut": f"""WITH RECURSIVE {v.RUNS}, dq AS (SELECT * FROM (SELECT tname, qname, strand, row_number() OVER (PARTITION BY tname ORDER BY sum(tend - tstart) DESC, qname, strand) AS r FROM hits GROUP BY tname, qname, strand) WHERE r = 1),
+        rl AS (SELECT tname, any_value(qname) AS qname, any_value(strand) AS strand, any_value(qlen) AS ql, any_value(tlen) AS tl, list({{'q0': qpos, 'q1': qpos + len, 't0': tpos, 't1': tpos + len}} ORDER BY qpos, tpos) AS h
+            FROM runs JOIN dq USING (tname, qname, strand) WHERE op IN ('=', 'M') AND len <> qlen AND len >= 40 AND tlen IS NOT NULL GROUP BY tname),
+        fr AS (SELECT *, CASE WHEN h[1].q0 + h[1].t0 <> 0 AND (h[1].q0 < 40 OR h[1].t0 < 40) THEN 2 ELSE 1 END AS f FROM rl),
+        mg AS (SELECT tname, f AS k, [h[f]] AS kept FROM fr WHERE f <= len(h) UNION ALL SELECT tname, k + 1, CASE
+                WHEN k + 1 = len(h) AND NOT ((ql - x.q1 >= 40 AND tl - x.t1 >= 40) OR (x.q1 = ql AND x.t1 = tl)) THEN kept
+                WHEN x.q0 - y.q1 <= 40 OR x.t0 - y.t1 <= 40 THEN CASE WHEN x.q1 - x.q0 >= y.q1 - y.q0 THEN list_append(kept[:-2], x) ELSE kept END
+                ELSE list_append(kept, x) END FROM (SELECT mg.*, h, ql, tl, h[k + 1] AS x, kept[-1] AS y FROM mg JOIN fr USING (tname) WHERE k < len(h))),
+        pc AS (SELECT tname, qname, strand, list_concat(CASE WHEN kept[1].q0 <> 0 AND kept[1].t0 <> 0 THEN [{{'a': 0, 'b': kept[1].q0, 'c': 0, 'd': kept[1].t0}}] ELSE [] END,
+            list_transform(range(1, len(kept)), lambda i: {{'a': kept[i].q1, 'b': kept[i + 1].q0, 'c': kept[i].t1, 'd': kept[i + 1].t0}}),
+            CASE WHEN kept[-1].q1 <> ql AND kept[-1].t1 <> tl THEN [{{'a': kept[-1].q1, 'b': ql, 'c': kept[-1].t1, 'd': tl}}] ELSE [] END) AS e FROM mg JOIN fr USING (tname) WHERE k = len(h)),
+        un AS (SELECT tname, qname, strand, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS piece FROM pc)
+        SELECT tname, qname, strand, CAST(piece AS INTEGER) AS piece, CAST(x.a AS BIGINT) AS qstart, CAST(x.b AS BIGINT) AS qend, CAST(x.c AS BIGINT) AS tstart, CAST(x.d AS BIGINT) AS tend FROM un""",
     "split_alignments": f"""WITH {v.RUNS}, r AS (SELECT paf_id, qstart, qend, tstart, tend, run_no, qpos, tpos, len, row_number() OVER (PARTITION BY paf_id ORDER BY run_no) AS k, count(*) OVER (PARTITION BY paf_id) AS n
             FROM runs WHERE op IN ('=', 'M') AND len >= 100),
         c AS (SELECT paf_id, k - 1 AS piece, lag(qpos + len, 1, qstart) OVER w AS qs, qpos AS qe, lag(tpos + len, 1, tstart) OVER w AS ts, tpos AS te FROM r WINDOW w AS (PARTITION BY paf_id ORDER BY k)
@@ -187,7 +202,8 @@ SQL = {
         SELECT grp, k // 2 AS idx, min(n) FILTER (WHERE k % 2 = 0) AS a, min(n) FILTER (WHERE k % 2 = 1) AS b FROM k GROUP BY grp, k // 2 HAVING count(*) = 2""",
     "synced_variants": f"""WITH {v.POSITIONS}, l AS (SELECT ctg, pos, base AS base_1 FROM pstn WHERE cov >= 40), r AS (SELECT ctg, pos, cov AS cov_2 FROM pstn WHERE is_var = 1)
         SELECT * FROM l FULL JOIN r USING (ctg, pos)""",
-    "segment_multiplicity": f"WITH {v.HITS} SELECT tname, tstart, tend, count(*) AS n FROM hits GROUP BY ALL HAVING count(*) > 1",
+    "segment_multiplicity": f"""WITH {v.PLACED}, x AS (SELECT tname, tstart, tend FROM placed UNION ALL SELECT tname, tstart, tend FROM hits)
+        SELECT tname, tstart // 1000 AS tstart, tend // 1000 AS tend, count(*) AS n FROM x GROUP BY 1, 2, 3 HAVING count(*) > 1""",
     "filter_alt": f"""WITH {v.PLACED}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tname, tstart, tend ORDER BY qname DESC) AS k FROM placed) WHERE k = 1)
         SELECT qname, tname, tstart, tend, CAST(0 AS BIGINT) AS qstart, qlen AS qend FROM one a WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.tname = a.tname AND b.tstart < a.tstart AND b.tend > a.tend)""",
     "cut_segments": f"WITH {SEGS} SELECT kind, contig, s AS seg_start, e AS seg_end, strand FROM sg",

@@ -39,9 +39,8 @@ def coverage_clamped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def switch_argmin(spark: SparkSession, d: str) -> DataFrame:
-    deltas = cv.pair_deltas(_same_segment(spark, d), "ctg1")
-    lengths = deltas.groupBy("contig").agg(F.max("pos").alias("length"))
-    return cv.switch_points(cv.clamp_spikes(cv.coverage_runs(deltas, lengths))).select("contig", "pos", F.round("mean", 6).alias("mean"))
+    """Where measured coverage collapses once its spikes are clamped."""
+    return cv.switch_points(cv.clamp_spikes(_measured(spark, d))).select("contig", "pos", F.round("mean", 6).alias("mean"))
 
 
 def switch_argmin_measured(spark: SparkSession, d: str) -> DataFrame:
@@ -164,14 +163,26 @@ ORDERED = "o AS (SELECT grp, l, row_number() OVER (PARTITION BY grp ORDER BY l D
 NXS = f"{ORDERED} SELECT grp, " + ", ".join(f"max(l) FILTER (WHERE upto * 100 >= total * {s}) AS n{s}, min(i) FILTER (WHERE upto * 100 >= total * {s}) AS l{s}" for s in (10, 25, 50, 75, 90)) + ", CAST(max(total) AS BIGINT) AS total, count(*) AS n, max(l) AS longest, min(l) AS shortest FROM o GROUP BY grp"
 CONSISTENCY = """rd AS (SELECT l_orderkey AS read, l_suppkey % 40 AS site, max(l_partkey) % 2 AS allele FROM lineitem GROUP BY 1, 2),
     lg AS (SELECT site, allele, lag(allele) OVER (PARTITION BY read ORDER BY site) AS b FROM rd), sc AS (SELECT site, count(*) AS n, count(*) FILTER (WHERE allele <> b) AS inconsistent FROM lg WHERE b IS NOT NULL GROUP BY site)"""
+CLAMPED = f"""{MEASURED}, n AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY pos) AS r FROM ms),
+    w AS (SELECT contig, pos, cov, r, cov AS clamped FROM n WHERE r = 1 UNION ALL SELECT n.contig, n.pos, n.cov, n.r, CASE WHEN (w.clamped > 100 AND n.cov > 5 * w.clamped) OR n.cov > 5000 THEN w.clamped ELSE n.cov END FROM w JOIN n ON n.contig = w.contig AND n.r = w.r + 1)"""
 SQL = {
+    "switch_error": f"""WITH {v.POSITIONS}, mk AS (SELECT ctg, pos, CAST(n_a + n_c > n_g + n_t AS INTEGER) AS hap FROM pstn WHERE n_a + n_c > n_g + n_t IS NOT NULL),
+        gr AS (SELECT *, row_number() OVER (PARTITION BY ctg ORDER BY pos) - row_number() OVER (PARTITION BY ctg, hap ORDER BY pos) AS g FROM mk),
+        st AS (SELECT ctg, hap, min(pos) AS s, max(pos) + 1 AS e, count(*) AS n FROM gr GROUP BY ctg, hap, g),
+        lg AS (SELECT *, n >= 4 OR (n >= 2 AND e - s > 500) OR row_number() OVER w = 1 AS opens, s = max(s) OVER (PARTITION BY ctg) AS ends FROM st WINDOW w AS (PARTITION BY ctg ORDER BY s)),
+        pt AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY ctg ORDER BY s) AS part FROM lg),
+        sd AS (SELECT *, first_value(hap) OVER (PARTITION BY ctg, part ORDER BY s) AS side FROM pt),
+        hd AS (SELECT *, CASE WHEN opens THEN coalesce(side <> lag(side) OVER (PARTITION BY ctg ORDER BY s), true) ELSE false END AS fresh FROM sd),
+        bk AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY ctg ORDER BY s) AS block FROM hd),
+        pr AS (SELECT coalesce(sum(n) FILTER (WHERE NOT (hap <> side AND ends)), 0) AS m, coalesce(sum(n) FILTER (WHERE hap <> side AND NOT ends), 0) AS x, coalesce(sum(n) FILTER (WHERE hap <> side AND ends), 0) AS t FROM bk GROUP BY ctg, block),
+        tt AS (SELECT coalesce(sum(x) FILTER (WHERE m > 1), 0) AS switches, sum(CASE WHEN m > 1 THEN m ELSE 0 END + CASE WHEN t > 1 THEN t ELSE 0 END) AS markers FROM pr)
+        SELECT CAST(switches AS BIGINT) AS switches, CAST(markers AS BIGINT) AS markers, round(100.0 * switches / nullif(markers, 0), 6) AS error FROM tt""",
     "pileup_depth": f"""WITH {v.RUNS}, r AS (SELECT tname AS contig, tpos, len FROM runs WHERE op IN ('M', '=', 'X') AND len > 0), ev AS (SELECT contig, tpos AS p, 1 AS x FROM r UNION ALL SELECT contig, tpos + len, -1 FROM r),
         c AS (SELECT contig, sum(sum(x)) OVER (PARTITION BY contig ORDER BY p) AS cov FROM ev GROUP BY contig, p) SELECT contig, CAST(any_value(b) AS BIGINT) AS bases, CAST(max(cov) AS BIGINT) AS deepest
         FROM c JOIN (SELECT contig, sum(len) AS b FROM r GROUP BY contig) USING (contig) GROUP BY contig""",
     "coverage_runs": f"WITH {COV} SELECT * FROM cr",
-    "coverage_clamped": f"""WITH RECURSIVE {MEASURED}, n AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY pos) AS r FROM ms),
-        w AS (SELECT contig, pos, cov, r, cov AS clamped FROM n WHERE r = 1 UNION ALL SELECT n.contig, n.pos, n.cov, n.r, CASE WHEN (w.clamped > 100 AND n.cov > 5 * w.clamped) OR n.cov > 5000 THEN w.clamped ELSE n.cov END FROM w JOIN n ON n.contig = w.contig AND n.r = w.r + 1)
-        SELECT contig, pos, cov, clamped FROM w""",
+    "coverage_clamped": f"WITH RECURSIVE {CLAMPED} SELECT contig, pos, cov, clamped FROM w",
+    "switch_argmin": f"WITH RECURSIVE {CLAMPED}, src AS (SELECT contig, pos AS s, pos + 1 AS e, clamped AS c FROM w), {_switch('src')}",
     "switch_argmin_measured": f"WITH {MEASURED}, src AS (SELECT contig, pos AS s, pos + 1 AS e, cov AS c FROM ms), {_switch('src')}",
     "islands": f"WITH {ISLANDS} SELECT * FROM isl",
     "small_run_absorption": f"""WITH {ISLANDS}, k AS (SELECT *, CASE WHEN n >= 2 OR row_number() OVER w = 1 THEN event_type END AS v FROM isl WINDOW w AS (PARTITION BY user_id ORDER BY first_id)),
