@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import cigar as cg
 from strandloom.functions.sequences import padded_name, parse_region, region, revcomp
 from strandloom.operators import intervals
-from strandloom.operators.prefix import number_rows
+from strandloom.operators.prefix import number_rows, number_within, running_sum
 from strandloom.session import written
 
 
@@ -45,9 +45,14 @@ def homologous_pairs(segs: DataFrame) -> DataFrame:
 
 
 def cut(segs: DataFrame, sequences: DataFrame) -> DataFrame:
-    """``kind, segment, seq``: the bases of segments, reversed where the strand is ``-``. ``sequences``: name, seq."""
+    """``kind, segment, seq``: the bases of segments, reversed where the strand is ``-``. ``sequences``: name, seq.
+
+    A contig's bounds go to its sequence and are cut there: a sequence moves once,
+    however many segments it has.
+    """
+    bounds = segs.groupBy("contig").agg(F.collect_list(F.struct("kind", "start", "end", "strand")).alias("_x"))
+    joined = sequences.select(F.col("name").alias("contig"), "seq").join(bounds, "contig").select("contig", "seq", F.explode("_x").alias("x")).select("contig", "seq", "x.*")
     part = F.substring("seq", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
-    joined = segs.join(sequences.select(F.col("name").alias("contig"), "seq"), "contig")
     return joined.select("kind", region("contig", "start", "end").alias("segment"), F.when(F.col("strand") == "-", revcomp(part)).otherwise(part).alias("seq"))
 
 
@@ -59,8 +64,8 @@ def unzip_names(contigs: DataFrame, overlaps: DataFrame) -> DataFrame:
     """
     pri = written(number_rows(contigs.select("name").distinct(), ["name"], out="_n"))
     first = overlaps.groupBy("qname").agg(F.min(F.struct("tname", "tstart")).alias("o")).select("qname", "o.tname", "o.tstart")
-    placed = first.join(pri.select(F.col("name").alias("tname"), "_n"), "tname").withColumn("_k", F.row_number().over(Window.partitionBy("tname").orderBy("tstart", "qname")))
-    return pri.select("name", padded_name("_n").alias("new_name")).unionByName(placed.select(F.col("qname").alias("name"), padded_name("_n", F.col("_k")).alias("new_name")))
+    placed = number_within(first, "tname", ["tstart", "qname"], out="_k").join(pri.select(F.col("name").alias("tname"), "_n"), "tname")
+    return pri.select("name", padded_name("_n").alias("new_name")).unionByName(placed.select(F.col("qname").alias("name"), padded_name("_n", F.col("_k") + 1).alias("new_name")))
 
 
 def name_mapping(names: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,6 +76,19 @@ def name_mapping(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pri.join(alt, "primary"), alt.join(pri, "primary", "left_anti")
 
 
+def ordered_parts(parts: DataFrame, key: str, order: str, seq: str, *, gap: str | None = None) -> DataFrame:
+    """``key, place, offset, seq, gap``: a key's parts in order with where each begins, as rows: no key is one row.
+
+    ``gap`` times N follow each part but the key's last. ``order`` is any type with an order.
+    """
+    x = parts.select(key, F.col(order).alias("_o"), F.col(seq).alias("seq"), (F.col(gap) if gap else F.lit(0)).cast("long").alias("gap"))
+    x = written(number_within(x, key, ["_o"], out="place").drop("_o"))
+    last = x.groupBy(key).agg(F.max("place").alias("_last"))
+    sized = x.join(last, key).withColumn("gap", F.when(F.col("place") < F.col("_last"), F.coalesce("gap", F.lit(0))).otherwise(0)).drop("_last")
+    sized = sized.withColumn("_size", F.length("seq") + F.col("gap"))
+    return running_sum(sized, key, "place", "_size", out="_upto").select(key, "place", (F.col("_upto") - F.col("_size")).alias("offset"), "seq", "gap")
+
+
 def ordered_concat(parts: DataFrame, key: str, order: str, seq: str, *, gap: str | None = None) -> DataFrame:
     """``key, seq, n``: a key's parts joined in order, with ``gap`` times N behind each but the last."""
     fields = [F.col(order).alias("o"), F.col(seq).alias("s"), (F.col(gap) if gap else F.lit(0)).cast("int").alias("g")]
@@ -79,14 +97,23 @@ def ordered_concat(parts: DataFrame, key: str, order: str, seq: str, *, gap: str
     return rows.select(key, joined.alias("seq"), F.size("x").alias("n"))
 
 
+def _oriented(ordering: DataFrame, sequences: DataFrame, unknown_gap: int) -> DataFrame:
+    x = ordering.join(sequences.select("name", "seq"), "name")
+    return x.withColumn("s", F.when(F.col("rc") == 1, revcomp("seq")).otherwise(F.col("seq"))).withColumn("g", F.when(F.col("gap") == ".", unknown_gap).otherwise(F.expr("try_cast(gap as int)")))
+
+
 def scaffolds(ordering: DataFrame, sequences: DataFrame, unknown_gap: int = 1000) -> DataFrame:
     """``scaffold, seq, n``: contigs in order, reversed where asked, with gaps of N (``.`` stands for ``unknown_gap``).
 
-    ``ordering``: scaffold, place, name, rc (0/1), gap.
+    ``ordering``: scaffold, place, name, rc (0/1), gap. A scaffold is one row, of at
+    most 2 GB; :func:`scaffold_parts` has no such limit.
     """
-    x = ordering.join(sequences.select("name", "seq"), "name")
-    x = x.withColumn("s", F.when(F.col("rc") == 1, revcomp("seq")).otherwise(F.col("seq"))).withColumn("g", F.when(F.col("gap") == ".", unknown_gap).otherwise(F.expr("try_cast(gap as int)")))
-    return ordered_concat(x, "scaffold", "place", "s", gap="g")
+    return ordered_concat(_oriented(ordering, sequences, unknown_gap), "scaffold", "place", "s", gap="g")
+
+
+def scaffold_parts(ordering: DataFrame, sequences: DataFrame, unknown_gap: int = 1000) -> DataFrame:
+    """``scaffold, place, offset, seq, gap``: what :func:`scaffolds` joins, as rows in order."""
+    return ordered_parts(_oriented(ordering, sequences, unknown_gap), "scaffold", "place", "s", gap="g")
 
 
 def leftover(contigs: DataFrame, ordering: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -245,7 +272,7 @@ def renamed(df: DataFrame, names: DataFrame, column: str = "name") -> DataFrame:
 def scaffold_pairs(names: DataFrame, column: str = "name") -> DataFrame:
     """``grp, idx, a, b``: neighbours in the order of names that share what stands before ``_``; one left over has no partner."""
     x = names.select(F.col(column).alias("n"), F.split(column, "_")[0].alias("grp")).where("n is not null").distinct()
-    x = x.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("n")) - 1).withColumn("idx", F.expr("k div 2"))
+    x = number_within(x, "grp", ["n"], out="k").withColumn("idx", F.expr("k div 2"))
     return x.groupBy("grp", "idx").agg(F.min(F.when(F.col("k") % 2 == 0, F.col("n"))).alias("a"), F.min(F.when(F.col("k") % 2 == 1, F.col("n"))).alias("b")).where("b is not null")
 
 

@@ -28,8 +28,6 @@ def by_key(df: DataFrame, key: str, order: list[str], fn, schema: str) -> DataFr
     out_schema = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
         def groups(table: pa.Table, cuts: list[int]) -> pa.RecordBatch | None:
             arrays = {c: table.column(c).to_numpy() for c in table.column_names}
             parts = [r for a, b in zip(cuts, cuts[1:], strict=False) if (r := fn({c: x[a:b] for c, x in arrays.items()})) is not None]
@@ -37,18 +35,23 @@ def by_key(df: DataFrame, key: str, order: list[str], fn, schema: str) -> DataFr
                 return None
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[f.name] for p in parts]), f.type) for f in out_schema], schema=out_schema)
 
+        held: list[pa.RecordBatch] = []  # of the key that may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            keys = table.column(key).combine_chunks().dictionary_encode().indices.to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist()]
+            keys = batch.column(key).dictionary_encode().indices.to_numpy()
+            inside = (np.flatnonzero(np.diff(keys)) + 1).tolist()
+            if held and held[-1].column(key)[-1].as_py() == batch.column(key)[0].as_py() and not inside:
+                held.append(batch)
+                continue
+            rows = sum(b.num_rows for b in held)
+            same = held and held[-1].column(key)[-1].as_py() == batch.column(key)[0].as_py()
+            cuts = [0, *([] if same or not held else [rows]), *[rows + k for k in inside]]
+            table = pa.Table.from_batches([*held, batch])
             if len(cuts) > 1 and (out := groups(table.slice(0, cuts[-1]), cuts)) is not None:
                 yield out
-            rest = table.slice(cuts[-1]).combine_chunks()
-        if rest is not None and (out := groups(rest, [0, rest.num_rows])) is not None:
+            held = table.slice(cuts[-1]).combine_chunks().to_batches()
+        if held and (out := groups(pa.Table.from_batches(held), [0, sum(b.num_rows for b in held)])) is not None:
             yield out
 
     from pyspark.sql.pandas.types import to_arrow_schema

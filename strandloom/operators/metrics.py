@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.prefix import running_sum
+from strandloom.session import written
+
 
 def _by_length(df: DataFrame, group: str | None, length: str) -> DataFrame:
     """``grp, l, c, upto, before, total``: distinct lengths in falling order with running sums.
 
-    Lengths are folded first, so a window holds distinct values only.
+    Lengths are folded first; the sums over distinct ones are taken in two levels.
     """
     grp = F.col(group) if group else F.lit("all")
-    counts = df.where(F.col(length).isNotNull()).groupBy(grp.alias("grp"), F.col(length).cast("long").alias("l")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("grp")
-    down = w.orderBy(F.desc("l"))
-    return counts.select("grp", "l", "c", F.sum(F.col("l") * F.col("c")).over(down).alias("upto"), F.sum("c").over(down).alias("n_upto"), F.sum(F.col("l") * F.col("c")).over(w).alias("total"))
+    counts = written(df.where(F.col(length).isNotNull()).groupBy(grp.alias("grp"), F.col(length).cast("long").alias("l")).agg(F.count(F.lit(1)).alias("c")))
+    x = counts.withColumn("down", -F.col("l")).withColumn("bases", F.col("l") * F.col("c"))
+    x = running_sum(running_sum(x, "grp", "down", "bases", out="upto"), "grp", "down", "c", out="n_upto")
+    totals = counts.groupBy("grp").agg(F.sum(F.col("l") * F.col("c")).alias("total"))
+    return x.join(totals, "grp").select("grp", "l", "c", "upto", "n_upto", "total")
 
 
 def nx_stats(df: DataFrame, length: str, group: str | None = None, shares: tuple[int, ...] = (10, 25, 50, 75, 90)) -> DataFrame:

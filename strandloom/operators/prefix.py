@@ -58,3 +58,10 @@ def number_rows(df: DataFrame, order: list[str], *, out: str = "number") -> Data
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     return placed.withColumn("__part", part).join(starts, "__part").withColumn(out, F.col("__first") + row).drop("__part", "__first", "__id")
+
+
+def number_within(df: DataFrame, key: str, order: list[str], *, out: str = "number") -> DataFrame:
+    """``df`` with ``out``: 0, 1, ... along ``order`` within each key, by one range sort of all keys; no key is one task."""
+    numbered = written(number_rows(df, [key, *order], out="__at"))
+    first = numbered.groupBy(key).agg(F.min("__at").alias("__first"))
+    return numbered.join(first, key).withColumn(out, F.col("__at") - F.col("__first")).drop("__at", "__first")

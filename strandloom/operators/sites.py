@@ -57,13 +57,18 @@ def cigar_sites(paf: DataFrame) -> DataFrame:
     forward = F.col("strand") != "-"
     first = lifted_start("strand", "qstart", "qend")
     at = lambda k: F.when(forward, first + offset + k).otherwise(first - offset - k)
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)).alias("k")
+    each = F.sequence(F.lit(0).cast("long"), F.col("len") - 1)
+    site = lambda name, pos: F.struct(F.col(name).alias("contig"), pos.cast("long").alias("pos"))
+    op, lit = F.col("op"), lambda k: F.lit(k).cast("long")
+    along = F.transform(each, lambda k: site("tname", F.col("tpos") + k))
+    query = F.transform(each, lambda k: site("qname", at(k)))
+    places = (
+        F.when(op == "X", F.concat(along, query))
+        .when(op == "D", F.concat(along, F.array(site("qname", at(lit(-1))), site("qname", at(lit(1))))))
+        .otherwise(F.concat(query, F.array(site("tname", F.col("tpos") + 1))))
+    )
     changed = runs.where("op in ('X', 'D', 'I') and len > 0")
-    target = changed.where("op != 'I'").select("tname", "tpos", each).select(F.col("tname").alias("contig"), (F.col("tpos") + F.col("k")).alias("pos"))
-    after = changed.where("op = 'I'").select(F.col("tname").alias("contig"), (F.col("tpos") + 1).alias("pos"))
-    query = changed.where("op != 'D'").select("qname", "qstart", "qend", "strand", "qpos", each).select(F.col("qname").alias("contig"), at(F.col("k")).alias("pos"))
-    around = changed.where("op = 'D'").select(F.col("qname").alias("contig"), F.explode(F.array(at(F.lit(-1)), at(F.lit(1)))).alias("pos"))
-    return target.unionByName(after).unionByName(query).unionByName(around).where("contig is not null and pos >= 0").distinct()
+    return changed.select(F.inline(places)).where("contig is not null and pos >= 0").distinct()
 
 
 def called_sites(mismatches: DataFrame, primary: DataFrame, alternate: DataFrame) -> DataFrame:

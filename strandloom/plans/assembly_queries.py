@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import region, revcomp
 from strandloom.operators import assembly as asm
-from strandloom.operators.prefix import number_rows
+from strandloom.operators.prefix import number_within, running_sum
 from strandloom.plans import views as v
-from strandloom.session import written
 
 
 def filter_alt(spark: SparkSession, d: str) -> DataFrame:
@@ -50,6 +49,12 @@ def scaffolds(spark: SparkSession, d: str) -> DataFrame:
     return out.select("scaffold", F.md5("seq").alias("digest"), F.length("seq").cast("long").alias("length"), "n")
 
 
+def scaffold_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The same scaffolds as rows: each contig's bases with its place and offset, for writers of any length."""
+    out = asm.scaffold_parts(_ordering(spark, d), v.units(spark, d))
+    return out.select("scaffold", "place", "offset", F.md5("seq").alias("digest"), "gap")
+
+
 def leftover_contigs(spark: SparkSession, d: str) -> DataFrame:
     u = v.units(spark, d).where("name is not null")
     return asm.leftover(u, _ordering(spark, d), v.hits(spark, d).select(F.col("tname").alias("name")))
@@ -117,17 +122,15 @@ def chosen_sequences(spark: SparkSession, d: str) -> DataFrame:
 def scaffold_index(spark: SparkSession, d: str) -> DataFrame:
     """Contigs of each cluster (fifty neighbours) with their numbers, longest first: an index for phasing tools."""
     x = v.contigs(spark, d).select(F.floor(F.col("tid") / 50).alias("cluster"), (-F.col("length")).alias("shorter"), "name", "tid")
-    numbered = written(number_rows(x, ["cluster", "shorter", "name"], out="at"))
-    first = numbered.groupBy("cluster").agg(F.min("at").alias("first"))
-    return numbered.join(first, "cluster").select("cluster", (F.col("at") - F.col("first")).alias("place"), "name", "tid")
+    return number_within(x, "cluster", ["shorter", "name"], out="place").select("cluster", "place", "name", "tid")
 
 
 def clean_collapsed(spark: SparkSession, d: str) -> DataFrame:
     """Segments that are in a haplotype, per scaffold in order: the lengths of what is kept."""
     segs = _segments(spark, d).where("kind != 'hap1'").withColumn("segment", region("contig", "start", "end"))
     kept = segs.join(segs.where("kind = 'hap2'").select("segment").distinct(), "segment", "left_semi").dropDuplicates(["segment"])
-    w = Window.partitionBy("contig").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
-    return kept.select("contig", "segment", F.sum(F.col("end") - F.col("start")).over(w).alias("upto"))
+    sized = number_within(kept.select("contig", "segment", "start", "end", (F.col("end") - F.col("start")).alias("len")), "contig", ["start", "end"], out="place")
+    return running_sum(sized, "contig", "place", "len", out="upto").select("contig", "segment", "upto")
 
 
 def split_alignments(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +169,7 @@ def segment_multiplicity(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     split_alignments, dual_cut, planted_switches, renamed_units, scaffold_pairs, synced_variants, segment_multiplicity,
-    filter_alt, cut_segments, segment_pairs, cut_sequences, ordered_concat, scaffolds, leftover_contigs, haplotype_layout, variant_lift, variant_lift_whole, switch_lift, chosen_sequences, scaffold_index, clean_collapsed,
+    filter_alt, cut_segments, segment_pairs, cut_sequences, ordered_concat, scaffolds, scaffold_parts, leftover_contigs, haplotype_layout, variant_lift, variant_lift_whole, switch_lift, chosen_sequences, scaffold_index, clean_collapsed,
 )}
 
 OPEN = """op AS (SELECT contig, s, least(e, length) AS e FROM (SELECT tname AS contig, coalesce(max(tend) OVER (PARTITION BY tname ORDER BY tstart, tend ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, tstart AS e
@@ -213,6 +216,8 @@ SQL = {
     "ordered_concat": f"WITH {v.UNITS} SELECT unit_id // 10 AS scaffold, md5(string_agg(seq, '' ORDER BY unit_id)) AS digest, CAST(count(*) AS INTEGER) AS n FROM unt GROUP BY 1",
     "scaffolds": f"""WITH {ORD}, x AS (SELECT scaffold, place, CASE WHEN rc = 1 THEN {REV} ELSE seq END || CASE WHEN place = max(place) OVER (PARTITION BY scaffold) THEN '' ELSE repeat('N', gap) END AS s FROM od)
         SELECT scaffold, md5(string_agg(s, '' ORDER BY place)) AS digest, CAST(sum(length(s)) AS BIGINT) AS length, CAST(count(*) AS INTEGER) AS n FROM x GROUP BY scaffold""",
+    "scaffold_parts": f"""WITH {ORD}, x AS (SELECT scaffold, row_number() OVER w - 1 AS place, CASE WHEN rc = 1 THEN {REV} ELSE seq END AS s, CASE WHEN lead(place) OVER w IS NULL THEN 0 ELSE gap END AS gap, od.place AS o FROM od WINDOW w AS (PARTITION BY scaffold ORDER BY place))
+        SELECT scaffold, place, CAST(coalesce(sum(length(s) + gap) OVER (PARTITION BY scaffold ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", md5(s) AS digest, CAST(gap AS BIGINT) AS gap FROM x""",
     "leftover_contigs": f"WITH {ORD} SELECT name, CASE WHEN name IN (SELECT tname FROM hits) THEN 'unordered' ELSE 'unclustered' END AS label FROM unt WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM od)",
     "variant_lift": f"""WITH {v.POSITIONS}, bed AS (SELECT name AS contig, 0 AS s, length AS e, 'S' || tid % 50 AS scf, tid FROM fai WHERE length > 0), b AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY scf ORDER BY tid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bed)
         SELECT scf AS name, CAST(before + pos - s AS BIGINT) AS pos, pos AS source_pos FROM pstn JOIN b ON contig = ctg AND pos >= s AND pos < e WHERE is_var = 1""",
