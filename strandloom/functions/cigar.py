@@ -59,3 +59,15 @@ def walk(df: DataFrame, cigar: str = "cigar", *, tstart: str = "tstart", qstart:
     )
     placed = chunks.select(*df.columns, "_no", F.posexplode(inner).alias("_k", "_run"))
     return placed.select(*df.columns, (F.col("_no") * CHUNK + F.col("_k")).cast("int").alias("run_no"), "_run.op", "_run.len", "_run.tpos", "_run.qpos")
+
+
+def of_cs(cs: Column | str) -> Column:
+    """The CIGAR that a ``cs`` tag stands for: ``:n`` and ``=bases`` are equal, ``*xy`` differ, ``+bases`` are inserted, ``-bases`` deleted, ``~..n..`` skipped.
+
+    Bases that differ one after another are one run. Null for null, empty for a tag without runs.
+    """
+    c = F.col(cs) if isinstance(cs, str) else cs
+    parts = F.regexp_extract_all(c, F.lit(r"(:\d+|(?:\*[a-zA-Z]{2})+|[=+-][a-zA-Z]+|~[a-zA-Z]{2}\d+[a-zA-Z]{2})"), F.lit(1))
+    size = lambda p: F.when(p.startswith(":"), F.substr(p, F.lit(2))).when(p.startswith("~"), F.regexp_extract(p, r"\d+", 0)).when(p.startswith("*"), (F.length(p) / 3).cast("int").cast("string")).otherwise((F.length(p) - 1).cast("string"))
+    kind = lambda p: F.translate(F.left(p, F.lit(1)), ":=*+-~", "==XIDN")
+    return F.array_join(F.transform(parts, lambda p: F.concat(size(p), kind(p))), "")

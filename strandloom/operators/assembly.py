@@ -288,3 +288,10 @@ def parse_bubble_names(names: DataFrame) -> DataFrame:
     part = lambda k: F.expr(f"try_cast(get(p, {k}) as bigint)")
     x = names.select("name", p.alias("p")).where("p[0] in ('PR', 'UR')")
     return x.select("name", F.col("p")[0].alias("kind"), part(1).alias("chain"), part(2).alias("place"), part(3).alias("side"), part(4).alias("hap"))
+
+
+def suffix_pairs(names: DataFrame, column: str = "name") -> DataFrame:
+    """``stem, a, b``: names that differ only in a last ``1`` or ``2``: the same contig of either haplotype."""
+    n = names.select(F.col(column).alias("n")).where(F.col(column).rlike("[12]$")).distinct().withColumn("stem", F.expr("left(n, length(n) - 1)"))
+    side = lambda k, c: n.where(F.col("n").endswith(k)).select("stem", F.col("n").alias(c))
+    return side("1", "a").join(side("2", "b"), "stem")

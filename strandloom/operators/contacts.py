@@ -211,3 +211,68 @@ def both_have(pairs: DataFrame, switches: DataFrame) -> DataFrame:
     """``segment, pos`` of switches whose partner has one too."""
     p = pairs.select("a", "b").join(switches.select(F.col("segment").alias("a"), F.col("pos").alias("pa")), "a").join(switches.select(F.col("segment").alias("b"), F.col("pos").alias("pb")), "b")
     return p.select(F.explode(F.array(F.struct(F.col("a").alias("segment"), F.col("pa").alias("pos")), F.struct(F.col("b").alias("segment"), F.col("pb").alias("pos")))).alias("x")).select("x.segment", "x.pos")
+
+
+def choice_pairs(alignments: DataFrame, chosen: DataFrame, read: str, mate: str, order: str) -> DataFrame:
+    """Mates 1 and 2 as chosen by :func:`choose_mate`, in one row per read; ``by_site1`` and ``by_site2`` say how."""
+    picked = alignments.join(chosen.withColumnRenamed("chosen", order), [read, mate, order])
+    return pair_up(picked, read, mate)
+
+
+def named_links(links: DataFrame, names: DataFrame) -> DataFrame:
+    """Links (ctg1, ctg2, ...) of which both ends are in ``names`` (name)."""
+    known = names.select("name").distinct()
+    return links.join(known.select(F.col("name").alias("ctg1")), "ctg1", "left_semi").join(known.select(F.col("name").alias("ctg2")), "ctg2", "left_semi")
+
+
+def link_report(links: DataFrame, names: DataFrame) -> DataFrame:
+    """``links, kept, dropped``: how many links name an unknown contig."""
+    whole, kept = links.agg(F.count(F.lit(1)).alias("links")), named_links(links, names).agg(F.count(F.lit(1)))
+    return whole.select("links", kept.scalar().alias("kept")).withColumn("dropped", F.col("links") - F.col("kept"))
+
+
+def hap_sides(counts: DataFrame, *, tie: int = 0) -> DataFrame:
+    """``segment, side``: 1 where the first parent's markers are more, -1 where the second's are; ``tie`` if equal, 0 without any.
+
+    ``counts``: segment, n1, n2.
+    """
+    even = F.when(F.col("n1") + F.col("n2") == 0, 0).otherwise(tie)
+    return counts.select("segment", F.when(F.col("n1") > F.col("n2"), 1).when(F.col("n1") < F.col("n2"), -1).otherwise(even).alias("side"))
+
+
+def judged_contacts(contacts: DataFrame, members: DataFrame, sides: DataFrame) -> DataFrame:
+    """Contacts (t1, t2, ...) between pairs, with ``verdict``: ``correct``, ``incorrect`` or ``unknown``, and ``zero``.
+
+    ``members``: segment, grp, pair. Both segments are in pairs of one group, but not
+    of one pair. Sides (segment, side) that disagree are incorrect; ``zero`` if
+    neither side has a majority; unknown if a segment has no side.
+    """
+    at = lambda k: members.select(F.col("segment").alias(f"t{k}"), "grp", F.col("pair").alias(f"_p{k}"))
+    side = lambda k: sides.select(F.col("segment").alias(f"t{k}"), F.col("side").alias(f"_h{k}"))
+    x = contacts.join(at(1), "t1").join(at(2), ["t2", "grp"]).where("_p1 != _p2 and t1 != t2").join(side(1), "t1", "left").join(side(2), "t2", "left")
+    product = F.col("_h1") * F.col("_h2")
+    verdict = F.when(product.isNull(), "unknown").when(product >= 0, "correct").otherwise("incorrect")
+    return x.withColumn("verdict", verdict).withColumn("zero", F.coalesce((F.col("_h1") == 0) & (F.col("_h2") == 0), F.lit(False))).drop("_p1", "_p2", "_h1", "_h2")
+
+
+def contact_classes(mates: DataFrame, members: DataFrame, sides: DataFrame, *, mapq: int = 10, most_nm: int = 5) -> DataFrame:
+    """``total, correct, incorrect, unknown, zero, snp_correct, snp_incorrect`` of mates: tid1, tid2, mapq1, mapq2, nm1, nm2.
+
+    ``total`` counts all mates, also those not between pairs of one group. Contacts
+    with a segment of no side count as correct, too. The ``snp`` ones are those that
+    only a site could have kept: of low quality or of many mismatches on an end.
+    """
+    weak = (F.col("mapq1") < mapq) | (F.col("mapq2") < mapq) | (F.col("nm1") >= most_nm) | (F.col("nm2") >= most_nm)
+    x = judged_contacts(mates.withColumnsRenamed({"tid1": "t1", "tid2": "t2"}).withColumn("weak", F.coalesce(weak, F.lit(False))), members, sides)
+    v = F.col("verdict")
+    out = x.agg(
+        F.count_if(v != "incorrect").alias("correct"), F.count_if(v == "incorrect").alias("incorrect"), F.count_if(v == "unknown").alias("unknown"), F.count_if("zero").alias("zero"),
+        F.count_if((v == "correct") & F.col("weak")).alias("snp_correct"), F.count_if((v == "incorrect") & F.col("weak")).alias("snp_incorrect"),
+    )
+    return out.select(mates.agg(F.count(F.lit(1))).scalar().alias("total"), "*")
+
+
+def judged_links(links: DataFrame, members: DataFrame, sides: DataFrame, *, least: int = 100) -> DataFrame:
+    """Links of at least ``least`` bases on both ends between different pairs, with their ``verdict``; all pairs are one group."""
+    x = links.where((F.col("len1") >= least) & (F.col("len2") >= least)).withColumnsRenamed({"ctg1": "t1", "ctg2": "t2"})
+    return judged_contacts(x, members.withColumn("grp", F.lit(0)), sides).drop("grp")

@@ -69,3 +69,16 @@ def site_consistency(df: DataFrame, read: str, pos: str, allele: str) -> DataFra
 def breakpoints(consistency: DataFrame, least: int = 10, share: float = 0.75) -> DataFrame:
     """Sites with ``least`` reads or more of which at least ``share`` (rounded up) are inconsistent."""
     return consistency.where((F.col("n") >= least) & (F.col("inconsistent") >= F.ceil(F.col("n") * share)))
+
+
+def phase_eval(phasing: DataFrame, counts: DataFrame, *, extra: int = 0) -> DataFrame:
+    """``hap, correct, incorrect, error``: each haplotype's groups follow the majority of their segments, the minority are errors.
+
+    ``phasing``: grp, hap0, hap1; ``counts``: segment, n1, n2 (markers of either
+    parent). Segments and groups of equal counts, and segments without any, don't
+    count. ``error`` is in per cent of the sum and ``extra``; null if that is 0.
+    """
+    each = phasing.select("grp", F.explode(F.array(*[F.struct(F.lit(h).alias("hap"), F.col(f"hap{h}").alias("segment")) for h in (0, 1)])).alias("x")).select("grp", "x.hap", "x.segment")
+    per = each.join(counts, "segment").groupBy("hap", "grp").agg(F.count_if(F.col("n1") > F.col("n2")).alias("p"), F.count_if(F.col("n1") < F.col("n2")).alias("m"))
+    sums = per.where("p != m").groupBy("hap").agg(F.sum(F.greatest("p", "m")).alias("correct"), F.sum(F.least("p", "m")).alias("incorrect"))
+    return sums.withColumn("error", 100 * F.col("incorrect") / F.nullif(F.col("correct") + F.col("incorrect") + extra, F.lit(0)))

@@ -71,21 +71,25 @@ def cigar_sites(paf: DataFrame) -> DataFrame:
     return changed.select(F.inline(places)).where("contig is not null and pos >= 0").distinct()
 
 
-def called_sites(mismatches: DataFrame, primary: DataFrame, alternate: DataFrame) -> DataFrame:
+def called_sites(mismatches: DataFrame, primary: DataFrame, alternate: DataFrame, *, complement: bool = False) -> DataFrame:
     """Sites where an alignment's mismatch is called on both sides with the same alleles.
 
-    ``mismatches``: tname, tpos, qname, qpos; the others: chrom, pos, allele.
+    ``mismatches``: tname, tpos, qname, qpos; the others: chrom, pos, allele. With
+    ``complement`` also ``strand``: on ``-`` the alternate's bases are complemented
+    before they are compared, which files of both strands need.
     """
     p = primary.select(F.col("chrom").alias("tname"), F.col("pos").alias("tpos"), "allele")
-    a = alternate.select(F.col("chrom").alias("qname"), F.col("pos").alias("qpos"), "allele")
-    return mismatches.join(p, ["tname", "tpos"]).join(a, ["qname", "qpos", "allele"]).select("tname", "tpos", "qname", "qpos", "allele").distinct()
+    a = alternate.select(F.col("chrom").alias("qname"), F.col("pos").alias("qpos"), F.col("allele").alias("_other"))
+    other = F.when(F.col("strand") == "-", F.translate("_other", "ACGTacgt", "TGCAtgca")).otherwise(F.col("_other")) if complement else F.col("_other")
+    x = mismatches.join(p, ["tname", "tpos"]).join(a, ["qname", "qpos"]).where(F.col("allele") == other)
+    return x.select("tname", "tpos", "qname", "qpos", "allele").distinct()
 
 
-def mismatch_positions(paf: DataFrame) -> DataFrame:
-    """``tname, tpos, qname, qpos`` of every base in an ``X`` run."""
+def mismatch_positions(paf: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``tname, tpos, qname, qpos`` of every base in an ``X`` run, and the columns to ``keep``."""
     runs = cg.walk(paf.select("qname", "qstart", "qend", "strand", "tname", "tstart", "cigar").where("cigar is not null")).where("op = 'X'")
     offset = F.col("qpos") - F.col("qstart") + F.col("k")
     return runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)).alias("k")).select(
         "tname", (F.col("tpos") + F.col("k")).alias("tpos"), "qname",
-        F.when(F.col("strand") == "-", F.col("qend") - 1 - offset).otherwise(F.col("qstart") + offset).alias("qpos"),
+        F.when(F.col("strand") == "-", F.col("qend") - 1 - offset).otherwise(F.col("qstart") + offset).alias("qpos"), *(keep or []),
     )

@@ -9,6 +9,7 @@ from strandloom.functions import cigar as cg
 from strandloom.operators import assembly, coverage, intervals, kernels, metrics, runs, sites
 from strandloom.plans import views as v
 from strandloom.records import table
+from strandloom.session import written
 
 
 def cigar_walk(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +36,24 @@ def called_sites(spark: SparkSession, d: str) -> DataFrame:
     return sites.called_sites(mismatches, primary, alternate)
 
 
+def called_sites_stranded(spark: SparkSession, d: str) -> DataFrame:
+    """Bases of mismatches on both sides of alignments, the query's complemented on the reverse strand."""
+    x = written(sites.mismatch_positions(v.hits(spark, d), keep=["strand"]))
+    base = lambda c: F.element_at(F.array(*[F.lit(b) for b in "ACGT"]), (F.pmod(c, F.lit(4)) + 1).cast("int"))
+    primary = x.select(F.col("tname").alias("chrom"), F.col("tpos").alias("pos"), base(F.col("tpos")).alias("allele")).distinct()
+    alternate = x.select(F.col("qname").alias("chrom"), F.col("qpos").alias("pos"), base(F.col("qpos")).alias("allele")).distinct()
+    return sites.called_sites(x, primary, alternate, complement=True)
+
+
+def cs_tags(spark: SparkSession, d: str) -> DataFrame:
+    """CIGARs written as ``cs`` tags and read back: bases on both sides."""
+    text = """array_join(transform(regexp_extract_all(cigar, '([0-9]+[=XID])', 1), r -> case right(r, 1)
+        when '=' then concat(':', left(r, length(r) - 1)) when 'X' then repeat('*ac', cast(left(r, length(r) - 1) as int))
+        when 'I' then concat('+', repeat('g', cast(left(r, length(r) - 1) as int))) else concat('-', repeat('t', cast(left(r, length(r) - 1) as int))) end), '')"""
+    back = v.hits(spark, d).where("cigar is not null").select("paf_id", cg.of_cs(F.expr(text)).alias("c"))
+    return back.select("paf_id", cg.span("c").alias("on_target"), cg.span("c", cg.ON_QUERY).alias("on_query"), F.size(cg.runs("c")).alias("n_runs"))
+
+
 def first_site_asof(spark: SparkSession, d: str) -> DataFrame:
     found = sites.first_site(v.hits(spark, d), v.positions(spark, d).where("is_var = 1"), key=["paf_id"], contig="tname", start="tstart", end="tend", site_contig="ctg")
     return found.select("paf_id", "first_site", sites.spans_site("tstart").alias("spans"))
@@ -99,7 +118,7 @@ def chain_placements(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    cigar_walk, cigar_spans, cigar_sites, mismatch_positions, called_sites, first_site_asof, exact_runs, run_histogram, run_percentile, block_identity, target_coverage,
+    cigar_walk, cigar_spans, cigar_sites, mismatch_positions, called_sites, called_sites_stranded, cs_tags, first_site_asof, exact_runs, run_histogram, run_percentile, block_identity, target_coverage,
     depth_histogram, interval_complement, containment_anti, running_max_filter, overlap_counts, dominant_query, top_target, chain_dp, chain_placements,
 )}
 
@@ -115,6 +134,12 @@ CHAIN = f"""{v.HITS}, hl AS (SELECT qname, list({{'id': paf_id, 'qs': qstart, 'q
     ch AS (SELECT qname, CAST(max(back) OVER (PARTITION BY qname) - back AS INTEGER) AS chain_no, h[loc] AS x FROM bt JOIN dn USING (qname))"""
 DEPTH = f"""{v.HITS}, ev AS (SELECT tname AS contig, tstart AS pos, 1 AS delta FROM hits UNION ALL SELECT tname, tend, -1 FROM hits)"""
 SQL = {
+    "called_sites_stranded": f"""WITH {v.RUNS}, ch AS (SELECT *, unnest(generate_series(0, len - 1)) AS k FROM runs WHERE op = 'X' AND len > 0),
+        m AS (SELECT DISTINCT tname, tpos + k AS tpos, qname, strand, CASE WHEN strand = '-' THEN qend - 1 - (qpos - qstart) - k ELSE qpos + k END AS qpos FROM ch)
+        SELECT DISTINCT tname, CAST(tpos AS BIGINT) AS tpos, qname, CAST(qpos AS BIGINT) AS qpos, substring('ACGT', CAST(tpos % 4 + 1 AS BIGINT), 1) AS allele FROM m
+        WHERE substring('ACGT', CAST(tpos % 4 + 1 AS BIGINT), 1) = CASE WHEN strand = '-' THEN substring('TGCA', CAST(((qpos % 4) + 4) % 4 + 1 AS BIGINT), 1) ELSE substring('ACGT', CAST(((qpos % 4) + 4) % 4 + 1 AS BIGINT), 1) END""",
+    "cs_tags": f"""WITH {v.RUNS} SELECT paf_id, CAST(coalesce(sum(len) FILTER (WHERE op IN ('=', 'X', 'D')), 0) AS BIGINT) AS on_target, CAST(coalesce(sum(len) FILTER (WHERE op IN ('=', 'X', 'I')), 0) AS BIGINT) AS on_query,
+        CAST(count(*) FILTER (WHERE op IN ('=', 'X', 'I', 'D')) AS INTEGER) AS n_runs FROM runs GROUP BY paf_id""",
     "chain_dp": f"WITH RECURSIVE {CHAIN} SELECT qname, chain_no, x.id AS paf_id FROM ch",
     "chain_placements": f"""WITH RECURSIVE {CHAIN}, en AS (SELECT qname, arg_min(x, chain_no) AS f, arg_max(x, chain_no) AS l FROM ch GROUP BY qname)
         SELECT qname, f.qs AS qstart, l.qe AS qend, f.t AS tname, CASE WHEN f.st = '-' THEN l.ts ELSE f.ts END AS tstart, CASE WHEN f.st = '-' THEN f.te ELSE l.te END AS tend, f.st AS strand FROM en""",

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.operators import contacts as ct
-from strandloom.operators import kernels, sites
+from strandloom.operators import coverage as cv
+from strandloom.operators import kernels, metrics, sites
 from strandloom.plans import views as v
 from strandloom.records import table
 from strandloom.session import written
@@ -142,9 +143,77 @@ def reachable_whole(spark: SparkSession, d: str) -> DataFrame:
     return reachable(spark, d)
 
 
+def _chosen(spark: SparkSession, d: str) -> DataFrame:
+    x = _sited(spark, d).withColumn("mate", F.col("seg") % 2 + 1).withColumn("good", (F.col("mapq") > 10) & (F.col("nm") < 5))
+    return ct.choice_pairs(x.select("read", "mate", "seg", "tid", "pos", F.col("endpos").alias("end")), ct.choose_mate(x, "read", "mate", "seg"), "read", "mate", "seg")
+
+
+def choice_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage by pairs within a segment whose first mate was chosen by its quality."""
+    pairs = _chosen(spark, d).where("not by_site1 and tid1 = tid2")
+    return cv.coverage_runs(cv.pair_deltas(pairs, "tid1")).select("contig", F.col("start").alias("run_start"), F.col("end").alias("run_end"), "cov")
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as links between nations."""
+    n = F.col("l_quantity").cast("long")
+    return table(spark, d, "lineitem").select(
+        (F.col("l_suppkey") % 25).alias("ctg1"), F.col("l_orderkey").alias("pos1"), n.alias("len1"), (F.col("l_partkey") % 25).alias("ctg2"), (F.col("l_orderkey") + F.col("l_partkey") % 7 - 3).alias("pos2"), (n + 5).alias("len2")
+    )
+
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").where("n_regionkey != 0").select(F.col("n_nationkey").cast("long").alias("name"))
+
+
+def link_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage of each contig by the links that have both ends on it."""
+    x = ct.named_links(_links(spark, d), _known(spark, d)).where("ctg1 = ctg2")
+    pairs = x.select("ctg1", "pos1", (F.col("pos1") + F.col("len1")).alias("end1"), "pos2", (F.col("pos2") + F.col("len2")).alias("end2"))
+    return cv.coverage_runs(cv.pair_deltas(pairs, "ctg1")).select("contig", F.col("start").alias("run_start"), F.col("end").alias("run_end"), "cov")
+
+
+def link_report(spark: SparkSession, d: str) -> DataFrame:
+    return ct.link_report(_links(spark, d), _known(spark, d))
+
+
+def porec_scaffold_contacts(spark: SparkSession, d: str) -> DataFrame:
+    """Contacts of reads of many segments, counted between scaffolds (nations)."""
+    mapping = table(spark, d, "supplier").select(F.col("s_suppkey").alias("tid"), F.col("s_nationkey").alias("scaffold"))
+    return ct.multi_contacts(v.alignments(spark, d).join(mapping, "tid"), "read", "scaffold")
+
+
+def _markers(spark: SparkSession, d: str) -> DataFrame:
+    """Returned and accepted order lines as the markers of either parent."""
+    x = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("segment"))
+    return x.agg(F.count_if(F.col("l_returnflag") == "A").alias("n1"), F.count_if(F.col("l_returnflag") == "R").alias("n2"))
+
+
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    return v.segment_pairs(spark, d).select(F.explode(F.array("a", "b")).alias("segment"), "grp", F.col("idx").alias("pair"))
+
+
+def phase_eval(spark: SparkSession, d: str) -> DataFrame:
+    p = v.segment_pairs(spark, d).select("grp", F.col("a").alias("hap0"), F.col("b").alias("hap1"))
+    return metrics.phase_eval(p, _markers(spark, d)).withColumn("error", F.round("error", 6))
+
+
+def contact_classes(spark: SparkSession, d: str) -> DataFrame:
+    mates = ct.pair_up(v.alignments(spark, d).select("read", "seg", "tid", "mapq", "nm"), "read", "seg")
+    return ct.contact_classes(mates, _members(spark, d), ct.hap_sides(_markers(spark, d), tie=-1))
+
+
+def link_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Links of lines of at least ten pieces, by the verdict on them."""
+    x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("ctg1"), F.col("l_quantity").alias("len1"), (F.col("l_partkey") % 100).alias("ctg2"), F.col("l_quantity").alias("len2"))
+    members = v.segment_pairs(spark, d).select(F.explode(F.array("a", "b")).alias("segment"), F.col("a").alias("pair"))
+    return ct.judged_links(x, members, ct.hap_sides(_markers(spark, d)), least=10).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
     pair_selfjoin, contact_matrix, classified_pairs, contacts_filtered_quality, contacts_by_choice, porec_contacts, multiway_pairs, link_contacts, scaffold_contacts, total_contacts,
     block_votes, pair_score, objective, low_count_mask, block_normalise, link_eval, both_side_semi, switch_votes, local_search_labels, regroup_labels, haplotypes, reachable, reachable_whole,
+    choice_coverage, link_coverage, link_report, porec_scaffold_contacts, phase_eval, contact_classes, link_classes,
 )}
 
 CLASS = f"""{v.SITED}, cls AS (SELECT read, seg, tid, CASE WHEN coalesce(first_site > pos, false) THEN 2 WHEN mapq > 10 AND nm < 5 THEN 1 ELSE 0 END AS c FROM sited),
@@ -163,7 +232,18 @@ WAYS = "SELECT t1, t2, count(*) AS n FROM (SELECT x.tid AS t1, y.tid AS t2 FROM
 REACH = f"""WITH RECURSIVE {v.MATRIX}, e AS (SELECT t1 AS src, t2 AS dst FROM mat WHERE n >= 3 AND t1 <> t2),
     w AS (SELECT DISTINCT src, src AS dst, 0 AS steps FROM e UNION SELECT w.src, e.dst, w.steps + 1 FROM w JOIN e ON e.src = w.dst WHERE w.steps < 30)
     SELECT src, dst, min(steps) AS steps FROM w GROUP BY src, dst HAVING min(steps) > 0"""
+LINKS = """lk AS (SELECT l_suppkey % 25 AS ctg1, l_orderkey AS pos1, CAST(l_quantity AS BIGINT) AS len1, l_partkey % 25 AS ctg2, l_orderkey + l_partkey % 7 - 3 AS pos2, CAST(l_quantity AS BIGINT) + 5 AS len2 FROM lineitem),
+    kn AS (SELECT n_nationkey AS name FROM nation WHERE n_regionkey <> 0)"""
+COVERED = """ev AS (SELECT contig, lo AS pos, 1 AS delta FROM m UNION ALL SELECT contig, hi, -1 FROM m), nz AS (SELECT contig, pos, sum(delta) AS delta FROM ev GROUP BY contig, pos HAVING sum(delta) <> 0)
+    SELECT contig, run_start, run_end, CAST(cov AS BIGINT) AS cov FROM (SELECT contig, pos AS run_start, lead(pos) OVER w AS run_end, sum(delta) OVER w AS cov FROM nz WINDOW w AS (PARTITION BY contig ORDER BY pos)) WHERE run_end IS NOT NULL"""
+MARKERS = "mk AS (SELECT l_suppkey AS segment, count(*) FILTER (WHERE l_returnflag = 'A') AS n1, count(*) FILTER (WHERE l_returnflag = 'R') AS n2 FROM lineitem GROUP BY l_suppkey)"
 MORE = """SELECT l_orderkey AS read, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seg, l_tax < 0.04 AS prim, CAST(floor(l_extendedprice / 100) AS BIGINT) AS score FROM lineitem"""
+CHOICE = f"""{v.SITED}, more AS ({MORE}), x AS (SELECT read, seg, tid, pos, endpos, seg % 2 + 1 AS mate, coalesce(first_site > pos, false) AS site, (mapq > 10 AND nm < 5) AS good, prim, score FROM sited JOIN more USING (read, seg)),
+    f AS (SELECT *, min(CASE WHEN prim AND (site OR good) THEN seg END) OVER (PARTITION BY read, mate) AS final FROM x),
+    t AS (SELECT read, mate, final, list({{'o': seg, 'site': site, 'good': good, 'score': score}} ORDER BY seg) AS rows FROM f WHERE final IS NULL GROUP BY ALL),
+    c AS (SELECT DISTINCT read, mate, final AS seg FROM f WHERE final IS NOT NULL UNION ALL
+        SELECT read, mate, coalesce(list_filter(rows, lambda r: r.site AND r.score = list_max(list_transform(list_filter(rows, lambda q: q.site), lambda q: q.score)))[1].o, list_filter(rows, lambda r: r.good)[1].o) FROM t),
+    p AS (SELECT x.* FROM c JOIN x ON x.read = c.read AND x.mate = c.mate AND x.seg = c.seg)"""
 SQL = {
     "pair_selfjoin": f"WITH {v.ALN} SELECT a.read, a.tid AS tid1, b.tid AS tid2, b.pos - a.pos AS apart FROM aln a JOIN aln b ON a.read = b.read AND a.seg = 1 AND b.seg = 2",
     "contact_matrix": f"WITH {v.MATRIX} SELECT * FROM mat",
@@ -195,12 +275,22 @@ SQL = {
         sm AS (SELECT grp, i AS idx, coalesce(sum(m) FILTER (WHERE head), 0) AS hs, coalesce(sum(m) FILTER (WHERE NOT head), 0) AS ts FROM vt GROUP BY grp, i)
         SELECT grp, idx, CASE WHEN hs > 0 THEN 'F' ELSE 'S' END AS kind FROM sm WHERE (hs > 0 AND ts < 0) OR (hs < 0 AND ts > 0)""",
     "reachable": REACH, "reachable_whole": REACH,
-    "contacts_by_choice": f"""WITH {v.SITED}, x AS (SELECT read, seg, tid, seg % 2 + 1 AS mate, coalesce(first_site > pos, false) AS site, (mapq > 10 AND nm < 5) AS good, prim, score FROM sited JOIN more USING (read, seg)),
-        f AS (SELECT *, min(CASE WHEN prim AND (site OR good) THEN seg END) OVER (PARTITION BY read, mate) AS final FROM x),
-        t AS (SELECT read, mate, final, list({{'o': seg, 'site': site, 'good': good, 'score': score}} ORDER BY seg) AS rows FROM f WHERE final IS NULL GROUP BY ALL),
-        c AS (SELECT DISTINCT read, mate, final AS seg FROM f WHERE final IS NOT NULL UNION ALL
-            SELECT read, mate, coalesce(list_filter(rows, lambda r: r.site AND r.score = list_max(list_transform(list_filter(rows, lambda q: q.site), lambda q: q.score)))[1].o, list_filter(rows, lambda r: r.good)[1].o) FROM t),
-        p AS (SELECT c.read, c.mate, x.tid FROM c JOIN x ON x.read = c.read AND x.mate = c.mate AND x.seg = c.seg),
-        m AS (SELECT a.tid AS s1, b.tid AS s2 FROM p a JOIN p b ON a.read = b.read AND a.mate = 1 AND b.mate = 2)
-        SELECT t1, t2, count(*) AS n FROM (SELECT s1 AS t1, s2 AS t2 FROM m UNION ALL SELECT s2, s1 FROM m) GROUP BY t1, t2""".replace("x AS (SELECT read, seg, tid,", f"more AS ({MORE}), x AS (SELECT read, seg, tid,"),
+    "contacts_by_choice": f"WITH {CHOICE}, m AS (SELECT a.tid AS s1, b.tid AS s2 FROM p a JOIN p b ON a.read = b.read AND a.mate = 1 AND b.mate = 2) SELECT t1, t2, count(*) AS n FROM (SELECT s1 AS t1, s2 AS t2 FROM m UNION ALL SELECT s2, s1 FROM m) GROUP BY t1, t2",
+    "choice_coverage": f"""WITH {CHOICE}, m AS (SELECT a.tid AS contig, CASE WHEN a.pos < b.pos THEN a.pos ELSE b.pos END AS lo, CASE WHEN a.pos < b.pos THEN b.endpos ELSE a.endpos END AS hi FROM p a JOIN p b ON a.read = b.read AND a.mate = 1 AND b.mate = 2 WHERE a.tid = b.tid AND NOT a.site),
+        {COVERED}""",
+    "link_coverage": f"""WITH {LINKS}, m AS (SELECT ctg1 AS contig, CASE WHEN pos1 < pos2 THEN pos1 ELSE pos2 END AS lo, CASE WHEN pos1 < pos2 THEN pos2 + len2 ELSE pos1 + len1 END AS hi FROM lk WHERE ctg1 = ctg2 AND ctg1 IN (SELECT name FROM kn)), {COVERED}""",
+    "link_report": f"WITH {LINKS}, c AS (SELECT count(*) AS links, count(*) FILTER (WHERE ctg1 IN (SELECT name FROM kn) AND ctg2 IN (SELECT name FROM kn)) AS kept FROM lk) SELECT links, kept, links - kept AS dropped FROM c",
+    "porec_scaffold_contacts": f"WITH {v.ALN}, k AS (SELECT read, seg, s_nationkey AS tid FROM aln JOIN supplier ON s_suppkey = tid) {WAYS}",
+    "phase_eval": f"""WITH {MARKERS}, {v.PAIRS}, e AS (SELECT grp, 0 AS hap, a AS segment FROM prs UNION ALL SELECT grp, 1, b FROM prs),
+        g AS (SELECT hap, grp, count(*) FILTER (WHERE n1 > n2) AS p, count(*) FILTER (WHERE n1 < n2) AS m FROM e JOIN mk USING (segment) GROUP BY hap, grp)
+        SELECT hap, CAST(sum(greatest(p, m)) AS BIGINT) AS correct, CAST(sum(least(p, m)) AS BIGINT) AS incorrect, round(100.0 * sum(least(p, m)) / sum(p + m), 6) AS error FROM g WHERE p <> m GROUP BY hap""",
+    "contact_classes": f"""WITH {v.ALN}, {MARKERS}, {v.PAIRS}, mb AS (SELECT grp, idx, a AS s FROM prs UNION ALL SELECT grp, idx, b FROM prs), sd AS (SELECT segment, CASE WHEN n1 + n2 = 0 THEN 0 WHEN n1 > n2 THEN 1 ELSE -1 END AS h FROM mk),
+        m AS (SELECT x.tid AS t1, y.tid AS t2, x.mapq < 10 OR y.mapq < 10 OR x.nm >= 5 OR y.nm >= 5 AS weak FROM aln x JOIN aln y ON x.read = y.read AND x.seg = 1 AND y.seg = 2),
+        j AS (SELECT weak, p.h AS h1, q.h AS h2 FROM m JOIN mb a ON a.s = t1 JOIN mb b ON b.s = t2 AND b.grp = a.grp AND b.idx <> a.idx LEFT JOIN sd p ON p.segment = t1 LEFT JOIN sd q ON q.segment = t2)
+        SELECT (SELECT count(*) FROM m) AS total, count(*) FILTER (WHERE coalesce(h1 * h2 >= 0, true)) AS correct, count(*) FILTER (WHERE h1 * h2 < 0) AS incorrect, count(*) FILTER (WHERE h1 * h2 IS NULL) AS unknown,
+        count(*) FILTER (WHERE h1 = 0 AND h2 = 0) AS zero, count(*) FILTER (WHERE h1 * h2 >= 0 AND weak) AS snp_correct, count(*) FILTER (WHERE h1 * h2 < 0 AND weak) AS snp_incorrect FROM j""",
+    "link_classes": f"""WITH {MARKERS}, {v.PAIRS}, mb AS (SELECT a AS pair, a AS s FROM prs UNION ALL SELECT a, b FROM prs), sd AS (SELECT segment, sign(n1 - n2) AS h FROM mk),
+        l AS (SELECT l_suppkey AS t1, l_partkey % 100 AS t2 FROM lineitem WHERE l_quantity >= 10)
+        SELECT CASE WHEN p.h * q.h IS NULL THEN 'unknown' WHEN p.h * q.h >= 0 THEN 'correct' ELSE 'incorrect' END AS verdict, count(*) AS n
+        FROM l JOIN mb a ON a.s = t1 JOIN mb b ON b.s = t2 AND b.pair <> a.pair LEFT JOIN sd p ON p.segment = t1 LEFT JOIN sd q ON q.segment = t2 GROUP BY 1""",
 }
