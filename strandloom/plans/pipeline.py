@@ -20,6 +20,8 @@ class Phased:
     haplotypes: DataFrame
     switches: DataFrame
     scores: DataFrame
+    #: The read pairs that passed the filters.
+    mates: DataFrame
 
 
 def phase(alignments: DataFrame, variants: DataFrame, pairs: DataFrame, lengths: DataFrame, *, mapq: int = 10, rounds: int = kernels.ROUNDS, seed: int = 10_000) -> Phased:
@@ -41,7 +43,7 @@ def phase(alignments: DataFrame, variants: DataFrame, pairs: DataFrame, lengths:
     members = pairs.select("grp", "idx", F.explode(F.array("a", "b")).alias("segment"))
     switches = kinds.join(members, ["grp", "idx"]).join(points, "segment").select("segment", "pos", "kind")
     scores = ct.pair_scores(ct.block_sums(matrix, pairs), labels.select("grp", "idx", "label"))
-    return Phased(matrix, labels, kernels.haplotypes(labels), switches, scores)
+    return Phased(matrix, labels, kernels.haplotypes(labels), switches, scores, mates)
 
 
 def regroup(contacts: DataFrame, segment_to_scaffold: DataFrame, scaffold_pairs: DataFrame, *, least: int = 5, rounds: int = kernels.ROUNDS, seed: int = 1000) -> DataFrame:

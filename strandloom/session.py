@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError(f"name a folder that all executors share in {SETTING}")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
@@ -48,13 +48,19 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     partition numbers do not survive. The table goes away when Python ends, or with :func:`release`.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = scratch(spark)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
+    return spark.read.schema(_read_schema(df, partition_by)).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, which goes away as :func:`written` tables do."""
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     if not _paths:
         atexit.register(release, spark)
     _paths.append(path)
-    return spark.read.schema(_read_schema(df, partition_by)).parquet(path)
+    return path
 
 
 def _read_schema(df: DataFrame, partition_by: tuple[str, ...]):

@@ -202,17 +202,24 @@ def matrix_text(spark: SparkSession, path: str) -> DataFrame:
 def matrix_binary(spark: SparkSession, path: str) -> DataFrame:
     """``i, j, n``, without zeros, of binary matrices: eight bytes, two u32 of rows and columns, rows of f64, eight bytes.
 
-    A file is one value, as the format has no splits; other files run in parallel.
+    A folder of the writer's parts is read part by part; another file is one value,
+    as the format has no splits, and several files run in parallel.
     """
     import numpy as np
     import pyarrow as pa
 
     def parse(batches):
         for batch in batches:
-            for body in batch.column("content").to_pylist():
-                rows, cols = np.frombuffer(body, "<u4", 2, 8).tolist()
-                m = np.frombuffer(body, "<f8", rows * cols, 16).reshape(rows, cols)
+            for name, body in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                first = 0
+                if name.startswith("part-"):  # a row of the writer's, as the name says: part-<row>-of-<rows>
+                    first, n = (int(x) for x in name[5:].split("-of-"))
+                    m = np.frombuffer(body, "<f8", n, 0 if first else 16).reshape(1, n)
+                else:
+                    rows, cols = np.frombuffer(body, "<u4", 2, 8).tolist()
+                    m = np.frombuffer(body, "<f8", rows * cols, 16).reshape(rows, cols)
                 i, j = np.nonzero(m)
-                yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "n": pa.array(m[i, j].astype("int64"))})
+                yield pa.RecordBatch.from_pydict({"i": pa.array(i + first, pa.int64()), "j": pa.array(j, pa.int64()), "n": pa.array(m[i, j].astype("int64"))})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "i long, j long, n long")
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    return files.mapInArrow(parse, "i long, j long, n long")

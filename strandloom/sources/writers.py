@@ -45,3 +45,63 @@ def paf(df: DataFrame, path: str) -> None:
     text = [F.coalesce(F.col(c).cast("string"), F.lit("*" if c.endswith("name") else "0")) for c in columns]
     tag = F.when(F.col("cigar").isNotNull(), F.concat(F.lit("\tcg:Z:"), "cigar")).otherwise(F.lit(""))
     df.select(F.concat(F.concat_ws("\t", *text), tag).alias("value")).write.text(path)
+
+
+def sam(df: DataFrame, path: str, references: DataFrame | None = None) -> None:
+    """SAM lines without bases of qname, flag, rname, pos (from 0), mapq, cigar and nm; ``references`` (name, length) make the header, in the first part."""
+    star = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("*"))
+    pos = F.coalesce(F.col("pos") + 1, F.lit(0)).cast("string")
+    fields = [star("qname"), F.col("flag").cast("string"), star("rname"), pos, F.coalesce(F.col("mapq"), F.lit(255)).cast("string"), star("cigar")]
+    tag = F.when(F.col("nm").isNotNull(), F.concat(F.lit("\tNM:i:"), "nm")).otherwise(F.lit(""))
+    body = df.select(F.concat(F.concat_ws("\t", *fields, *[F.lit(x) for x in ("*", "0", "0", "*", "*")]), tag).alias("value"))
+    if references is not None:
+        head = references.select(F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), "length").alias("value")).coalesce(1)
+        body = head.union(body)
+    body.write.text(path)
+
+
+def matrix_text(cells: DataFrame, names: DataFrame, path: str) -> None:
+    """A line of names, then a line of counts for each. ``cells``: t1, t2, n, without zeros; ``names``: name, i (0, 1, ...).
+
+    The format is dense, so a line has as many counts as there are names; lines are
+    put together where they are written.
+    """
+    head = names.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))), lambda x: x["name"]), " ").alias("value")).select(F.lit(-1).cast("long").alias("i"), "value")
+    rows = _rows(cells, names).select("i", F.array_join(F.transform("dense", lambda x: x.cast("string")), " ").alias("value"))
+    head.unionByName(rows).orderBy("i").select("value").write.text(path)
+
+
+def _rows(cells: DataFrame, names: DataFrame) -> DataFrame:
+    """``i, dense``: each name's counts in the order of names."""
+    at = lambda k, c: names.select(F.col("name").alias(f"t{k}"), F.col("i").cast("long").alias(c))
+    per = cells.join(at(1, "i"), "t1").join(at(2, "j"), "t2").groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "n"))).alias("m"))
+    size = names.agg(F.count(F.lit(1))).scalar()
+    every = names.select(F.col("i").cast("long").alias("i"), size.alias("size")).join(per, "i", "left")
+    value = lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0)).cast("long")
+    return every.select("i", F.transform(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), value).alias("dense"))
+
+
+def matrix_binary(cells: DataFrame, names: DataFrame, path: str, *, magic: bytes = b"\0" * 8) -> None:
+    """The binary matrix: ``magic``, two u32 of rows and columns, rows of f64, ``magic``; as parts that make the file in the order of their names.
+
+    Each task writes the rows it holds, so no matrix is in one place; ``path`` is a
+    folder that all executors share.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        for batch in batches:
+            for i, row in zip(batch.column("i").to_pylist(), batch.column("dense").to_pylist(), strict=True):
+                body, n = np.array(row, "<f8").tobytes(), len(row)
+                body = (magic + np.array([n, n], "<u4").tobytes() if i == 0 else b"") + body + (magic if i == n - 1 else b"")
+                system.create_dir(root, recursive=True)
+                with system.open_output_stream(f"{root}/part-{i:010d}-of-{n:010d}") as out:
+                    out.write(body)
+            yield pa.RecordBatch.from_pydict({"i": batch.column("i")})
+
+    _rows(cells, names).mapInArrow(put, "i long").write.format("noop").mode("overwrite").save()
