@@ -31,6 +31,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return split_units(table(spark, d, "units")).select("head", "cut_kind").distinct()
 
 
+def p4_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Each record put together again from its pieces, without what they repeat; and whether all pieces fit."""
+    pieces = split_units(table(spark, d, "units"))
+    per = pieces.groupBy("unit_id").agg(F.max("head").alias("head"), F.array_sort(F.collect_list(F.struct("piece", "text"))).alias("p"), F.max(F.length("text")).alias("most"))
+    whole = F.array_join(F.transform("p", lambda x, i: F.when(i == 0, x["text"]).otherwise(F.substring(x["text"], 201, 1 << 30))), "")
+    return per.select("unit_id", "head", F.md5(whole).alias("digest"), (F.col("most") <= 4000).alias("fits"))
+
+
 def _coverage(spark: SparkSession, d: str) -> DataFrame:
     return day_states(variant_records(table(spark, d, "variants")).where("cov >= 0"), "ctg", "cov", F.to_date("called_at"))
 
@@ -49,7 +57,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy(F.col("group").alias("ctg")).agg(at(0.5).alias("p50"), at(0.95).alias("p95")).where("p95 >= 2 * p50").select("ctg")
 
 
-QUERIES = {"p2_found": p2_found, "p2_top": p2_top, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_percentiles": p5_percentiles}
+QUERIES = {"p2_found": p2_found, "p2_top": p2_top, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_rebuilt": p4_rebuilt, "p5_found": p5_found, "p5_percentiles": p5_percentiles}
 
 NAME = "nullif(regexp_extract({0}, '^\\s*>?(\\S*)', 1), '')"
 MATCH = "coalesce(nmatch, list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)=', 1), lambda x: CAST(x AS BIGINT))), CASE WHEN cigar IS NOT NULL THEN 0 END)"
@@ -64,6 +72,8 @@ SQL = {
     "p4_found": f"""WITH records AS (SELECT unit_id, max({NAME.format("head")}) AS head, max(regexp_replace(seq, '\\s+', '', 'g')) AS seq FROM units WHERE unit_id IS NOT NULL GROUP BY unit_id)
         SELECT DISTINCT head, CASE WHEN list_max(list_transform(regexp_split_to_array(seq, '[Nn]{{10,}}'), lambda x: length(x))) > 4000 THEN 'hard' ELSE 'gap' END AS cut_kind
         FROM records WHERE length(seq) > 4000""",
+    "p4_rebuilt": f"""SELECT unit_id, max({NAME.format("head")}) AS head, md5(max(regexp_replace(seq, '\\s+', '', 'g'))) AS digest, true AS fits FROM units
+        WHERE unit_id IS NOT NULL AND length(regexp_replace(seq, '\\s+', '', 'g')) > 4000 GROUP BY unit_id""",
     "p5_found": f"{COV} SELECT ctg FROM ranked GROUP BY ctg HAVING min(cov) FILTER (WHERE 100 * r >= 95 * n) >= 2 * min(cov) FILTER (WHERE 2 * r >= n)",
     "p5_percentiles": f"{COV} SELECT ctg, max(n) AS n_positions, "
     + ", ".join(f"min(cov) FILTER (WHERE 100 * r >= {p} * n) AS p{p:02d}" for p in (5, 25, 50, 75, 95))

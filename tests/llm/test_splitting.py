@@ -86,3 +86,24 @@ def test_kind_comes_from_the_pieces(spark, monkeypatch):
     assert kinds() == {1: "hard", 2: "gap"}
     monkeypatch.setattr(splitting, "_planner", lambda *_: lambda *_: F.array().cast(splitting.PIECES))
     assert kinds() == {1: None, 2: None}
+
+
+def test_the_plan_decides_the_kind(spark, small, monkeypatch):
+    """Without planned pieces there is no kind, and with other pieces another one."""
+    from strandloom.llm import algorithm_queries, splitting
+
+    want = {tuple(r) for r in algorithm_queries.p4_found(spark, small).collect()}
+    assert {k for _, k in want} == {"gap", "hard"}
+
+    def stub(*cuts):
+        def planner(size, overlap):
+            from pyspark.sql import functions as F
+
+            return lambda *_: F.array(*[F.struct(F.lit(k).alias("piece"), F.lit(0).alias("start"), F.lit(9).alias("end"), F.lit(c).alias("cut")) for k, c in enumerate(cuts)]).cast(splitting.PIECES)
+
+        return planner
+
+    monkeypatch.setattr(splitting, "_planner", stub())
+    assert {k for _, k in algorithm_queries.p4_found(spark, small).collect()} == {None}
+    monkeypatch.setattr(splitting, "_planner", stub("gap", "end"))
+    assert {k for _, k in algorithm_queries.p4_found(spark, small).collect()} == {"gap"}
