@@ -12,7 +12,7 @@ from strandloom.session import written
 #: Shares of all rows below the lower bound of each band but the last.
 BANDS = (0.98, 0.85, 0.5)
 #: Filled groups up to this many are broadcast to the next band's scan; more of them meet it in a shuffle.
-BROADCAST_GROUPS = 500_000
+BROADCAST_GROUPS = 200_000
 
 
 def banded(df: DataFrame, group: str, item: str, score: str, bands: tuple[float, ...], bounds_from: DataFrame | None) -> tuple[DataFrame, int]:
