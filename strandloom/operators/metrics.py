@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.prefix import running_sum
+from strandloom.operators.prefix import previous, running_sum
 from strandloom.session import written
 
 
@@ -61,8 +61,7 @@ def run_histogram(runs: DataFrame, length: str = "len", width: int = 1000, most:
 
 def site_consistency(df: DataFrame, read: str, pos: str, allele: str) -> DataFrame:
     """``pos, n, inconsistent``: at each site, how many reads pass from the site before, and for how many the allele changes."""
-    w = Window.partitionBy(read).orderBy(pos)
-    x = df.where(F.col(allele).isNotNull()).select(pos, F.col(allele).alias("a"), F.lag(allele).over(w).alias("b")).where("b is not null")
+    x = previous(df.where(F.col(allele).isNotNull()).select(read, pos, F.col(allele).alias("a")), read, pos, "a", out="b").where("b is not null")
     return x.groupBy(pos).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("inconsistent"))
 
 

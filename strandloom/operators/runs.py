@@ -76,14 +76,16 @@ def pivoted_sites(df: DataFrame, row: str, column: str, value: str | Column, col
 def position_of_rank(df: DataFrame, key: str | None, value: str, share: float, *, least: int = 0) -> DataFrame:
     """``key, value, n``: the value at place ``int(share * n) - 1`` (counted from 0) of the sorted values of at least ``least``.
 
-    A share above 1 is in per cent. Only counts per distinct value are ordered.
+    A share above 1 is in per cent. Only counts per distinct value are ordered, and summed in two levels.
     """
     p = share / 100 if share > 1 else share
-    keys = [key] if key else []
-    counts = df.where(F.col(value) >= least).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = counts.withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("n", F.sum("_c").over(w))
-    return ranked.where(F.col("_upto") > F.greatest(F.lit(0), F.floor(F.col("n") * F.lit(p)) - 1)).groupBy(*keys).agg(F.min(value).alias(value), F.first("n").alias("n"))
+    k = F.col(key) if key else F.lit(0)
+    counts = written(df.where(F.col(value) >= least).groupBy(k.alias("_k"), value).agg(F.count(F.lit(1)).alias("_c")))
+    totals = counts.groupBy("_k").agg(F.sum("_c").alias("n"))
+    ranked = running_sum(counts, "_k", value, "_c", out="_upto").join(totals, "_k")
+    reached = ranked.where(F.col("_upto") > F.greatest(F.lit(0), F.floor(F.col("n") * F.lit(p)) - 1))
+    out = reached.groupBy("_k").agg(F.min(value).alias(value), F.first("n").alias("n"))
+    return out.withColumnRenamed("_k", key) if key else out.drop("_k")
 
 
 def short_switches(df: DataFrame, key: str, pos: str, value: str) -> DataFrame:
@@ -103,38 +105,3 @@ def short_switches(df: DataFrame, key: str, pos: str, value: str) -> DataFrame:
 def depth_histogram(runs: DataFrame, value: str = "cov") -> DataFrame:
     """``cov, bases``: how many bases have each coverage."""
     return runs.groupBy(F.col(value).alias("cov")).agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
-
-
-def group_positions(df: DataFrame, key: str, order: str) -> DataFrame:
-    """``df`` with ``idx``, 0, 1, ... along ``order`` within each key: names of segments in groups."""
-    return df.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
-
-
-
-def switch_error(markers: DataFrame, key: str, start: str, end: str, hap: str, *, short_num: int = 100, short_limit: int = 20_000) -> DataFrame:
-    """``switches, markers, error``: markers on the wrong haplotype in short stretches, of all that lie in blocks.
-
-    Markers of a scaffold (``key``) form stretches of one haplotype out of two. A
-    stretch of ``short_num`` markers or more, or of at least two over more than
-    ``short_limit`` bases, opens a block, as does a scaffold's first one. A shorter
-    stretch on the other haplotype than its block's is a short switch, each of its
-    markers an error; one that ends the scaffold is no switch, but on its own.
-    Blocks of one marker don't count. Null haplotypes are left out; ``start`` is a
-    whole number, one marker each.
-    """
-    x = islands(markers.where(F.col(hap).isNotNull()), key, start, hap, reach=end)
-    x = previous(x.withColumn("_one", F.lit(1)), key, "start", "_one", out="_before")
-    long = (F.col("n") >= max(2, short_num)) | ((F.col("n") >= 2) & (F.col("end") - F.col("start") > short_limit))
-    x = written(_numbered(x, key, "start", long | F.col("_before").isNull(), "_part"))
-    # the stretch that opens a part sets its side; a part on the same side as the one before belongs to its block
-    heads = x.groupBy(key, "_part").agg(F.min("start").alias("start"), F.min_by(hap, "start").alias("_side"))
-    heads = _numbered(previous(heads, key, "start", "_side", out="_other"), key, "start", F.col("_other").isNull() | (F.col("_other") != F.col("_side")), "_block")
-    tails = x.groupBy(key).agg(F.max("start").alias("_tail"))
-    y = x.join(heads.select(key, "_part", "_side", "_block"), [key, "_part"]).join(tails, key)
-    off = F.col(hap) != F.col("_side")
-    trailing = off & (F.col("start") == F.col("_tail"))
-    per = y.groupBy(key, "_block").agg(
-        F.sum(F.when(~trailing, F.col("n")).otherwise(0)).alias("m"), F.sum(F.when(off & ~trailing, F.col("n")).otherwise(0)).alias("s"), F.sum(F.when(trailing, F.col("n")).otherwise(0)).alias("t")
-    )
-    out = per.agg(F.coalesce(F.sum(F.when(F.col("m") > 1, F.col("s"))), F.lit(0)).alias("switches"), F.coalesce(F.sum(F.when(F.col("m") > 1, F.col("m")).otherwise(0) + F.when(F.col("t") > 1, F.col("t")).otherwise(0)), F.lit(0)).alias("markers"))
-    return out.select("switches", "markers", (100 * F.col("switches") / F.nullif("markers", F.lit(0))).alias("error"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import cigar as cg
+from strandloom.functions.sequences import chain_gap
 from strandloom.operators import assembly, coverage, intervals, kernels, metrics, runs, sites
 from strandloom.plans import views as v
 from strandloom.records import table
@@ -117,9 +118,16 @@ def chain_placements(spark: SparkSession, d: str) -> DataFrame:
     return kernels.placements(kernels.chain_hits(v.hits(spark, d), least_match=100))
 
 
+def chain_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """By how much neighbours in a chain are further apart on one side than on the other."""
+    x = written(kernels.chain_hits(v.hits(spark, d), least_match=100))
+    one = x.select("qname", (F.col("chain_no") + 1).alias("chain_no"), F.col("qend").alias("qe"), F.col("tstart").alias("ts"), F.col("tend").alias("te"))
+    return x.join(one, ["qname", "chain_no"]).select("qname", "chain_no", chain_gap("strand", "qe", "ts", "te", "qstart", "tstart", "tend").alias("gap"))
+
+
 QUERIES = {f.__name__: f for f in (
     cigar_walk, cigar_spans, cigar_sites, mismatch_positions, called_sites, called_sites_stranded, cs_tags, first_site_asof, exact_runs, run_histogram, run_percentile, block_identity, target_coverage,
-    depth_histogram, interval_complement, containment_anti, running_max_filter, overlap_counts, dominant_query, top_target, chain_dp, chain_placements,
+    depth_histogram, interval_complement, containment_anti, running_max_filter, overlap_counts, dominant_query, top_target, chain_dp, chain_placements, chain_gaps,
 )}
 
 FIRST = "CASE WHEN strand <> '-' THEN qstart + (qpos - qstart) + k ELSE qend - 1 - (qpos - qstart) - k END"
@@ -141,6 +149,8 @@ SQL = {
     "cs_tags": f"""WITH {v.RUNS} SELECT paf_id, CAST(coalesce(sum(len) FILTER (WHERE op IN ('=', 'X', 'D')), 0) AS BIGINT) AS on_target, CAST(coalesce(sum(len) FILTER (WHERE op IN ('=', 'X', 'I')), 0) AS BIGINT) AS on_query,
         CAST(count(*) FILTER (WHERE op IN ('=', 'X', 'I', 'D')) AS INTEGER) AS n_runs FROM runs GROUP BY paf_id""",
     "chain_dp": f"WITH RECURSIVE {CHAIN} SELECT qname, chain_no, x.id AS paf_id FROM ch",
+    "chain_gaps": f"""WITH RECURSIVE {CHAIN}, p AS (SELECT qname, chain_no, x, lag(x) OVER (PARTITION BY qname ORDER BY chain_no) AS y FROM ch)
+        SELECT qname, chain_no, abs((x.qs - y.qe) - CASE WHEN x.st = '-' THEN y.ts - x.te ELSE x.ts - y.te END) AS gap FROM p WHERE y IS NOT NULL""",
     "chain_placements": f"""WITH RECURSIVE {CHAIN}, en AS (SELECT qname, arg_min(x, chain_no) AS f, arg_max(x, chain_no) AS l FROM ch GROUP BY qname)
         SELECT qname, f.qs AS qstart, l.qe AS qend, f.t AS tname, CASE WHEN f.st = '-' THEN l.ts ELSE f.ts END AS tstart, CASE WHEN f.st = '-' THEN f.te ELSE l.te END AS tend, f.st AS strand FROM en""",
     "cigar_walk": f"WITH {v.RUNS} SELECT paf_id, CAST(run_no AS INTEGER) AS run_no, op, len, CAST(tpos AS BIGINT) AS tpos, CAST(qpos AS BIGINT) AS qpos FROM runs",
