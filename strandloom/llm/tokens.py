@@ -10,14 +10,18 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The vocabulary file; a path on every node.
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: The vocabulary: a file of the tokenizers' package that every node has, or a path.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 @lru_cache(maxsize=2)
 def encoding(path: str, pattern: str | None):
     import tiktoken
 
+    if "/" not in path:
+        from public_tokenizers import path as place
+
+        path = place(path)
     if pattern is None:
         from public_tokenizers import PATTERN as pattern
     with open(path, "rb") as f:
