@@ -165,7 +165,7 @@ def local_search(n: int, i: np.ndarray, j: np.ndarray, sign: np.ndarray, rounds:
 
     Each node's gain (consistent less inconsistent votes) is kept up to date, so a flip
     costs its edges and a score the nodes. Small graphs come back to the same labels
-    again and again: where a sweep ends from there is remembered.
+    again and again: where a perturbation leads from there is remembered.
     """
     label = (rng.integers(0, 2, n) if start is None else start).astype(np.int8)
     if not len(i):
@@ -194,26 +194,39 @@ def local_search(n: int, i: np.ndarray, j: np.ndarray, sign: np.ndarray, rounds:
             else:
                 return
 
-    best, best_score, ends = label.copy(), 0, {}
-    draws = rng.integers(n, size=max(0, rounds - 1))
+    def perturb(node: int) -> None:
+        touched = touches[node]
+        if 2 * len(touched) > n:  # all nodes at once change no gain: flip all, and the others back
+            spin[:] = -spin
+            touched = np.setdiff1d(np.arange(n), touched, assume_unique=True)
+        for x in touched.tolist():
+            flip(x)
+
+    best, best_score = label.copy(), 0
+    draws = rng.integers(n, size=max(0, rounds - 1)).tolist()
+    places: dict[bytes, int] = {}  # where sweeps ended: its number
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    onward: dict[tuple[int, int], int] = {}  # and where a sweep ends from there, by the node drawn
+    at = -1
     for k in range(max(1, rounds)):
-        if n > 64:
-            sweep()
-        elif (end := ends.get(begin := spin.tobytes())) is None:
-            sweep()
-            ends[begin] = spin.copy(), gain.copy()
-        else:
-            spin[:], gain[:] = end
+        if k and n <= 64:
+            step = at, draws[k - 1]
+            if (seen := onward.get(step)) is not None:
+                at = seen
+                continue
+            spin[:], gain[:] = held[at]
+        if k:
+            perturb(draws[k - 1])
+        sweep()
         score = int(gain.sum() + votes) // 2
         if score > best_score:
             best, best_score = ((1 - spin) // 2).astype(np.int8), score
-        if k < len(draws):
-            touched = touches[draws[k]]
-            if 2 * len(touched) > n:  # all nodes at once change no gain: flip all, and the others back
-                spin *= -1
-                touched = np.setdiff1d(np.arange(n), touched, assume_unique=True)
-            for node in touched.tolist():
-                flip(node)
+        if n <= 64:
+            at = places.setdefault(spin.tobytes(), len(held))
+            if at == len(held):
+                held.append((spin.copy(), gain.copy()))
+            if k:
+                onward[step] = at
     return best, best_score
 
 
