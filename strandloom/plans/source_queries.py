@@ -95,7 +95,7 @@ def matrix_text_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def matrix_binary_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark)
-    writers.matrix_binary(*_cells(spark, d), path)
+    writers.matrix_binary(*_cells(spark, d), path, compression="gzip")
     return readers.matrix_binary(spark, path).select(F.col("i").alias("t1"), F.col("j").alias("t2"), "n")
 
 

@@ -200,26 +200,32 @@ def matrix_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matrix_binary(spark: SparkSession, path: str) -> DataFrame:
-    """``i, j, n``, without zeros, of binary matrices: eight bytes, two u32 of rows and columns, rows of f64, eight bytes.
+    """``i, j, n``, without zeros, of binary matrices, plain or gzip: eight bytes, two u32 of rows and columns, rows of f64, eight bytes.
 
     A folder of the writer's parts is read part by part; another file is one value,
     as the format has no splits, and several files run in parallel.
     """
+    import gzip
+
     import numpy as np
     import pyarrow as pa
 
     def parse(batches):
         for batch in batches:
-            for name, body in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for name, content in zip(batch.column("name"), batch.column("content"), strict=True):
+                name, body = name.as_py(), content.as_buffer()
+                if name.endswith(".gz"):
+                    name, body = name[:-3], gzip.decompress(body)
                 first = 0
-                if name.startswith("part-"):  # a row of the writer's, as the name says: part-<row>-of-<rows>
-                    first, n = (int(x) for x in name[5:].split("-of-"))
-                    m = np.frombuffer(body, "<f8", n, 0 if first else 16).reshape(1, n)
+                if name.startswith("part-"):  # rows of the writer's, as the name says: part-<first row>-of-<rows>
+                    first, cols = (int(x) for x in name[5:].split("-of-"))
+                    skip = 0 if first else 16
+                    rows = min((len(body) - skip) // (8 * cols), cols - first)
                 else:
-                    rows, cols = np.frombuffer(body, "<u4", 2, 8).tolist()
-                    m = np.frombuffer(body, "<f8", rows * cols, 16).reshape(rows, cols)
-                i, j = np.nonzero(m)
-                yield pa.RecordBatch.from_pydict({"i": pa.array(i + first, pa.int64()), "j": pa.array(j, pa.int64()), "n": pa.array(m[i, j].astype("int64"))})
+                    skip, (rows, cols) = 16, np.frombuffer(body, "<u4", 2, 8).tolist()
+                m = np.frombuffer(body, "<f8", rows * cols, skip)
+                at = np.flatnonzero(m != 0)
+                yield pa.RecordBatch.from_pydict({"i": pa.array(at // cols + first, pa.int64()), "j": pa.array(at % cols, pa.int64()), "n": pa.array(m[at].astype("int64"))})
 
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     return files.mapInArrow(parse, "i long, j long, n long")

@@ -60,6 +60,10 @@ def sam(df: DataFrame, path: str, references: DataFrame | None = None) -> None:
     body.write.text(path)
 
 
+#: Counts that a part of a dense matrix holds, at least one row: 8 MB of zeros as text, 34 MB as f64 (fixed value).
+PART_CELLS = 1 << 22
+
+
 def matrix_text(cells: DataFrame, names: DataFrame, path: str) -> None:
     """A line of names, then a line of counts for each. ``cells``: t1, t2, n, without zeros; ``names``: name, i (0, 1, ...).
 
@@ -67,11 +71,11 @@ def matrix_text(cells: DataFrame, names: DataFrame, path: str) -> None:
     put together where they are written.
     """
     head = names.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))), lambda x: x["name"]), " ").alias("value")).select(F.lit(-1).cast("long").alias("i"), "value")
-    rows = _rows(cells, names).select("i", F.array_join(F.transform("dense", lambda x: x.cast("string")), " ").alias("value"))
+    rows = _dense_rows(cells, names).select("i", F.array_join(F.transform("dense", lambda x: x.cast("string")), " ").alias("value"))
     head.unionByName(rows).orderBy("i").select("value").write.text(path)
 
 
-def _rows(cells: DataFrame, names: DataFrame) -> DataFrame:
+def _dense_rows(cells: DataFrame, names: DataFrame) -> DataFrame:
     """``i, dense``: each name's counts in the order of names."""
     at = lambda k, c: names.select(F.col("name").alias(f"t{k}"), F.col("i").cast("long").alias(c))
     per = cells.join(at(1, "i"), "t1").join(at(2, "j"), "t2").groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "n"))).alias("m"))
@@ -81,27 +85,65 @@ def _rows(cells: DataFrame, names: DataFrame) -> DataFrame:
     return every.select("i", F.transform(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), value).alias("dense"))
 
 
-def matrix_binary(cells: DataFrame, names: DataFrame, path: str, *, magic: bytes = b"\0" * 8) -> None:
+def _rows(cells: DataFrame, names: DataFrame) -> DataFrame:
+    """``i, cells``: each name's counts (j, n) in the order of names, without zeros; a cell given twice raises."""
+    at = lambda k, c: names.select(F.col("name").alias(f"t{k}"), F.col("i").cast("long").alias(c))
+    cell = F.struct("j", F.coalesce(F.col("n").cast("long"), F.lit(0).cast("long")).alias("n"))
+    per = cells.join(at(1, "i"), "t1").join(at(2, "j"), "t2").groupBy("i").agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    once = F.size(F.array_distinct("c.j")) == F.size("c")
+    none = F.expr("cast(array() as array<struct<j: bigint, n: bigint>>)")
+    return names.select(F.col("i").cast("long").alias("i")).join(per, "i", "left").select("i", F.when(F.col("c").isNull(), none).when(once, F.col("c")).otherwise(F.raise_error(F.lit("a cell of the matrix is given twice"))).alias("cells"))
+
+
+def _per_part(size: int) -> int:
+    """Rows of a dense matrix of ``size`` names in a part."""
+    return max(1, PART_CELLS // max(1, size))
+
+
+def _tasks(size: int) -> int:
+    """Tasks that write it, by what comes out; the order of Spark's own file names ends beyond five digits."""
+    return min(10_000, max(1, -(-size // _per_part(size))))
+
+
+def matrix_binary(cells: DataFrame, names: DataFrame, path: str, *, magic: bytes = b"\0" * 8, compression: str = "none") -> None:
     """The binary matrix: ``magic``, two u32 of rows and columns, rows of f64, ``magic``; as parts that make the file in the order of their names.
 
-    Each task writes the rows it holds, so no matrix is in one place; ``path`` is a
-    folder that all executors share.
+    Each task fills and writes one row at a time, so no matrix is in one place; ``path`` is a
+    folder that all executors share. ``compression`` is none or gzip; put together, gzip parts make a gzip file.
     """
+    import gzip
     from collections.abc import Iterator
+    from contextlib import ExitStack
 
     import numpy as np
     import pyarrow as pa
     from pyarrow import fs
 
+    if compression not in ("none", "gzip"):
+        raise ValueError(f"unknown compression {compression}")
+    size = names.count()
+    per, end = _per_part(size), ".gz" if compression == "gzip" else ""
+
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        for batch in batches:
-            for i, row in zip(batch.column("i").to_pylist(), batch.column("dense").to_pylist(), strict=True):
-                body, n = np.array(row, "<f8").tobytes(), len(row)
-                body = (magic + np.array([n, n], "<u4").tobytes() if i == 0 else b"") + body + (magic if i == n - 1 else b"")
-                system.create_dir(root, recursive=True)
-                with system.open_output_stream(f"{root}/part-{i:010d}-of-{n:010d}") as out:
-                    out.write(body)
-            yield pa.RecordBatch.from_pydict({"i": batch.column("i")})
-
-    _rows(cells, names).mapInArrow(put, "i long").write.format("noop").mode("overwrite").save()
+        system.create_dir(root, recursive=True)
+        with ExitStack() as part:
+            for batch in batches:
+                js, ns = (batch.column(c) for c in ("js", "ns"))
+                at, j, n = np.asarray(js.offsets), np.asarray(js.values), np.asarray(ns.values)
+                for k, i in enumerate(batch.column("i").to_pylist()):
+                    if i % per == 0:
+                        part.close()
+                        out = part.enter_context(system.open_output_stream(f"{root}/part-{i:010d}-of-{size:010d}{end}", compression=None))
+                        out = part.enter_context(gzip.GzipFile(fileobj=out, mode="wb", compresslevel=1, mtime=0)) if end else out
+                    if i == 0:
+                        out.write(magic + np.array([size, size], "<u4").tobytes())
+                    row = np.zeros(size, "<f8")
+                    row[j[at[k] : at[k + 1]]] = n[at[k] : at[k + 1]]
+                    out.write(row.tobytes())
+                    if i == size - 1:
+                        out.write(magic)
+                yield pa.RecordBatch.from_pydict({"i": batch.column("i")})
+
+    rows = _rows(cells, names).repartitionByRange(_tasks(size), F.floor(F.col("i") / per)).sortWithinPartitions("i")
+    rows.select("i", F.col("cells.j").alias("js"), F.col("cells.n").alias("ns")).mapInArrow(put, "i long").write.format("noop").mode("overwrite").save()

@@ -101,3 +101,29 @@ def test_round_trips(spark, tmp_path):
     paf = r.paf(spark, put(tmp_path, "x.paf", "q\t9\t0\t5\t+\tt\t20\t1\t6\t5\t5\t60\tcg:Z:5=\n"))
     w.paf(paf, str(tmp_path / "p"))
     assert rows(r.paf(spark, str(tmp_path / "p"))) == rows(paf)
+
+
+def _matrix(spark, size):
+    """Cells of names of which one is called 0 and some have no counts, and what the matrix is as a dictionary."""
+    names = spark.createDataFrame([(str(3 * k % size), k) for k in range(size)], "name string, i long")
+    want = {(i, j): i * size + j + 1 for i in range(size) for j in range(size) if i % 5 and (i + j) % 4 == 0}
+    cells = spark.createDataFrame([(str(3 * i % size), str(3 * j % size), n) for (i, j), n in want.items()], "t1 string, t2 string, n long")
+    return cells, names, want
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_binary_matrix_in_parts_of_many_rows(spark, tmp_path, monkeypatch, compression):
+    monkeypatch.setattr(w, "PART_CELLS", 320)
+    size = 40
+    cells, names, want = _matrix(spark, size)
+    w.matrix_binary(cells, names, str(tmp_path / "m"), magic=b"12345678", compression=compression)
+    parts = sorted(p for p in (tmp_path / "m").iterdir() if p.name.startswith("part-"))
+    assert len(parts) == 5  # of eight rows each
+    body = b"".join(p.read_bytes() for p in parts)
+    (tmp_path / ("one.bin.gz" if compression == "gzip" else "one.bin")).write_bytes(body)
+    plain = gzip.decompress(body) if compression == "gzip" else body
+    assert plain == b"12345678" + struct.pack(f"<II{size * size}d", size, size, *[want.get((i, j), 0) for i in range(size) for j in range(size)]) + b"12345678"
+    for path in ("m", "one.bin*"):
+        assert {(x.i, x.j): x.n for x in r.matrix_binary(spark, str(tmp_path / path)).collect()} == want
+    with pytest.raises(Exception, match="given twice"):
+        w.matrix_binary(cells.union(cells.limit(1)), names, str(tmp_path / "twice"))
