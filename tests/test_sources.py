@@ -127,3 +127,10 @@ def test_binary_matrix_in_parts_of_many_rows(spark, tmp_path, monkeypatch, compr
         assert {(x.i, x.j): x.n for x in r.matrix_binary(spark, str(tmp_path / path)).collect()} == want
     with pytest.raises(Exception, match="given twice"):
         w.matrix_binary(cells.union(cells.limit(1)), names, str(tmp_path / "twice"))
+
+
+def test_small_binary_matrix_is_one_part(spark, tmp_path):
+    cells, names, want = _matrix(spark, 40)
+    w.matrix_binary(cells, names, str(tmp_path / "m"))
+    assert [p.name for p in (tmp_path / "m").iterdir() if p.name.startswith("part-")] == ["part-0000000000-of-0000000040"]
+    assert {(x.i, x.j): x.n for x in r.matrix_binary(spark, str(tmp_path / "m")).collect()} == want
