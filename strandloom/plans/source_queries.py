@@ -89,7 +89,7 @@ def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def matrix_text_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark)
-    writers.matrix_text(*_cells(spark, d), path)
+    writers.matrix_text(*_cells(spark, d), path, compression="gzip")
     return readers.matrix_text(spark, path)
 
 

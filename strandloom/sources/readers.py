@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import cigar as cg
+from strandloom.session import written
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -191,12 +192,45 @@ def bubble_ends(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def matrix_text(spark: SparkSession, path: str) -> DataFrame:
-    """``t1, t2, n``, without zeros, of a text matrix: a line of names, then a line of counts for each."""
-    x = numbered_lines(spark, path).where("trim(value) != ''").select("line", F.split(F.trim("value"), r"\s+").alias("f"))
-    names = x.where("line = 0").select(F.posexplode("f").alias("j", "t2"))
-    cells = x.where("line > 0").select((F.col("line") - 1).alias("i"), F.posexplode("f").alias("j", "v"))
+    """``t1, t2, n``, without zeros, of a text matrix: a line of names, then a line of counts for each.
+
+    Part files make one matrix in the order of their names. One pass over the text keeps
+    of each line how many words it has and those other than 0; all else rests on these.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    kept = written(raw.where("trim(value) != ''").withColumn("id", F.monotonically_increasing_id()).mapInArrow(_words, "file string, block long, id long, width long, words array<struct<j: long, v: string>>"))
+    counts = kept.groupBy("file", "block").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("n"))  # a row per split
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("file", "block", "lo", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    x = kept.join(starts, ["file", "block"]).select((F.col("first") + F.col("id") - F.col("lo") - 1).alias("i"), "width", "words")
+    head = x.where("i = -1")
+    names = head.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)).alias("j")).join(head.selectExpr("inline(words)"), "j", "left").select("j", F.coalesce("v", F.lit("0")).alias("t2"))
     by = names.select(F.col("j").alias("i"), F.col("t2").alias("t1"))
-    return cells.withColumn("n", F.col("v").cast("double").cast("long")).where("n != 0").join(names, "j").join(by, "i").select("t1", "t2", "n")
+    cells = x.where("i >= 0").join(by, "i").selectExpr("t1", "inline(words)")
+    return cells.withColumn("n", F.col("v").cast("double").cast("long")).where("n != 0").join(names, "j").select("t1", "t2", "n")
+
+
+def _words(batches):
+    """``width``, the words of a line; ``words``, those other than 0 with their places: without them a line of names is whole, too."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        width, at, j, v = [], [0], [], []
+        for line in batch.column("value"):
+            text = line.as_buffer().to_pybytes()
+            u = np.frombuffer(text, np.uint8)
+            word = np.zeros(len(u) + 2, bool)
+            np.greater(u, 32, out=word[1:-1])
+            edge = np.flatnonzero(word[1:] != word[:-1])
+            begin, end = edge[::2], edge[1::2]
+            k = np.flatnonzero((end - begin != 1) | (u[begin] != 48))
+            width.append(len(begin))
+            at.append(at[-1] + len(k))
+            j.append(k)
+            v += [text[b:e].decode() for b, e in zip(begin[k].tolist(), end[k].tolist(), strict=True)]
+        words = pa.StructArray.from_arrays([pa.array(np.concatenate([*j, np.array([], "int64")]), pa.int64()), pa.array(v, pa.string())], ["j", "v"])
+        yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("file", "block", "id")}, "width": pa.array(width, pa.int64()), "words": pa.ListArray.from_arrays(pa.array(at, pa.int32()), words)})
 
 
 def matrix_binary(spark: SparkSession, path: str) -> DataFrame:

@@ -64,25 +64,20 @@ def sam(df: DataFrame, path: str, references: DataFrame | None = None) -> None:
 PART_CELLS = 1 << 22
 
 
-def matrix_text(cells: DataFrame, names: DataFrame, path: str) -> None:
+def matrix_text(cells: DataFrame, names: DataFrame, path: str, *, compression: str = "none") -> None:
     """A line of names, then a line of counts for each. ``cells``: t1, t2, n, without zeros; ``names``: name, i (0, 1, ...).
 
     The format is dense, so a line has as many counts as there are names; lines are
-    put together where they are written.
+    put together where they are written, and each stretch of zeros at once.
     """
+    size = names.count()
     head = names.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))), lambda x: x["name"]), " ").alias("value")).select(F.lit(-1).cast("long").alias("i"), "value")
-    rows = _dense_rows(cells, names).select("i", F.array_join(F.transform("dense", lambda x: x.cast("string")), " ").alias("value"))
-    head.unionByName(rows).orderBy("i").select("value").write.text(path)
-
-
-def _dense_rows(cells: DataFrame, names: DataFrame) -> DataFrame:
-    """``i, dense``: each name's counts in the order of names."""
-    at = lambda k, c: names.select(F.col("name").alias(f"t{k}"), F.col("i").cast("long").alias(c))
-    per = cells.join(at(1, "i"), "t1").join(at(2, "j"), "t2").groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "n"))).alias("m"))
-    size = names.agg(F.count(F.lit(1))).scalar()
-    every = names.select(F.col("i").cast("long").alias("i"), size.alias("size")).join(per, "i", "left")
-    value = lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0)).cast("long")
-    return every.select("i", F.transform(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), value).alias("dense"))
+    line = F.expr(f"""array_join(concat(
+        transform(cells, (x, k) -> concat(repeat('0 ', cast(x.j - coalesce(get(cells, k - 1).j, -1) - 1 as int)), cast(x.n as string))),
+        case when coalesce(get(cells, size(cells) - 1).j, -1) < {size - 1} then array(concat('0', repeat(' 0', cast({size - 2} - coalesce(get(cells, size(cells) - 1).j, -1) as int))))
+             else cast(array() as array<string>) end), ' ')""")
+    rows = head.unionByName(_rows(cells, names), allowMissingColumns=True).repartitionByRange(_tasks(size), "i").sortWithinPartitions("i")
+    rows.select(F.coalesce("value", line).alias("value")).write.option("compression", compression).text(path)
 
 
 def _rows(cells: DataFrame, names: DataFrame) -> DataFrame:

@@ -134,3 +134,24 @@ def test_small_binary_matrix_is_one_part(spark, tmp_path):
     w.matrix_binary(cells, names, str(tmp_path / "m"))
     assert [p.name for p in (tmp_path / "m").iterdir() if p.name.startswith("part-")] == ["part-0000000000-of-0000000040"]
     assert {(x.i, x.j): x.n for x in r.matrix_binary(spark, str(tmp_path / "m")).collect()} == want
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_text_matrix_in_several_parts(spark, tmp_path, monkeypatch, compression):
+    monkeypatch.setattr(w, "PART_CELLS", 320, raising=False)
+    size = 40
+    cells, names, want = _matrix(spark, size)
+    w.matrix_text(cells, names, str(tmp_path / "m"), compression=compression)
+    parts = sorted(p for p in (tmp_path / "m").iterdir() if p.name.startswith("part-"))
+    assert len(parts) > 2
+    body = b"".join(p.read_bytes() for p in parts)
+    lines = [" ".join(str(3 * k % size) for k in range(size)), *[" ".join(str(want.get((i, j), 0)) for j in range(size)) for i in range(size)]]
+    assert (gzip.decompress(body) if compression == "gzip" else body).decode() == "\n".join(lines) + "\n"
+    assert {(x.t1, x.t2): x.n for x in r.matrix_text(spark, str(tmp_path / "m")).collect()} == {(str(3 * i % size), str(3 * j % size)): n for (i, j), n in want.items()}
+
+
+def test_text_matrix_split_between_files(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    put(tmp_path / "m", "part-0", "0\tb  c\n0 0.0 5\n\n")
+    put(tmp_path / "m", "part-1", " 7 0 10\n2.0 0 00\n")
+    assert rows(r.matrix_text(spark, str(tmp_path / "m")), "t1", "t2") == [("0", "c", 5), ("b", "0", 7), ("b", "c", 10), ("c", "0", 2)]
